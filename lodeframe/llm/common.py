@@ -42,9 +42,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size of the plan; for a file scan the size of its files. Reads no data."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(docs: DataFrame, text_col: str = "text") -> int:
+    """About how many bytes the table takes as stored.
+
+    For a plain scan of files Catalyst knows their size and no data are read.
+    Of any other plan the text is measured, and halved for the compression.
+    """
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    if leaves.size() == 1 and leaves.head().nodeName().startswith("LogicalRelation"):
+        return int(str(plan.stats().sizeInBytes()))
+    return int(docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0) // 2
 
 
 def narrow(docs: DataFrame, **columns: str) -> DataFrame:
