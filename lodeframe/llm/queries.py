@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .exact_dedup import exact_dedup
 from .langid import language_id
 from .lm_score import lm_scores
+from .mixing import mix
 from .simhash import simhash_components
 from .token_count import token_counts
 from .token_store import token_digests
@@ -45,6 +46,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents")).drop("drawn")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_language_id": op3_language_id,
         "op4_lm_score": op4_lm_score,
         "op7_token_counts": op7_token_counts,
+        "op8_source_mix": op8_source_mix,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
     }
 
