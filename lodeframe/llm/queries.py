@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .exact_dedup import exact_dedup
 from .langid import language_id
 from .lm_score import lm_scores
 from .mixing import mix
+from .packing import pack
 from .simhash import simhash_components
 from .token_count import token_counts
 from .token_store import token_digests
@@ -42,6 +44,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -54,15 +60,21 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op10_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op2_token_store": op2_token_store,
         "op3_language_id": op3_language_id,
         "op4_lm_score": op4_lm_score,
+        "op6_best_fit_packing": op6_best_fit_packing,
         "op7_token_counts": op7_token_counts,
         "op8_source_mix": op8_source_mix,
         "op9_simhash_near_dedup": op9_simhash_near_dedup,
+        "op10_learned_partitions": op10_learned_partitions,
     }
 
 
