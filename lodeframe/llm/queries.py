@@ -15,6 +15,7 @@ from .packing import pack
 from .simhash import simhash_components
 from .token_count import token_counts
 from .token_store import token_digests
+from .warc import derivative_digests
 
 
 def tokenizer_file(name: str) -> str:
@@ -44,6 +45,10 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivative_digests(_table(spark, sf_dir, "pages"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_store": op2_token_store,
         "op3_language_id": op3_language_id,
         "op4_lm_score": op4_lm_score,
+        "op5_warc_derivatives": op5_warc_derivatives,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_token_counts": op7_token_counts,
         "op8_source_mix": op8_source_mix,
