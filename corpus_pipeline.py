@@ -1,8 +1,66 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, packed sequences out.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
+written as Parquet and read again as the next stage's ``docs``. All but the
+last return the columns of ``documents``.
+
+1. language_id: documents that the network cannot place (no letter, or a best
+   score under 0.4) go; all others stay, with their text as it is.
+2. exact_dedup: of equal texts the row with the smallest doc_id stays.
+3. near_dedup: of each component of near-duplicates the smallest doc_id stays.
+4. source_mix: a document stays once for each whole pass of its source, and
+   once more with its drawn blocks as its text, so doc_id repeats.
+5. best_fit_packing: the mixed documents in sequences of 2,048 words; the
+   repeats of one document are a duplicate cluster and never share a sequence.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeframe.llm.common import shared_dir
+from lodeframe.llm.exact_dedup import drop_exact_copies
+from lodeframe.llm.langid import keep_identified
+from lodeframe.llm.mixing import mixed_documents
+from lodeframe.llm.packing import pack
+from lodeframe.llm.simhash import drop_near_copies
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_identified(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_exact_copies(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_copies(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = mixed_documents(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, cluster=F.col("doc_id"))
+
+
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("best_fit_packing", best_fit_packing)]
+
+#: A trained network and random draws have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; between two stages the rows are a table in the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
+        stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
