@@ -21,7 +21,6 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,61 +32,66 @@ from .common import input_bytes, narrow, shared_dir, text_of
 from .token_count import byte_letters, load
 
 SCHEMA = "shard int, doc_id long, n_tokens int, local_start long, tokens array<int>"
-#: Chunks and pre-tokens that a worker remembers, and how long they may be.
-REMEMBERED, LONGEST = 250_000, 48
-ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-
-
-class Encoder(dict):
-    """Chunk without white space -> its ids, all by the tokenizers library.
-
-    Its normalizer, pre-tokenizer and model are called one by one, so that what
-    was merged once need not be merged again. Cutting at ASCII white space is
-    sound for tokenizers that drop white space, as the definition must say.
+#: Pre-tokens that a worker remembers twice over, and how long they may be.
+REMEMBERED, LONGEST = 200_000, 48
+#: The tokenizer's pattern, and the same for texts below U+0300: letters are word characters that are no numbers. Fixed values.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
+LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W{NUMBERS}_]+|[{NUMBERS}]|(?:[^\w\t-\r \x85\xa0]|_)+")
+#: What the Latin path leaves to the library: combining marks and beyond, and the dotted I, whose lower case has a mark.
+BEYOND_LATIN = re.compile("[\u0130\u0300-\U0010ffff]")
+
+
+class Encoder:
+    """A text's ids, by the tokenizers library.
+
+    The library's own encoding is the rule, for any tokenizer. For one that
+    composes, lowers, drops white space and then merges byte letters, a text
+    below U+0300 can be cut into pre-tokens here (such a text is composed
+    already, and Python's lower case is Unicode's), and only a pre-token that
+    isn't remembered goes to the library's model.
     """
 
     def __init__(self, definition: str):
-        super().__init__()
         parsed = json.loads(definition)
         self.tokenizer = load(definition)
-        steps = (parsed["pre_tokenizer"] or {}).get("pretokenizers", [])
-        first = steps[0] if steps else {}
-        drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert")
-        pattern = first.get("pattern", {}).get("Regex", "")
-        self.apart = bool(drops) and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and not any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in parsed["added_tokens"])
-        self.special = tuple(t["content"].encode() for t in parsed["added_tokens"])
-        self.letters = byte_letters()
-        self.pieces: dict[str, tuple[int, ...]] = {}
-
-    def __missing__(self, chunk: bytes) -> tuple[int, ...]:
-        if any(s in chunk for s in self.special):
-            ids = tuple(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids)
-        elif chunk.isascii() and chunk.decode().isprintable():
-            ids = tuple(chain.from_iterable(map(self.piece, ASCII_PIECES.findall(chunk.decode().lower()))))
-        else:
-            normal = self.tokenizer.normalizer.normalize_str(chunk.decode())
-            ids = tuple(chain.from_iterable(self.piece(p) for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)))
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def piece(self, letters: str) -> tuple[int, ...]:
-        """Ids of a pre-token in byte letters; printing ASCII stands for itself there."""
-        ids = self.pieces.get(letters)
+        self.model, self.letters = self.tokenizer.model, byte_letters()
+        steps = [parsed["normalizer"] or {}, *(parsed["normalizer"] or {}).get("normalizers", []), parsed["pre_tokenizer"] or {}, *(parsed["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        kinds = [x.get("type") for x in steps]
+        split = next((x for x in steps if x.get("type") == "Split"), {})
+        plain = not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] for t in parsed["added_tokens"])
+        self.latin = plain and kinds == ["Sequence", "NFC", "Replace", "Lowercase", "Sequence", "Split", "ByteLevel"] and split.get("pattern") == {"Regex": PATTERN} and split.get("invert") is True
+        self.special = tuple(t["content"] for t in parsed["added_tokens"])
+        self.new: dict[str, bytes] = _Remembered(self)
+        self.old: dict[str, bytes] = {}
+
+    def merged(self, piece: str) -> bytes:
+        """Ids of a pre-token, remembered. What was asked for lately outlives a change of the generation."""
+        ids = self.old.get(piece)
         if ids is None:
-            ids = tuple(t.id for t in self.tokenizer.model.tokenize(letters))
-            if len(letters) <= LONGEST:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[letters] = ids
+            letters = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
+            ids = np.array([t.id for t in self.model.tokenize(letters)], "<i4").tobytes()
+        if len(piece) <= LONGEST:
+            if len(self.new) >= REMEMBERED:
+                self.old, self.new = self.new, _Remembered(self)
+            self.new[piece] = ids
         return ids
 
-    def encode(self, text: bytes) -> np.ndarray:
-        if not self.apart:
-            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.int32)
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.int32)
+    def encode(self, text: bytes) -> bytes:
+        """Little-endian 32-bit ids."""
+        string = text.decode()
+        if not self.latin or BEYOND_LATIN.search(string) or any(s in string for s in self.special):
+            return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, "<i4").tobytes()
+        return b"".join(map(self.new.__getitem__, LATIN.findall(string.lower())))
+
+
+class _Remembered(dict):
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.encoder.new.get(piece) or self.encoder.merged(piece)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20, row_group_bytes: int = 8 << 20, page_bytes: int = 64 << 10) -> None:
@@ -99,14 +103,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, start = Encoder(definition.value), TaskContext.get().partitionId(), 0
+        encoder, shard, start, end = Encoder(definition.value), TaskContext.get().partitionId(), 0, np.array([end_id], "<i4").tobytes()
         for b in batches:
-            n, ids = b.num_rows, []
-            for t in b.column("text").to_pylist():
-                ids += [encoder.encode(t), np.array([end_id], np.int32)]
-            sizes = np.array([len(x) + 1 for x in ids[::2]], np.int64)
+            n = b.num_rows
+            ids = [encoder.encode(t) + end for t in b.column("text").to_pylist()]
+            sizes = np.array([len(x) // 4 for x in ids], np.int64)
             starts = start + np.concatenate([[0], np.cumsum(sizes)])
-            tokens = pa.ListArray.from_arrays((starts - start).astype(np.int32), pa.array(np.concatenate(ids) if ids else [], pa.int32()))
+            tokens = pa.ListArray.from_arrays((starts - start).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
             yield pa.record_batch([pa.array([shard] * n, pa.int32()), b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(starts[:-1]), tokens], ["shard", "doc_id", "n_tokens", "local_start", "tokens"])
             start = int(starts[-1])
 
