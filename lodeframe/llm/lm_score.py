@@ -19,8 +19,9 @@ answers a block builds the part of the automaton that its own texts can reach,
 and reads them. Frequent words are one key of a block, however often they
 occur.
 
-Words are keyed by two independent 64-bit hashes, so that counts are exact but
-for collisions of 128 bits; bigrams by 64 bits.
+The texts are shuffled once: both readings of a block use the same exchange.
+Words are keyed by two independent hashes of 64 and 32 bits, so that counts are
+exact but for collisions of 96 bits; bigrams by 64 bits.
 
 Defined cases: a null text is empty and scores its end alone; a null
 identifier is in the training folds; without training texts the vocabulary is
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, input_bytes, narrow, staged, text_of
+from .common import crc_fold, input_bytes, narrow, text_of
 from .spans import P1, P2, P3, words_of, xxh64
 
 #: What ends a text and what precedes it; no word has a line break.
@@ -112,6 +113,7 @@ def read_block(texts: list[bytes]) -> Block:
         h[k][inner] = xxh64(spans.buffer, spans.start, spans.length, seed)
         h[k][ends] = _mark(END, seed)
         h[k] = np.append(h[k], _mark(BEGIN, seed))
+    h[1] >>= np.uint64(32)
     assert len(count) == len(texts)
     order = np.argsort(h[0], kind="stable")
     a, b = h[0][order], h[1][order]
@@ -251,10 +253,10 @@ class Automaton:
         return np.where(self.arcs[at] == keys, self.weights[at], backed_off)
 
 
-def _score(buckets: int, tokens: int, distinct: int, mass: float):
+def _score(buckets: int, mass: float):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        if not docs.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+        totals = answers.column("totals")[0].as_py()
+        tokens, distinct = totals["tokens"], totals["distinct_words"]
         block = read_block(docs.column("text").to_pylist())
         answers = answers.sort_by("bucket")
         counts = {}
@@ -266,12 +268,12 @@ def _score(buckets: int, tokens: int, distinct: int, mass: float):
         owner = np.repeat(np.arange(len(length)), length)
         known = np.bincount(owner, counts["words"][block.word] > 0, len(length)).astype(np.int64)
         base = np.bincount(owner, machine.root[block.word], len(length))
-        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": length.astype(np.int64), "n_known": known, "base_score": base, "score": machine.read(block.first, block.word, block.begin)})
+        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": length.astype(np.int64), "n_known": known, "train_tokens": np.full(len(length), tokens), "base_score": base, "score": machine.read(block.first, block.word, block.begin)})
 
     return run
 
 
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mass: float = 8.0, block_bytes: int = 4 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mass: float = 8.0, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for each row.
 
     ``mass`` is k, the weight of the unigram model in words; ``block_bytes`` is
@@ -279,10 +281,10 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     """
     source = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     blocks = max(1, -(-input_bytes(docs, text_col) // block_bytes))
-    dealt = source.select("doc_id", text_of().cast("binary").alias("text"), (crc_fold("doc_id", 7) != 2).alias("train")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-    sent = dealt.repartition(blocks, "block").groupBy("block").applyInArrow(_send(blocks), "bucket long, block long, words binary, words2 binary, word_counts binary, pairs binary, pair_counts binary")
-    answers = staged(sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(_count, REPLY_SCHEMA), "counts")
-    tokens, distinct = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("distinct_words")).first())
-    replies = answers.select("block", "bucket", "words", "pairs")
-    scored = dealt.select("block", "doc_id", "text").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(blocks, tokens, distinct, mass), "doc_id long, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", (crc_fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    dealt = source.select("doc_id", text_of().cast("binary").alias("text"), (crc_fold("doc_id", 7) != 2).alias("train")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
+    sent = dealt.groupBy("block").applyInArrow(_send(blocks), "bucket long, block long, words binary, words2 binary, word_counts binary, pairs binary, pair_counts binary")
+    answers = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(_count, REPLY_SCHEMA)
+    totals = answers.select(F.struct(F.sum("tokens").alias("tokens"), F.sum("distinct_words").alias("distinct_words")))
+    replies = answers.select("block", "bucket", "words", "pairs").withColumn("totals", totals.scalar())
+    scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(blocks, mass), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.select("doc_id", (crc_fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
