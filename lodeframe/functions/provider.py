@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..settings import REDACTED, SECRET_HINTS
-from .text import fenced, rstrip, strip
+from .text import bind, fenced, rstrip, strip
 
 #: HTTP status -> (error code, whether it is tried again); others are PROVIDER_ERROR. Fixed values of the contract.
 STATUS = {
@@ -104,32 +104,39 @@ def parse_reply(text: Column) -> Column:
     The first heading of each section counts; a section ends at the next one.
     """
     hit = lambda k, name: F.struct(F.regexp_instr(text, F.lit(heading(name))).alias("at"), F.length(F.regexp_extract(text, f"({heading(name)})", 1)).alias("size"), F.lit(k).alias("section"))
-    hits = F.array_sort(F.filter(F.array(*[hit(k, s) for k, s in enumerate(SECTIONS)]), lambda h: h["at"] > 0))
-
-    def body(k: int) -> Column:
-        own = lambda hs: F.get(F.filter(hs, lambda h: h["section"] == k), 0)
-        end = F.coalesce(F.array_min(F.transform(F.filter(hits, lambda h: h["at"] > own(hits)["at"]), lambda h: h["at"])), F.length(text) + 1)
-        start = own(hits)["at"] + own(hits)["size"]
-        return F.coalesce(strip(F.substring(text, start, F.greatest(end - start, F.lit(0)))), F.lit(""))
-
-    answer, exact = body(0), body(2)
-    preamble = strip(F.substring(text, F.lit(1), F.get(hits, 0)["at"] - 1))
-    found = F.size(hits) > 0
-    kept = F.when(exact.contains("```"), F.filter(F.array(strip(exact)), lambda x: x != "")).otherwise(items(exact))
-    summary = F.coalesce(F.when(answer != "", answer), F.when(preamble != "", preamble), F.get(items(body(1)), 0), F.substring(strip(text), 1, 300))
     none = F.array().cast("array<string>")
-    part = lambda c: F.when(found, c).otherwise(none)
-    return F.struct(
-        found.alias("structured"),
-        F.substring(F.when(found, summary).otherwise(F.get(F.split(strip(text), "\n{2,}"), 0)), 1, 600).alias("summary"),
-        F.when(found & (answer != ""), answer).alias("answer"),
-        part(items(body(1))).alias("observations"),
-        part(kept).alias("exact_text"),
-        part(items(body(3))).alias("interpretation"),
-        part(items(body(4))).alias("inferences"),
-        part(items(body(5))).alias("uncertainties"),
-        F.when(~found, strip(text)).alias("raw_text"),
-    )
+
+    def bodies(hits: Column) -> Column:
+        def body(k: int) -> Column:
+            def between(own: Column) -> Column:
+                later = F.array_min(F.transform(F.filter(hits, lambda h: h["at"] > own["at"]), lambda h: h["at"]))
+                start = own["at"] + own["size"]
+                return strip(F.substring(text, start, F.greatest(F.coalesce(later, F.length(text) + 1) - start, F.lit(0))))
+
+            return F.coalesce(F.get(F.transform(F.filter(hits, lambda h: h["section"] == k), between), 0), F.lit(""))
+
+        before = strip(F.substring(text, F.lit(1), F.get(hits, 0)["at"] - 1))
+        return F.struct((F.size(hits) > 0).alias("found"), before.alias("before"), *[body(k).alias(f"b{k}") for k in range(len(SECTIONS))])
+
+    def parsed(p: Column) -> Column:
+        found = p["found"]
+        part = lambda c: F.when(found, c).otherwise(none)
+        kept = F.when(p["b2"].contains("```"), F.array(p["b2"])).otherwise(items(p["b2"]))
+        summary = F.coalesce(F.when(p["b0"] != "", p["b0"]), F.when(p["before"] != "", p["before"]), F.get(items(p["b1"]), 0), F.substring(strip(text), 1, 300))
+        return F.struct(
+            found.alias("structured"),
+            F.substring(F.when(found, summary).otherwise(F.get(F.split(strip(text), "\n{2,}"), 0)), 1, 600).alias("summary"),
+            F.when(found & (p["b0"] != ""), p["b0"]).alias("answer"),
+            part(items(p["b1"])).alias("observations"),
+            part(kept).alias("exact_text"),
+            part(items(p["b3"])).alias("interpretation"),
+            part(items(p["b4"])).alias("inferences"),
+            part(items(p["b5"])).alias("uncertainties"),
+            F.when(~found, strip(text)).alias("raw_text"),
+        )
+
+    hits = F.array_sort(F.filter(F.array(*[hit(k, s) for k, s in enumerate(SECTIONS)]), lambda h: h["at"] > 0))
+    return bind(bind(hits, bodies), parsed)
 
 
 def parse_completion(body: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ CUT_WINDOW = 200
 FENCE_LANGUAGE = {".json": "json", ".log": "text", ".txt": "text", ".rst": "rst", ".tsv": "text"}
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends, Unicode's included (Spark's trim only knows the space)."""
     return F.regexp_replace(text, rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
@@ -38,16 +45,18 @@ def line_count(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """The lines without their ends; a text that ends with one has no empty last line."""
-    parts = F.split(text, LINE_END)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    cut = lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(bind(F.split(text, LINE_END), cut))
 
 
 def first_lines(text: Column, count: int) -> Column:
     """The first lines, and how many more there are."""
-    every = lines(text)
-    more = F.size(every) - count
-    head = F.slice(every, 1, count)
-    return F.array_join(F.when(more > 0, F.concat(head, F.array(F.concat(F.lit("... ("), more.cast("string"), F.lit(" more lines)"))))).otherwise(head), "\n")
+
+    def head(every: Column) -> Column:
+        more = F.concat(F.lit("... ("), (F.size(every) - count).cast("string"), F.lit(" more lines)"))
+        return F.array_join(F.when(F.size(every) > count, F.concat(F.slice(every, 1, count), F.array(more))).otherwise(every), "\n")
+
+    return bind(lines(text), head)
 
 
 def fence_length(text: Column) -> Column:
@@ -57,9 +66,8 @@ def fence_length(text: Column) -> Column:
 
 
 def fenced(text: Column, language: Column | str = "text") -> Column:
-    fence = F.repeat(F.lit("`"), fence_length(text))
     language = F.lit(language) if isinstance(language, str) else language
-    return F.concat(fence, language, F.lit("\n"), text, F.lit("\n"), fence)
+    return bind(F.repeat(F.lit("`"), fence_length(text)), lambda fence: F.concat(fence, language, F.lit("\n"), text, F.lit("\n"), fence))
 
 
 def text_content(text: Column, extension: Column) -> Column:
@@ -71,10 +79,9 @@ def text_content(text: Column, extension: Column) -> Column:
 
 
 def text_summary(name: Column, text: Column, encoding: Column | str = "utf-8-sig") -> Column:
-    n = line_count(text)
     encoding = F.lit(encoding) if isinstance(encoding, str) else encoding
-    plural = F.when(n == 1, "").otherwise("s")
-    return F.concat(F.lit("Plain-text file `"), name, F.lit("` ("), n.cast("string"), F.lit(" line"), plural, F.lit(", "), F.format_number(F.length(text), 0), F.lit(" characters, "), encoding, F.lit(")."))
+    counted = bind(line_count(text), lambda n: F.concat(n.cast("string"), F.when(n == 1, " line, ").otherwise(" lines, ")))
+    return F.concat(F.lit("Plain-text file `"), name, F.lit("` ("), counted, F.format_number(F.length(text), 0), F.lit(" characters, "), encoding, F.lit(")."))
 
 
 def line_location(text: Column) -> Column:

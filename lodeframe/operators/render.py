@@ -56,9 +56,10 @@ def assemble(results: DataFrame) -> DataFrame:
     warnings = ordered_union(F.col("extra_warnings"), F.col("warnings"))
     staged = results.withColumns({"warnings": warnings, "__shown": shaped_evidence(F.col("evidence"), F.col("detail")), "__content": shaped_content(F.col("content_markdown"), F.col("summary"), F.col("answer"), F.col("detail"))})
     body = render(F.col("summary"), F.col("answer"), F.col("__content"), F.col("__shown"), F.col("warnings"), F.col("question"))
-    cut = staged.withColumn("__cut", truncated(body, F.col("max_chars")))
+    # One step for each value that the next uses more than once: copied expressions multiply.
+    cut = staged.withColumn("__body", body).withColumn("__cut", truncated(F.col("__body"), F.col("max_chars")))
     note = F.array(F.lit("Output was truncated; see the truncation field."))
     hint = F.lit("Ask for fewer pages, ask a narrower question, or raise max_chars.")
     truncation = F.when(F.col("__cut.truncated"), F.struct(F.lit(True).alias("truncated"), F.col("__cut.original_chars").alias("original_chars"), F.col("__cut.returned_chars").alias("returned_chars"), hint.alias("recovery_hint")))
     out = cut.withColumns({"markdown": F.col("__cut.markdown"), "truncation": truncation, "evidence": F.col("__shown"), "warnings": F.when(F.col("__cut.truncated"), F.concat("warnings", note)).otherwise(F.col("warnings"))})
-    return out.drop("__shown", "__content", "__cut", "extra_warnings")
+    return out.drop("__shown", "__content", "__body", "__cut", "extra_warnings")

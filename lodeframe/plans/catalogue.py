@@ -1,15 +1,636 @@
-"""The catalogue of queries."""
+"""The catalogue of queries, each with DuckDB SQL that says the same."""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import geometry, provider, text
+from ..functions.intent import PROFILE_WORDS, TEXT_WORDS, VISUAL_WORDS, intent, profile
+from ..operators import cache, detect, render, route, sandbox, sections
+from ..settings import Settings
+from ..sources.convert import html_markdown
+from ..sources.files import text_files
+from ..streaming.windows import run_to_table, window_counts
+from .engine import Engine, requests_for
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql_list(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + str(v).replace("'", "''") + "'" for v in values) + "]"
+
+
+def pick(values, index) -> "F.Column":
+    """The entry of a short list that a column chooses, from 0."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+# -- detection and sources ---------------------------------------------------
+
+EXTENSIONS = [*detect.EXTENSIONS, ".bin", ""]
+DIM = ", ".join(f"('{e}', '{c}')" for e, (_, c) in detect.EXTENSIONS.items())
+
+
+@query(f"""
+    WITH files AS (SELECT doc_id AS id, octet_length(encode(text)) AS bytes FROM documents UNION ALL SELECT page_id, octet_length(encode(html)) FROM pages),
+    named AS (SELECT bytes, {sql_list(EXTENSIONS)}[id % {len(EXTENSIONS)} + 1] AS extension FROM files),
+    dim(extension, category) AS (VALUES {DIM})
+    SELECT coalesce(category, 'unknown') AS category, count(*) AS n_files, sum(bytes)::BIGINT AS n_bytes, coalesce(category, 'unknown') IN ('archive', 'audio', 'unknown') AS refused
+    FROM named LEFT JOIN dim USING (extension) GROUP BY 1, 4
+""")
+def q01_detect_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.octet_length("text").alias("bytes"))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.octet_length("html").alias("bytes"))
+    named = docs.union(pages).select("bytes", pick(EXTENSIONS, F.col("id") % len(EXTENSIONS)).alias("extension"))
+    found = named.join(F.broadcast(detect.extension_table(spark)), "extension", "left").withColumn("category", F.coalesce("ext_category", F.lit("unknown")))
+    return found.groupBy("category").agg(F.count(F.lit(1)).alias("n_files"), F.sum("bytes").alias("n_bytes")).withColumn("refused", detect.refusal(F.col("category")).isNotNull())
+
+
+HEADS = ["89504E470D0A1A0A", "FFD8FFE0", "474946383961", "424D", "49492A00", "4D4D002A", "255044462D312E37", "D0CF11E0A1B11AE1", "5249464600000000" + "57454250", "504B0304", "", "EFBBBF"]
+SNIFFED = "CASE WHEN h LIKE '52494646________57454250%' THEN 'webp' " + " ".join(f"WHEN h LIKE '{s}%' THEN '{k}'" for s, k, _ in detect.SIGNATURES) + " WHEN h LIKE '504B%' THEN 'zip' END"
+
+
+@query(f"""
+    WITH heads AS (SELECT doc_id, ({sql_list(EXTENSIONS)})[doc_id % 7 + 1] AS extension, left(({sql_list(HEADS)})[doc_id % {len(HEADS)} + 1] || hex(encode(left(text, 16))), 32) AS h FROM documents),
+    seen AS (SELECT extension, {SNIFFED} AS sniffed FROM heads),
+    merged AS (SELECT sniffed, CASE WHEN sniffed IN ('png', 'jpeg', 'gif', 'bmp', 'tiff', 'webp') THEN 'image' WHEN sniffed = 'pdf' THEN 'pdf' WHEN sniffed = 'zip' THEN 'archive' ELSE 'image' END AS category FROM seen)
+    SELECT coalesce(sniffed, 'none') AS sniffed, category, count(*) AS n FROM merged GROUP BY 1, 2
+""")
+def q02_magic_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    head = F.substring(F.concat(pick(HEADS, F.col("doc_id") % len(HEADS)), F.hex(F.substring("text", 1, 16).cast("binary"))), 1, 32)
+    files = docs.select(pick(EXTENSIONS, F.col("doc_id") % 7).alias("extension"), head.alias("head"))
+    found = detect.detect(files, F.col("head"))
+    return found.groupBy(F.coalesce("sniffed_type", F.lit("none")).alias("sniffed"), "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def q03_content_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return docs.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+@query("""
+    SELECT CASE WHEN octet_length(encode(text)) <= 4096 THEN 'ok' ELSE 'FILE_TOO_LARGE' END AS status, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS bytes FROM documents GROUP BY 1
+""")
+def q04_size_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.octet_length("text")
+    docs = table(spark, sf_dir, "documents").select(size.alias("size"), F.when(size <= 4096, "ok").otherwise("FILE_TOO_LARGE").alias("status"))
+    return docs.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+
+
+# -- texts -------------------------------------------------------------------
+
+SQL_LINES = "(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND NOT ends_with(text, chr(10)) THEN 1 ELSE 0 END)"
+SQL_SUMMARY = f"'Plain-text file `' || doc_id || '.txt` (' || {SQL_LINES} || ' line' || CASE WHEN {SQL_LINES} = 1 THEN '' ELSE 's' END || ', ' || format('{{:,}}', length(text)) || ' characters, utf-8-sig).'"
+SQL_SPLIT = r"string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
+SQL_ALL_LINES = f"CASE WHEN text = '' THEN [] WHEN {SQL_SPLIT}[-1] = '' THEN {SQL_SPLIT}[:-2] ELSE {SQL_SPLIT} END"
+SQL_HEAD = "array_to_string(CASE WHEN len(ls) > 12 THEN list_append(ls[1:12], '... (' || (len(ls) - 12) || ' more lines)') ELSE ls END, chr(10))"
+
+
+def file_name(id_col: str = "doc_id") -> "F.Column":
+    return F.concat(F.col(id_col).cast("string"), F.lit(".txt"))
+
+
+@query(f"SELECT doc_id, {SQL_LINES}::BIGINT AS lines, length(text)::BIGINT AS chars, {SQL_SUMMARY} AS summary FROM documents")
+def q05_text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, t = table(spark, sf_dir, "documents"), F.col("text")
+    return docs.select("doc_id", text.line_count(t).alias("lines"), F.length(t).cast("long").alias("chars"), text.text_summary(file_name(), t).alias("summary"))
+
+
+@query(f"WITH d AS (SELECT doc_id, {SQL_ALL_LINES} AS ls FROM documents) SELECT doc_id, len(ls)::BIGINT AS n_lines, sha256({SQL_HEAD}) AS head FROM d")
+def q06_head_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.lines(t)).cast("long").alias("n_lines"), F.sha2(text.first_lines(t, 12), 256).alias("head"))
+
+
+@query("""
+    WITH t AS (SELECT 'document' AS kind, doc_id AS id, text || chr(10) || repeat('`', (doc_id % 9)::INT) AS t FROM documents
+               UNION ALL SELECT 'turn', conv_id * 1000 + turn, repeat('`', (turn % 3)::INT) || text FROM conversations),
+    f AS (SELECT kind, id, t, greatest(3, coalesce(list_max(list_transform(regexp_extract_all(t, '`+'), lambda x: length(x))), 0) + 1) AS n FROM t)
+    SELECT kind, id, n::BIGINT AS fence, (2 * n + length('text') + 2 + length(t))::BIGINT AS fenced_chars FROM f
+""")
+def q07_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.concat("text", F.lit("\n"), F.expr("repeat('`', cast(doc_id % 9 as int))")).alias("t"))
+    turns = table(spark, sf_dir, "conversations").select(F.lit("turn"), F.col("conv_id") * 1000 + F.col("turn"), F.concat(F.expr("repeat('`', cast(turn % 3 as int))"), "text"))
+    return docs.union(turns).select("kind", "id", text.fence_length(F.col("t")).cast("long").alias("fence"), F.length(text.fenced(F.col("t"))).cast("long").alias("fenced_chars"))
+
+
+SQL_STRIP = r"regexp_replace({}, '^[\s\x1c-\x1f\x{{85}}\x{{a0}}]+|[\s\x1c-\x1f\x{{85}}\x{{a0}}]+$', '', 'g')"
+SQL_PRINTABLE = r"length(regexp_replace({}, '[^\p{{L}}\p{{M}}\p{{N}}\p{{P}}\p{{S}} \n\r\t]', '', 'g'))"
+
+
+@query(f"""
+    WITH p AS (SELECT lang, {SQL_STRIP.format("text")} AS t FROM documents),
+    w AS (SELECT lang, length(t) AS n, length(t) < 120 OR (CASE WHEN length(t) = 0 THEN 0 ELSE {SQL_PRINTABLE.format("t")} / length(t) END) < 0.6 AS weak FROM p)
+    SELECT lang, count(*) AS pages, count(*) FILTER (weak) AS weak_pages, sum(n)::BIGINT AS chars FROM w GROUP BY lang
+""")
+def q08_printable_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = table(spark, sf_dir, "documents").select("lang", text.strip(F.col("text")).alias("t"))
+    weak = clean.withColumn("weak", text.needs_fallback(F.length("t"), text.printable_ratio(F.col("t"))))
+    return weak.groupBy("lang").agg(F.count(F.lit(1)).alias("pages"), F.count_if("weak").alias("weak_pages"), F.sum(F.length("t")).cast("long").alias("chars"))
+
+
+PAGES = ["1", "1-3", "1,3,7", " 2 , 4-5 ", "3,1-2,2", "", None, " ", ",", "0", "0-2", "5-2", "a", "1-b", "1--2", "-4", "4-", "1-9999999999", "12345678901234567890", "7", "1-3,2-6", "2,,3", "1 - 2", "1.5"]
+
+
+@query(f"""
+    WITH r AS (SELECT doc_id, ({sql_list(PAGES)})[doc_id % {len(PAGES)} + 1] AS e, doc_id % 10 AS total FROM documents),
+    t AS (SELECT *, list_filter(list_transform(string_split(e, ','), lambda x: trim(x)), lambda x: x <> '') AS ts FROM r),
+    c AS (SELECT *, list_filter(list_transform(ts, lambda x: CASE WHEN contains(x, '-') THEN CASE WHEN NOT regexp_full_match(x, '[0-9]+\\s*-\\s*[0-9]+') THEN 'MALFORMED_RANGE'
+              WHEN regexp_extract(x, '^[0-9]+')::HUGEINT > regexp_extract(x, '[0-9]+$')::HUGEINT THEN 'BACKWARDS' END
+              WHEN NOT regexp_full_match(x, '[0-9]+') THEN 'NOT_A_NUMBER' END), lambda x: x IS NOT NULL) AS errors FROM t),
+    b AS (SELECT *, CASE WHEN total <= 0 THEN 'ZERO_PAGES' WHEN e IS NULL OR trim(e) = '' THEN NULL WHEN len(errors) > 0 THEN errors[1] WHEN len(ts) = 0 THEN 'NOTHING_SELECTED'
+              WHEN list_min(list_transform(ts, lambda x: regexp_extract(x, '^[0-9]+')::HUGEINT)) < 1 THEN 'BELOW_ONE'
+              WHEN list_max(list_transform(ts, lambda x: regexp_extract(x, '[0-9]+$')::HUGEINT)) > total THEN 'OUT_OF_RANGE' END AS error FROM c)
+    SELECT doc_id, error, CASE WHEN error IS NOT NULL THEN NULL WHEN e IS NULL OR trim(e) = '' THEN array_to_string(list_slice(range(1, total + 1), 1, 6), ',')
+        ELSE array_to_string(list_slice(list_sort(list_distinct(flatten(list_transform(ts, lambda x: range(regexp_extract(x, '^[0-9]+')::BIGINT, regexp_extract(x, '[0-9]+$')::BIGINT + 1))))), 1, 6), ',') END AS pages FROM b
+""")
+def q09_page_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", pick(PAGES, F.col("doc_id") % len(PAGES)).alias("e"), (F.col("doc_id") % 10).cast("int").alias("total"))
+    chosen = docs.withColumn("sel", text.page_selection(F.col("e"), F.col("total"), 6))
+    return chosen.select("doc_id", "sel.error", F.array_join("sel.pages", ",").alias("pages"))
+
+
+# -- questions and routes ----------------------------------------------------
+
+EDGE = r"(^|[^\p{{L}}\p{{N}}_\p{{M}}])({})($|[^\p{{L}}\p{{N}}_\p{{M}}])"
+
+
+def sql_spoken(column: str, words) -> str:
+    return f"regexp_matches({column}, '(?is)" + EDGE.format("|".join(words)) + "')"
+
+
+SQL_INTENT = f"CASE WHEN {sql_spoken('text', VISUAL_WORDS)} THEN 'visual_semantics' WHEN {sql_spoken('text', TEXT_WORDS)} THEN 'text_extraction' ELSE 'unknown' END"
+SQL_PROFILE = "CASE " + " ".join(f"WHEN {sql_spoken('text', w)} THEN '{k}'" for k, w in PROFILE_WORDS.items()) + " ELSE 'general' END"
+ASKS = ["", "Why is the button disabled? ", "Please read the exact error ", "Transcribe the code. ", "Compare the trend in this chart: ", "What does the screen say? ", "Extract the table. ", "Look right to you? "]
+SQL_ASKED = f"(SELECT conv_id, turn, ({sql_list(ASKS)})[(conv_id + turn) % {len(ASKS)} + 1] || text AS text FROM conversations WHERE role = 'user')"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return turns.select("conv_id", "turn", F.concat(pick(ASKS, (F.col("conv_id") + F.col("turn")) % len(ASKS)), "text").alias("text"))
+
+
+@query(f"SELECT {SQL_INTENT} AS intent, count(*) AS n FROM {SQL_ASKED} GROUP BY 1")
+def q10_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked(spark, sf_dir).groupBy(intent(F.col("text")).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT {SQL_PROFILE} AS profile, count(*) AS n FROM {SQL_ASKED} GROUP BY 1")
+def q11_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asked(spark, sf_dir).groupBy(profile(F.col("text")).alias("profile")).agg(F.count(F.lit(1)).alias("n"))
+
+
+SQL_BLIND = "CASE WHEN NOT configured THEN 'VISION_NOT_CONFIGURED' ELSE 'CLOUD_VISION_DISABLED' END"
+
+
+@query(f"""
+    WITH m AS (SELECT unnest({sql_list(route.MODES)}) AS mode), c AS (SELECT unnest({sql_list(detect.CATEGORIES)}) AS category), s AS (SELECT unnest({sql_list(route.STRATEGIES)}) AS strategy),
+    i AS (SELECT unnest(['visual_semantics', 'text_extraction', 'unknown']) AS intent), b AS (SELECT unnest([false, true]) AS x),
+    g AS (SELECT mode, category, strategy, intent, o.x AS ocr, v.x AS configured, a.x AS allowed, v.x AND a.x AS usable FROM m, c, s, i, b o, b v, b a),
+    d AS (SELECT *, CASE
+        WHEN mode = 'vision' AND NOT usable THEN {SQL_BLIND}
+        WHEN mode IN ('ocr', 'vision') AND category NOT IN ('image', 'pdf') THEN 'MODE_NOT_APPLICABLE'
+        WHEN mode = 'ocr' AND NOT ocr THEN 'OCR_NOT_CONFIGURED'
+        WHEN mode = 'document' AND category = 'image' THEN 'MODE_NOT_APPLICABLE'
+        WHEN category IN ('audio', 'archive', 'unknown') THEN 'MODE_NOT_APPLICABLE'
+        WHEN mode = 'auto' AND category = 'image' AND NOT ocr AND NOT usable THEN {SQL_BLIND} END AS error FROM g)
+    SELECT mode, category, strategy, intent, ocr, configured, allowed, error,
+        CASE WHEN error IS NULL THEN CASE WHEN category IN ('image', 'pdf', 'text') THEN category ELSE 'convert' END END AS processor,
+        CASE WHEN error IS NOT NULL THEN NULL WHEN category = 'text' THEN 'text' WHEN category NOT IN ('image', 'pdf') THEN 'convert'
+             WHEN category = 'pdf' THEN CASE mode WHEN 'document' THEN 'text' ELSE mode END
+             WHEN mode = 'ocr' THEN 'ocr_only' WHEN mode = 'vision' THEN 'vision'
+             WHEN strategy = 'ocr_first' OR NOT usable THEN CASE WHEN NOT ocr THEN 'vision' WHEN usable THEN 'hybrid' ELSE 'ocr_only' END
+             WHEN strategy = 'vision_first' THEN 'vision' ELSE 'hybrid' END AS plan,
+        error IS NULL AND mode = 'auto' AND category = 'image' AND NOT usable AND ocr AND intent = 'visual_semantics' AS warned FROM d
+""")
+def q12_route_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole decision table: fixed, and independent of the data."""
+    import itertools
+
+    rows = list(itertools.product(route.MODES, detect.CATEGORIES, route.STRATEGIES, ("visual_semantics", "text_extraction", "unknown"), (False, True), (False, True), (False, True)))
+    grid = spark.createDataFrame(rows, "mode string, category string, strategy string, intent string, ocr boolean, configured boolean, allowed boolean")
+    chosen = grid.withColumn("r", route.route(*[F.col(c) for c in ("mode", "category", "ocr", "configured", "allowed", "strategy", "intent")]))
+    return chosen.select("mode", "category", "strategy", "intent", "ocr", "configured", "allowed", "r.error", "r.processor", "r.plan", "r.warned")
+
+
+# -- cache -------------------------------------------------------------------
+
+
+def sql_key() -> str:
+    s = Settings()
+    fields = {
+        "schema": "'2'", "sha256": "sha256(d.text)", "mode": "'auto'", "vision_profile": "'general'", "detail": "'normal'", "pages": "'1,3-5'",
+        "question": r"sha256(trim(regexp_replace(lower(t.text), '[\s\x1c-\x1f\x{85}\x{a0}]+', ' ', 'g')))", "processor": "'text'", "processor_version": "'1'", "extension": "'.txt'", "prompt_version": "'2'", "ocr_version": "''", "vision_base_url": "''",
+    }
+    for name in ("max_pages", "ocr_backend", "ocr_languages", "send_ocr_to_cloud", "vision_provider", "vision_model", "vision_route", "vision_max_output_tokens", "allow_cloud_vision", "auto_image_strategy", "pdf_min_chars_per_page", "pdf_render_dpi", "vision_max_dimension", "vision_max_image_bytes", "vision_image_format", "max_image_pixels"):
+        fields[name] = f"'{getattr(s, name)}'"
+    return "sha256(" + " || chr(31) || ".join(f"'{k}=' || {fields[k]}" for k in sorted(fields)) + ")"
+
+
+@query(f"SELECT t.conv_id, t.turn, {sql_key()} AS cache_key FROM conversations t JOIN documents d ON d.doc_id = t.conv_id WHERE t.role = 'user'")
+def q13_cache_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
+    rows = turns.join(docs, F.col("conv_id") == F.col("doc_id"))
+    lit = F.lit
+    key = cache.cache_key(Settings(), sha256=F.col("sha256"), mode=lit("auto"), profile=lit("general"), detail=lit("normal"), pages=lit("1, 3-5 ,"), question=F.col("text"), processor=lit("text"), processor_version=lit("1"), extension=lit(".txt"))
+    return rows.select("conv_id", "turn", key.alias("cache_key"))
+
+
+def entries_of(events: DataFrame) -> DataFrame:
+    """Users as cache entries: stored at each purchase."""
+    bought = events.where("event_type = 'purchase'")
+    return bought.select(F.sha2(F.col("user_id").cast("string"), 256).alias("cache_key"), F.lit(2).alias("schema_version"), F.col("ts").cast("timestamp").alias("stored_at"), F.col("event_id").cast("string").alias("payload"))
+
+
+@query("""
+    WITH e AS (SELECT sha256(user_id::VARCHAR) AS k, max(ts) AS stored FROM events WHERE event_type = 'purchase' GROUP BY 1),
+    n AS (SELECT max(ts) AS now FROM events)
+    SELECT event_type, CASE WHEN stored IS NULL THEN 'miss' WHEN epoch(now)::BIGINT - epoch(stored)::BIGINT <= 3 * 86400 THEN 'hit' ELSE 'expired' END AS status, count(*) AS n
+    FROM events LEFT JOIN e ON k = sha256(user_id::VARCHAR), n GROUP BY 1, 2
+""")
+def q14_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.date_trunc("second", F.max("ts").cast("timestamp"))).first()[0]
+    asked_for = events.select("event_type", F.sha2(F.col("user_id").cast("string"), 256).alias("cache_key"))
+    found = cache.lookup(asked_for, entries_of(events), F.lit(now), 3)
+    return found.groupBy("event_type", F.col("cache_status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    WITH e AS (SELECT user_id, sum(round(value * 100)::BIGINT)::BIGINT AS size_bytes, max(ts) AS last_access FROM events GROUP BY 1),
+    w AS (SELECT *, sum(size_bytes) OVER () - coalesce(sum(size_bytes) OVER (ORDER BY last_access, size_bytes, user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 1000000 AS evicted FROM e)
+    SELECT user_id, size_bytes, evicted FROM w
+""")
+def q15_lru_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("size_bytes"), F.max("ts").cast("timestamp").alias("last_access"))
+    return cache.evict(entries, 1_000_000, order=("last_access", "size_bytes", "user_id")).select("user_id", "size_bytes", "evicted")
+
+
+@query("""
+    WITH w AS (SELECT doc_id, list_concat(string_split(lower(text), ' ')[1:30], string_split(text, ' ')[11:50]) AS l FROM documents)
+    SELECT doc_id, sha256(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|')) AS kept FROM w
+""")
+def q16_dedup_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = F.slice(F.split(F.lower("text"), " "), 1, 30), F.slice(F.split("text", " "), 11, 40)
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.array_join(text.ordered_union(first, second), "|"), 256).alias("kept"))
+
+
+# -- rendering ---------------------------------------------------------------
+
+SQL_NOTICE = "'" + text.CUT_NOTICE.replace("\n", "' || chr(10) || '") + "'"
+
+
+def sql_truncate(body: str, limit: int) -> str:
+    window = f"reverse(substr({body}, {limit - 199}, 200))"
+    cut = f"CASE WHEN instr({window}, chr(10)) > 0 THEN {limit} - instr({window}, chr(10)) ELSE {limit} END"
+    return f"CASE WHEN length({body}) <= {limit} THEN {body} ELSE regexp_replace(left({body}, ({cut})::INT), '[\\s\\x1c-\\x1f\\x{{85}}\\x{{a0}}]+$', '') || {SQL_NOTICE} END"
+
+
+@query(f"WITH c AS (SELECT doc_id, length(text) > 600 AS truncated, {sql_truncate('text', 600)} AS m FROM documents) SELECT doc_id, truncated, length(m)::BIGINT AS returned_chars, sha256(m) AS sha FROM c")
+def q17_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = table(spark, sf_dir, "documents").select("doc_id", text.truncated(F.col("text"), F.lit(600)).alias("c"))
+    return cut.select("doc_id", "c.truncated", "c.returned_chars", F.sha2("c.markdown", 256).alias("sha"))
+
+
+def chunk_evidence() -> "F.Column":
+    """Up to five pieces of 1,000 characters as evidence."""
+    n = F.least(F.lit(5), F.ceil(F.length("text") / 1000)).cast("int")
+    piece = lambda k: F.struct(F.lit("text").alias("type"), F.concat(F.lit("part "), k.cast("string")).alias("location"), F.substring(F.col("text"), (k - 1) * 1000 + 1, F.lit(1000)).alias("content"), F.lit(None).cast("double").alias("confidence"))
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), piece).cast(render.EVIDENCE)).otherwise(F.array().cast(render.EVIDENCE))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, text, unnest(['compact', 'normal', 'full']) AS detail, least(5, ceil(length(text) / 1000))::INT AS n, CASE WHEN doc_id % 3 = 0 THEN 'an answer' END AS answer, CASE WHEN doc_id % 2 = 0 THEN 'a summary' ELSE '' END AS summary FROM documents),
+    e AS (SELECT *, list_transform(range(1, n + 1), lambda k: length(substr(text, ((k - 1) * 1000 + 1)::BIGINT, 1000))) AS sizes FROM d)
+    SELECT doc_id, detail,
+        length(CASE WHEN detail = 'compact' THEN coalesce(answer, nullif(summary, ''), left(text, 1500)) ELSE text END)::BIGINT AS content_chars,
+        (CASE WHEN detail = 'compact' THEN least(3, n) ELSE n END)::BIGINT AS n_evidence,
+        coalesce(list_sum(CASE detail WHEN 'compact' THEN list_transform(sizes[1:3], lambda x: least(x, 400)) WHEN 'normal' THEN list_transform(sizes, lambda x: least(x, 800)) ELSE sizes END), 0)::BIGINT AS evidence_chars
+    FROM e
+""")
+def q18_detail_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", chunk_evidence().alias("evidence"), F.explode(F.array(*map(F.lit, ("compact", "normal", "full")))).alias("detail"))
+    answer, summary = F.when(F.col("doc_id") % 3 == 0, "an answer"), F.when(F.col("doc_id") % 2 == 0, "a summary").otherwise("")
+    shaped = docs.select("doc_id", "detail", render.shaped_content(F.col("text"), summary, answer, F.col("detail")).alias("content"), render.shaped_evidence(F.col("evidence"), F.col("detail")).alias("shown"))
+    return shaped.select("doc_id", "detail", F.length("content").cast("long").alias("content_chars"), F.size("shown").cast("long").alias("n_evidence"), F.aggregate("shown", F.lit(0), lambda a, e: a + F.length(e["content"])).cast("long").alias("evidence_chars"))
+
+
+SQL_FENCED = "repeat('`', f) || 'text' || chr(10) || text || chr(10) || repeat('`', f)"
+SQL_ANALYZED = rf"""
+    WITH l AS (SELECT doc_id, text, {SQL_SUMMARY} AS summary, {SQL_LINES} AS n, {SQL_ALL_LINES} AS ls, greatest(3, coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0) + 1)::INT AS f FROM documents),
+    b AS (SELECT doc_id, {SQL_STRIP.format("left(" + SQL_HEAD + ", 800)")} AS ev, summary, n, {SQL_FENCED} AS content FROM l),
+    m AS (SELECT doc_id, '## Summary' || chr(10) || chr(10) || summary || chr(10) || chr(10) || '## Extracted content' || chr(10) || chr(10) || content || chr(10) || chr(10) || '## Evidence' || chr(10) || chr(10)
+        || '- **text** (' || CASE WHEN n > 0 THEN 'lines 1-' || n ELSE 'empty file' END || '):' || CASE WHEN contains(ev, chr(10)) THEN chr(10) || chr(10) || '  ' ELSE ' ' END || ev AS body FROM b)
+"""
+
+
+@query(SQL_ANALYZED + f", t AS (SELECT doc_id, {sql_truncate('body', 4000)} AS m, length(body) > 4000 AS cut FROM m) SELECT doc_id, sha256(m) AS sha, length(m)::BIGINT AS chars, cut AS truncated FROM t")
+def q19_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = analyze_documents(spark, sf_dir, max_chars=4000)
+    return out.select(F.regexp_extract("request_id", "([0-9]+)", 1).cast("long").alias("doc_id"), F.sha2("markdown", 256).alias("sha"), F.length("markdown").cast("long").alias("chars"), F.col("truncation").isNotNull().alias("truncated"))
+
+
+def analyze_documents(spark: SparkSession, sf_dir: str, max_chars: int = 100_000) -> DataFrame:
+    """One request for each document through the whole engine."""
+    files = text_files(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
+    return Engine(spark).analyze(requests_for(files.select("path"), max_chars=max_chars), files)
+
+
+# -- sections ----------------------------------------------------------------
+
+
+def headed(marker: Callable) -> "F.Column":
+    """The document's first 40 lines, some of them made headings by ``marker``."""
+    return F.array_join(F.transform(F.slice(F.split("text", "\n"), 1, 40), marker), "\n")
+
+
+@query(r"""
+    WITH h AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10))[1:40], lambda x, i: CASE WHEN i % 3 = 1 AND x <> '' THEN repeat('#', ((i + doc_id) % 8)::INT) || ' ' || x ELSE x END), chr(10)) AS md FROM documents),
+    o AS (SELECT doc_id, list_transform(regexp_extract_all(md, '(?m)^#{1,6}[ \t]+\S[^\n]*$'), lambda x: regexp_replace(regexp_replace(x, '^(#+)[ \t]+', '\1 '), '[\s\x1c-\x1f\x{85}\x{a0}]+$', '')) AS hs FROM h)
+    SELECT doc_id, least(len(hs), 12)::BIGINT AS n, sha256(array_to_string(hs[1:12], chr(10))) AS outline FROM o
+""")
+def q20_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    md = headed(lambda x, i: F.when(((i + 1) % 3 == 1) & (x != ""), F.concat(F.repeat(F.lit("#"), ((i + 1 + F.col("doc_id")) % 8).cast("int")), F.lit(" "), x)).otherwise(x))
+    found = table(spark, sf_dir, "documents").select("doc_id", sections.outline(md).alias("hs"))
+    return found.select("doc_id", F.size("hs").cast("long").alias("n"), F.sha2(F.array_join("hs", "\n"), 256).alias("outline"))
+
+
+@query(r"""
+    WITH w AS (SELECT doc_id, list_filter(string_split(text, ' ')[1:60], lambda x: x <> '') AS ws, doc_id % 5 + 1 AS k FROM documents),
+    s AS (SELECT doc_id, k, list_transform(range(1, k + 1), lambda i: array_to_string(ws[((i - 1) * 6 + 1)::INT:(i * 6)::INT], ' ')) AS bodies FROM w)
+    SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE k END AS n_slides, CASE WHEN doc_id % 4 = 3 THEN sha256('') ELSE sha256(array_to_string(list_transform(bodies, lambda x: regexp_replace(x, '^[\s\x1c-\x1f\x{85}\x{a0}]+|[\s\x1c-\x1f\x{85}\x{a0}]+$', '', 'g')), '|')) END AS bodies FROM s
+""")
+def q21_split_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked texts; in every fourth the last number is wrong, and nothing of it may be trusted."""
+    words = F.filter(F.slice(F.split("text", " "), 1, 60), lambda x: x != "")
+    k = (F.col("doc_id") % 5 + 1).cast("int")
+    number = lambda i: F.when((F.col("doc_id") % 4 == 3) & (i == k), i + 1).otherwise(i)
+    body = lambda i: F.array_join(F.slice(words, (i - 1) * 6 + 1, F.lit(6)), " ")
+    md = F.array_join(F.transform(F.sequence(F.lit(1), k), lambda i: F.concat(F.lit("<!-- Slide number: "), number(i).cast("string"), F.lit(" -->\n"), body(i))), "\n\n")
+    found = table(spark, sf_dir, "documents").select("doc_id", sections.split_slides(md, k).alias("s"))
+    return found.select("doc_id", F.size("s").cast("long").alias("n_slides"), F.sha2(F.array_join(F.transform("s", lambda x: x["body"]), "|"), 256).alias("bodies"))
+
+
+@query("""
+    WITH s AS (SELECT c_custkey AS id, c_custkey % 3 + 1 AS k, c_custkey % 5 = 0 AS wrong FROM customer)
+    SELECT id, CASE WHEN wrong THEN 0 ELSE k END AS n_sheets, CASE WHEN wrong THEN '' ELSE array_to_string(list_transform(range(1, k + 1), lambda i: 'Sheet ' || i || '=' || (id * i)), ';') END AS sheets FROM s
+""")
+def q22_split_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("id") % 3 + 1).cast("int")
+    md = F.array_join(F.transform(F.sequence(F.lit(1), k), lambda i: F.concat(F.lit("## Sheet "), i.cast("string"), F.lit("  \n\n| "), (F.col("id") * i).cast("string"), F.lit(" |"))), "\n\n")
+    names = F.transform(F.sequence(F.lit(1), k), lambda i: F.concat(F.lit("Sheet "), F.when((F.col("id") % 5 == 0) & (i == k), F.lit("x")).otherwise(i.cast("string"))))
+    found = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).select("id", sections.split_sheets(md, names).alias("s"))
+    shown = F.transform("s", lambda x: F.concat(x["name"], F.lit("="), F.regexp_extract(x["body"], "([0-9]+)", 1)))
+    return found.select("id", F.size("s").cast("long").alias("n_sheets"), F.array_join(shown, ";").alias("sheets"))
+
+
+def pipe_row(*columns) -> "F.Column":
+    cells = [F.replace(F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")) for c in columns]
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+
+
+@query("SELECT n_nationkey AS id, '| ' || n_nationkey || ' | ' || n_name || ' | ' || r_name || ' |' AS line FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT -2, '| key | nation | region |' UNION ALL SELECT -1, '| --- | --- | --- |'")
+def q23_table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    head = spark.createDataFrame([(-2, "| key | nation | region |"), (-1, "| --- | --- | --- |")], "id int, line string")
+    return head.union(rows.select(F.col("n_nationkey").alias("id"), pipe_row(F.col("n_nationkey"), F.col("n_name"), F.col("r_name")).alias("line")))
+
+
+@query(r"""
+    SELECT page_id, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '(?i)<h[1-6][\s>]'))::BIGINT AS headings, len(regexp_extract_all(html, '(?i)<a\s[^>]*href'))::BIGINT AS links, len(regexp_extract_all(html, '(?i)<li[\s>]'))::BIGINT AS items FROM pages
+""")
+def q24_html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    count = lambda pattern: F.regexp_count("html", F.lit(pattern)).cast("long")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?is)<title>(.*?)</title>", 1).alias("title"), count(r"(?i)<h[1-6][\s>]").alias("headings"), count(r"(?i)<a\s[^>]*href").alias("links"), count(r"(?i)<li[\s>]").alias("items"))
+
+
+@query()
+def q24_html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as Markdown; tests/test_sources.py holds the converter against fixtures."""
+    from ..sources.convert import convert
+
+    assert html_markdown  # the converter that .html uses
+    files = text_files(table(spark, sf_dir, "pages"), id_col="page_id", text_col="html", extension=".html")
+    return convert(files).select("name", "markdown", F.length("markdown").cast("long").alias("chars"))
+
+
+@query(r"""
+    WITH t AS (SELECT conv_id, turn, regexp_replace(replace(replace(text, chr(10), ' '), '`', ''), '^[\s\x1c-\x1f\x{85}\x{a0}]+|[\s\x1c-\x1f\x{85}\x{a0}]+$', '', 'g') AS b, turn % 4 AS kind FROM conversations WHERE role = 'assistant')
+    SELECT conv_id, turn, kind <> 3 AS structured, CASE WHEN kind < 2 AND b <> '' THEN b END AS answer,
+        (CASE WHEN kind = 3 THEN 0 ELSE 2 END)::BIGINT AS n_observations, (CASE WHEN kind = 1 THEN 1 ELSE 0 END)::BIGINT AS n_uncertain, sha256(left(CASE WHEN kind < 2 AND b <> '' THEN b WHEN kind = 3 THEN 'plain ' || b ELSE 'one' END, 600)) AS summary FROM t
+""")
+def q25_reply_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    b = text.strip(F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit("`"), F.lit("")))
+    seen = F.lit("## DIRECT OBSERVATIONS\n- one\n- two\n")
+    kind = F.col("turn") % 4
+    reply = (
+        F.when(kind == 0, F.concat(F.lit("## ANSWER\n"), b, F.lit("\n\n"), seen))
+        .when(kind == 1, F.concat(seen, F.lit("\n**UNCERTAINTY**\nperhaps\n\nanswer:\n"), b))
+        .when(kind == 2, seen)
+        .otherwise(F.concat(F.lit("plain "), b))
+    )
+    parsed = turns.select("conv_id", "turn", reply.alias("reply")).withColumn("p", provider.parse_reply(F.col("reply")))
+    return parsed.select("conv_id", "turn", "p.structured", "p.answer", F.size("p.observations").cast("long").alias("n_observations"), F.size("p.uncertainties").cast("long").alias("n_uncertain"), F.sha2("p.summary", 256).alias("summary"))
+
+
+# -- geometry, quality, providers -------------------------------------------
+
+
+@query("""
+    WITH s AS (SELECT o_orderkey AS id, (o_orderkey * 37) % 9000 + 10 AS w, (o_orderkey * 91) % 15000 + 10 AS h FROM orders),
+    g AS (SELECT *, greatest(w, h) AS l, least(w, h) AS m, greatest(1, ceil((greatest(w, h) - 96) / 4000.0))::INT AS n FROM s),
+    p AS (SELECT *, CASE WHEN l <= 4096 THEN 'as_is' WHEN l / m >= 2.5 AND m <= 4096 AND n <= 4 THEN 'tiles' ELSE 'downscale' END AS plan FROM g)
+    SELECT id, plan, (CASE WHEN plan = 'tiles' THEN n ELSE 0 END)::BIGINT AS n_tiles,
+        (CASE WHEN plan = 'tiles' THEN least((n - 1) * 4000 + 4096, l) - (n - 1) * 4000 ELSE 0 END)::BIGINT AS last_tile,
+        greatest(1, round_even(w * least(1.0, 4096.0::DOUBLE / l), 0))::BIGINT AS scaled_w, greatest(1, round_even(h * least(1.0, 4096.0::DOUBLE / l), 0))::BIGINT AS scaled_h FROM p
+""")
+def q26_tile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), ((F.col("o_orderkey") * 37) % 9000 + 10).cast("int").alias("w"), ((F.col("o_orderkey") * 91) % 15000 + 10).cast("int").alias("h"))
+    w, h, limit = F.col("w"), F.col("h"), 4096
+    planned = sizes.select("id", geometry.payload_plan(w, h, limit).alias("plan"), geometry.tiles(w, h, limit).alias("t"), geometry.scaled(w, h, limit).alias("s"))
+    last = F.element_at("t", -1)
+    return planned.select("id", "plan", F.size("t").cast("long").alias("n_tiles"), F.when(F.size("t") > 0, F.greatest(*[F.when(last["x"] + last["y"] > 0, F.when(last["x"] > 0, last["w"]).otherwise(last["h"])).otherwise(0)] * 2)).otherwise(0).cast("long").alias("last_tile"), F.col("s.w").cast("long").alias("scaled_w"), F.col("s.h").cast("long").alias("scaled_h"))
+
+
+@query("""
+    WITH w AS (SELECT user_id, CASE WHEN event_id % 7 = 0 THEN -1 ELSE (event_id * 13) % 101 END AS conf FROM events),
+    m AS (SELECT user_id, count(*) AS words, count(*) FILTER (conf >= 0) AS counted, sum(conf) FILTER (conf >= 0) / nullif(count(*) FILTER (conf >= 0), 0) / 100.0 AS c FROM w GROUP BY 1)
+    SELECT user_id, words, counted, words * 5 >= 40 AND (c IS NULL OR c >= 0.65) AS sufficient FROM m
+""")
+def q27_ocr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conf = F.when(F.col("event_id") % 7 == 0, -1).otherwise((F.col("event_id") * 13) % 101)
+    words = table(spark, sf_dir, "events").select("user_id", conf.alias("conf"))
+    means = words.groupBy("user_id").agg(F.count(F.lit(1)).alias("words"), F.count_if(F.col("conf") >= 0).alias("counted"), (F.avg(F.when(F.col("conf") >= 0, F.col("conf"))) / 100).alias("c"))
+    return means.select("user_id", "words", "counted", text.ocr_good_enough(F.col("words") * 5, F.col("c")).alias("sufficient"))
+
+
+STATUSES = [400, 401, 402, 403, 404, 408, 409, 410, 425, 429, 500, 502, 503, 504, 418]
+BODIES = ["", "monthly Quota used up", "out of CREDIT", "slow down", None]
+SQL_STATUS = " ".join(f"WHEN s = {k} THEN '{c}'" for k, (c, _) in provider.STATUS.items())
+
+
+@query(f"""
+    WITH x AS (SELECT event_id, ([{", ".join(map(str, STATUSES))}])[event_id % {len(STATUSES)} + 1] AS s, ({sql_list(BODIES)})[event_id % {len(BODIES)} + 1] AS b FROM events)
+    SELECT CASE WHEN s = 429 AND regexp_matches(lower(coalesce(b, '')), 'quota|credit') THEN 'VISION_QUOTA_EXCEEDED' {SQL_STATUS} ELSE 'VISION_PROVIDER_ERROR' END AS code, s IN (408, 409, 425, 502, 503, 504) AS retryable, count(*) AS n FROM x GROUP BY 1, 2
+""")
+def q28_http_error_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    # The body's place in its list must differ from the status's, or they would always meet.
+    seen = events.select(provider.http_error(pick(STATUSES, F.col("event_id") % len(STATUSES)), pick(BODIES, F.col("event_id") % len(BODIES))).alias("e"))
+    return seen.groupBy("e.code", "e.retryable").agg(F.count(F.lit(1)).alias("n"))
+
+
+KEYS = ["api_key", "ApiKey", "x-authorization", "TOKEN", "client_secret", "password_hash", "Bearer", "name", "user", "tok"]
+
+
+@query(f"""
+    WITH k AS (SELECT event_id, ({sql_list(KEYS)})[event_id % {len(KEYS)} + 1] AS k, event_type AS v FROM events)
+    SELECT event_id, k AS key, CASE WHEN regexp_matches(lower(k), 'api_key|apikey|authorization|token|secret|password|bearer') THEN '***redacted***' ELSE v END AS value FROM k
+""")
+def q29_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = pick(KEYS, F.col("event_id") % len(KEYS))
+    logged = table(spark, sf_dir, "events").select("event_id", provider.scrub(F.create_map(key, "event_type")).alias("fields"))
+    return logged.select("event_id", F.explode("fields").alias("key", "value"))
+
+
+@query("""
+    SELECT b.item_id, count(d.doc_id) AS hits, coalesce(min(d.doc_id), -1) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1
+""")
+def q30_expected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expected_facts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def expected_facts(docs: DataFrame, facts: DataFrame, block: int = 20_000) -> DataFrame:
+    """For each stated fact: documents that hold it, and the first of them.
+
+    A fact can begin inside a word, so no equality finds it; documents are read
+    once, in place, against the list of facts. The list is a stated query set,
+    sent in blocks of bounded size, and no pair leaves a task unless it matches.
+    """
+    count = facts.count()
+    pieces = max(1, -(-count // block))
+    numbered = facts.select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(pieces)).alias("__piece"))
+    found = None
+    for k in range(pieces):
+        part = numbered.where(F.col("__piece") == k).agg(F.collect_list(F.struct("item_id", "text")).alias("facts"))
+        held = docs.select("doc_id", "text", F.lit(1).alias("__one")).join(F.broadcast(part.withColumn("__one", F.lit(1))), "__one")
+        hits = held.select("doc_id", F.explode(F.transform(F.filter("facts", lambda f: F.contains(F.col("text"), f["text"])), lambda f: f["item_id"])).alias("item_id"))
+        counted = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first_doc"))
+        found = counted if found is None else found.unionByName(counted)
+    return facts.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"), F.coalesce("first_doc", F.lit(-1).cast("long")).alias("first_doc"))
+
+
+@query(f"""
+    WITH p AS (SELECT doc_id, {SQL_STRIP.format("text")} AS t FROM documents),
+    w AS (SELECT doc_id, length(t) < 120 OR (CASE WHEN length(t) = 0 THEN 0 ELSE {SQL_PRINTABLE.format("t")} / length(t) END) < 0.6 AS weak FROM p)
+    SELECT weak, quality, count(*) AS n FROM w JOIN labels USING (doc_id) GROUP BY 1, 2
+""")
+def q31_quality_vs_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = table(spark, sf_dir, "documents").select("doc_id", text.strip(F.col("text")).alias("t"))
+    weak = clean.select("doc_id", text.needs_fallback(F.length("t"), text.printable_ratio(F.col("t"))).alias("weak"))
+    return weak.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").groupBy("weak", "quality").agg(F.count(F.lit(1)).alias("n"))
+
+
+def sql_prompt() -> str:
+    nl = "' || chr(10) || '"
+    out = ["'Task type: ' || replace(p, '_', ' ')"]
+    out.append(f"'Answer this question, and show what in the image proves the answer:{nl}{nl}<question>{nl}' || q || '{nl}</question>'")
+    out.append("'Detail level: normal. " + provider.DETAILS["normal"] + "'")
+    out.append("'Use these headings in this order, without those that would be empty:" + "".join(f"{nl}## {s}" for s in provider.SECTIONS) + "'")
+    return " || chr(10) || chr(10) || ".join(out)
+
+
+@query(f"WITH t AS (SELECT conv_id, turn, {SQL_PROFILE} AS p, {SQL_STRIP.format('text')} AS q FROM {SQL_ASKED}) SELECT conv_id, turn, p AS profile, sha256({sql_prompt()}) AS prompt FROM t")
+def q32_prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = asked(spark, sf_dir).withColumn("profile", profile(F.col("text")))
+    return turns.select("conv_id", "turn", "profile", F.sha2(provider.prompt(F.col("profile"), F.col("text"), F.lit("normal")), 256).alias("prompt"))
+
+
+PATHS = ["/data/ws/a.txt", "/data/ws-evil/a.txt", "/data/ws/../etc/passwd", "/data/ws/./b//c.txt", "rel/x.md", "../x", "", "  ", "data:text/plain,x", "DATA:x", "http://h/x", "file:///data/ws/a", "\\\\srv\\share", "C:\\x\\y.txt", "/other/a", "/data/ws", "/srv/pub/q.pdf", " /data/ws/pad.txt "]
+CODES = [None, "PATH_NOT_ALLOWED", "PATH_NOT_ALLOWED", None, None, "PATH_NOT_ALLOWED", "INVALID_ARGUMENT", "INVALID_ARGUMENT", "INVALID_ARGUMENT", "INVALID_ARGUMENT", "INVALID_ARGUMENT", "INVALID_ARGUMENT", "PATH_NOT_ALLOWED", "PATH_NOT_ALLOWED", "PATH_NOT_ALLOWED", None, None, None]
+
+
+@query(f"SELECT coalesce(({sql_list(CODES)})[event_id % {len(PATHS)} + 1], 'ok') AS code, count(*) AS n FROM events GROUP BY 1")
+def q33_sandbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roots = F.array(F.lit("/data/ws"), F.lit("/srv/pub/"))
+    paths = table(spark, sf_dir, "events").select(pick(PATHS, F.col("event_id") % len(PATHS)).alias("path"))
+    return paths.groupBy(F.coalesce(sandbox.textual_code(F.col("path"), roots), F.lit("ok")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""
+    WITH p AS (SELECT doc_id, text, greatest(1, least(6, ceil(length(text) / 500)))::INT AS n FROM documents),
+    s AS (SELECT doc_id, n, list_transform(range(1, n + 1), lambda k: substr(text, ((k - 1) * 500 + 1)::BIGINT, 500)) AS ps FROM p),
+    w AS (SELECT doc_id, n, list_transform(ps, lambda x: regexp_replace(x, '[\s\x1c-\x1f\x{85}\x{a0}]+$', '')) AS ps, len(list_filter(ps, lambda x: length(regexp_replace(x, '^[\s\x1c-\x1f\x{85}\x{a0}]+|[\s\x1c-\x1f\x{85}\x{a0}]+$', '', 'g')) < 120)) AS weak FROM s)
+    SELECT doc_id, n::BIGINT AS pages, weak::BIGINT AS weak_pages, sha256(array_to_string(list_transform(ps, lambda x, i: '### Page ' || i || chr(10) || chr(10) || CASE WHEN x <> '' THEN x ELSE '_(blank page)_' END), chr(10) || chr(10))) AS content FROM w
+""")
+def q34_pdf_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents as pages, spread over tasks and put together again in their order."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.greatest(F.lit(1), F.least(F.lit(6), F.ceil(F.length("text") / 500))).cast("int")
+    paged = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), n)).alias("page"))
+    body = paged.select("doc_id", "page", F.substring(F.col("text"), (F.col("page") - 1) * 500 + 1, F.lit(500)).alias("t"))
+    whole = text.rstrip(F.col("t"))
+    section = F.concat(F.lit("### Page "), F.col("page").cast("string"), F.lit("\n\n"), F.when(whole != "", whole).otherwise("_(blank page)_"))
+    weak = F.length(text.strip(F.col("t"))) < 120
+    # A document has six pages at most here, so a group is bounded.
+    joined = body.select("doc_id", "page", section.alias("s"), weak.alias("weak")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if("weak").alias("weak_pages"), F.array_sort(F.collect_list(F.struct("page", "s"))).alias("ss"))
+    return joined.select("doc_id", "pages", "weak_pages", F.sha2(F.array_join(F.transform("ss", lambda x: x["s"]), "\n\n"), 256).alias("content"))
+
+
+@query("SELECT date_trunc('hour', ts)::VARCHAR AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def q35_stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, run over what is there."""
+    import uuid
+
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(*_stream_source(sf_dir))
+    name = f"windows_{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    checkpoint = f"{shared}/{name}" if shared else tempfile.mkdtemp()
+    counted = run_to_table(window_counts(stream), name, checkpoint)
+    return counted.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+
+
+def _stream_source(sf_dir: str) -> tuple[str]:
+    return (f"{sf_dir}/events.parquet*",)
+
+
+@query("""
+    WITH m AS (SELECT user_id, date_trunc('hour', ts) AS h, count(*) AS n FROM events GROUP BY 1, 2)
+    SELECT user_id, max(n) AS busiest, count(*) AS hours FROM m GROUP BY 1
+""")
+def q36_request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hours = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    return hours.groupBy("user_id").agg(F.max("n").alias("busiest"), F.count(F.lit(1)).alias("hours"))
