@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _scan(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def _empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files without a byte: Spark's scan makes no split of them, but its file index (on the driver) has their names."""
+    scan = _scan(spark, path)
+    names = [(re.sub("^file:/+", "file:/", unquote(x)),) for x in scan.inputFiles()]
+    gone = spark.createDataFrame(names, "path string").join(scan.select("path"), "path", "left_anti")
+    return gone.select("path", F.lit(0).cast("long").alias("size_bytes"), F.lit(None).cast("timestamp").alias("modified_at"))
+
+
 def file_listing(spark: SparkSession, path: str) -> DataFrame:
     """Names, sizes and times only; ``content`` is pruned, so no file is opened."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return _named(listed.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")))
+    return _named(_scan(spark, path).select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")))
 
 
 def read_files(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
-    """Files with their content and digest. The size is checked by the scan, before a file is read."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= max_bytes)
-    rows = listed.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
-    return _named(rows).withColumn("sha256", F.sha2("content", 256))
+    """Files with their content and digest, empty ones too. The size is checked by the scan, before a file is read."""
+    small = _scan(spark, path).where(F.col("length") <= max_bytes)
+    rows = small.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"), "content")
+    empty = _empty_files(spark, path).withColumn("content", F.lit(b""))
+    return _named(rows.unionByName(empty)).withColumn("sha256", F.sha2("content", 256))
 
 
 def oversized(spark: SparkSession, path: str, max_bytes: int) -> DataFrame:
