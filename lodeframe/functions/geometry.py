@@ -64,3 +64,7 @@ def png_size(content: Column) -> Column:
     """struct<width, height> from a PNG's header; no pixel is decoded."""
     number = lambda at: F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("long")
     return F.when(F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A", F.struct(number(17).alias("width"), number(21).alias("height")))
+
+
+def was_downscaled(width: Column, height: Column, original_width: Column, original_height: Column) -> Column:
+    return (F.coalesce(original_width, width) > width) | (F.coalesce(original_height, height) > height)

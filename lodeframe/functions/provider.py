@@ -58,10 +58,32 @@ def data_url(mime: Column, content: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
 
 
-def manifest_line(label: Column, tile: Column, tiles: Column, x: Column, y: Column, w: Column, h: Column) -> Column:
-    """What a prompt says of one of several images; a single image has no line."""
-    where = F.format_string("Image %d of %d: tile at x=%d, y=%d, %dx%d", tile, tiles, x, y, w, h)
-    return F.when(tiles > 1, F.concat(where, F.when(label != "", F.concat(F.lit(" of "), label)).otherwise("")))
+def manifest_line(image: Column, index: Column, total: Column) -> Column:
+    """What the provider is told of one image: an overview, a tile with its place, a labelled image or just its number."""
+    number = F.format_string("[Image %d of %d", index, total)
+    tile = F.format_string(": tile in full resolution, x=%d-%d, y=%d-%d of the original; neighbours overlap by 96 pixels, so count nothing twice]", image["x"], image["x"] + image["w"], image["y"], image["y"] + image["h"])
+    overview = F.format_string(": whole image, scaled down from %dx%d]", image["original_w"], image["original_h"])
+    label = F.coalesce(image["label"], F.lit(""))
+    return F.concat(number, F.when(image["role"] == "overview", overview).when(image["x"].isNotNull() & image["y"].isNotNull(), tile).when(label != "", F.concat(F.lit(": "), label, F.lit("]"))).otherwise("]"))
+
+
+def payload(model: Column, words: Column, system: Column, images: Column, max_tokens: int) -> Column:
+    """The JSON of a chat-completions request: the prompt, then the images, each after its manifest line where there is need of one.
+
+    ``images`` is an array of struct<mime, content, label, role, x, y, w, h, original_w, original_h>.
+    """
+    piece = lambda kind, said=None, url=None: F.struct(F.lit(kind).alias("type"), (F.lit(None).cast("string") if said is None else said).alias("text"), (F.lit(None).cast("struct<url:string>") if url is None else F.struct(url.alias("url"))).alias("image_url"))
+    spatial = (F.size(images) > 1) | F.exists(images, lambda i: F.coalesce(i["role"] == "overview", F.lit(False)) | i["y"].isNotNull())
+
+    def shown(image: Column, k: Column) -> Column:
+        link = piece("image_url", url=data_url(image["mime"], image["content"]))
+        return F.when(spatial, F.array(piece("text", manifest_line(image, k + 1, F.size(images))), link)).otherwise(F.array(link))
+
+    content = F.concat(F.array(piece("text", words)), F.flatten(F.transform(images, shown)))
+    asked = F.to_json(F.struct(F.lit("user").alias("role"), content.alias("content")))
+    messages = F.concat_ws(",", F.when(F.coalesce(system, F.lit("")) != "", F.to_json(F.struct(F.lit("system").alias("role"), system.alias("content")))), asked)
+    name = F.to_json(F.struct(model.alias("model")))
+    return F.concat(F.lit("{"), F.regexp_replace(name, r"^\{|\}$", ""), F.lit(',"messages":['), messages, F.lit(f'],"max_tokens":{max_tokens},"temperature":0}}'))
 
 
 def prompt(profile: Column, question: Column, detail: Column, label: Column | None = None, context: Column | None = None, candidate: Column | None = None) -> Column:
@@ -148,3 +170,15 @@ def parse_completion(body: Column) -> Column:
     missing = F.get_json_object(body, "$.choices[0].message").isNull()
     error = F.when(ok.isNull() | missing, "VISION_INVALID_RESPONSE").when(F.coalesce(strip(text), F.lit("")) == "", "VISION_EMPTY_RESPONSE")
     return F.struct(F.when(error.isNull(), text).alias("text"), error.alias("error"))
+
+
+def completion_report(body: Column) -> Column:
+    """struct<model, route, finish, input_tokens, output_tokens>, null where the provider reports nothing."""
+    at = lambda path: F.get_json_object(body, path)
+    return F.struct(
+        at("$.model").alias("model"),
+        F.coalesce(at("$.provider"), at("$.system_fingerprint")).alias("route"),
+        at("$.choices[0].finish_reason").alias("finish"),
+        at("$.usage.prompt_tokens").cast("long").alias("input_tokens"),
+        at("$.usage.completion_tokens").cast("long").alias("output_tokens"),
+    )

@@ -19,7 +19,7 @@ def cache_key(settings: Settings, *, sha256: Column, mode: Column, profile: Colu
         "question": F.sha2(normalise_question(question), 256), "processor": processor, "processor_version": processor_version, "extension": extension,
         "prompt_version": F.lit(prompt_version), "ocr_version": F.lit(ocr_version), "vision_base_url": F.lit(settings.base_url),
     }
-    for name in ("max_pages", "ocr_backend", "ocr_languages", "send_ocr_to_cloud", "vision_provider", "vision_model", "vision_route", "vision_max_output_tokens", "allow_cloud_vision", "auto_image_strategy", "pdf_min_chars_per_page", "pdf_render_dpi", "vision_max_dimension", "vision_max_image_bytes", "vision_image_format", "max_image_pixels"):
+    for name in ("max_pages", "ocr_backend", "ocr_languages", "send_ocr_to_cloud", "vision_provider", "model", "vision_route", "vision_max_output_tokens", "allow_cloud_vision", "auto_image_strategy", "pdf_min_chars_per_page", "pdf_render_dpi", "vision_max_dimension", "vision_max_image_bytes", "vision_image_format", "max_image_pixels"):
         fields[name] = F.lit(str(getattr(settings, name)))
     return F.sha2(F.concat_ws("\x1f", *[F.concat(F.lit(k + "="), F.coalesce(fields[k], F.lit(""))) for k in sorted(fields)]), 256)
 

@@ -252,7 +252,7 @@ def sql_key() -> str:
         "schema": "'2'", "sha256": "sha256(d.text)", "mode": "'auto'", "vision_profile": "'general'", "detail": "'normal'", "pages": "'1,3-5'",
         "question": r"sha256(trim(regexp_replace(lower(t.text), '[\s\x1c-\x1f\x{85}\x{a0}]+', ' ', 'g')))", "processor": "'text'", "processor_version": "'1'", "extension": "'.txt'", "prompt_version": "'2'", "ocr_version": "''", "vision_base_url": "''",
     }
-    for name in ("max_pages", "ocr_backend", "ocr_languages", "send_ocr_to_cloud", "vision_provider", "vision_model", "vision_route", "vision_max_output_tokens", "allow_cloud_vision", "auto_image_strategy", "pdf_min_chars_per_page", "pdf_render_dpi", "vision_max_dimension", "vision_max_image_bytes", "vision_image_format", "max_image_pixels"):
+    for name in ("max_pages", "ocr_backend", "ocr_languages", "send_ocr_to_cloud", "vision_provider", "model", "vision_route", "vision_max_output_tokens", "allow_cloud_vision", "auto_image_strategy", "pdf_min_chars_per_page", "pdf_render_dpi", "vision_max_dimension", "vision_max_image_bytes", "vision_image_format", "max_image_pixels"):
         fields[name] = f"'{getattr(s, name)}'"
     return "sha256(" + " || chr(31) || ".join(f"'{k}=' || {fields[k]}" for k in sorted(fields)) + ")"
 
@@ -634,3 +634,16 @@ def _stream_source(sf_dir: str) -> tuple[str]:
 def q36_request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     hours = table(spark, sf_dir, "events").groupBy("user_id", F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
     return hours.groupBy("user_id").agg(F.max("n").alias("busiest"), F.count(F.lit(1)).alias("hours"))
+
+
+@query("""
+    SELECT event_id, sha256('{"model":"m","messages":[{"role":"user","content":[{"type":"text","text":"' || event_type || '"}' || CASE WHEN event_id % 2 = 0 THEN ',{"type":"text","text":"[Image 1 of 1: whole image, scaled down from 9000x800]"}' ELSE '' END
+        || ',{"type":"image_url","image_url":{"url":"data:image/png;base64,' || to_base64(encode(event_id::VARCHAR)) || '"}}]}],"max_tokens":1400,"temperature":0}') AS payload FROM events
+""")
+def q37_provider_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    image = F.struct(
+        F.lit("image/png").alias("mime"), F.col("event_id").cast("string").cast("binary").alias("content"), F.lit("").alias("label"), F.when(F.col("event_id") % 2 == 0, "overview").alias("role"),
+        *[F.lit(None).cast("int").alias(k) for k in ("x", "y", "w", "h")], F.lit(9000).alias("original_w"), F.lit(800).alias("original_h"),
+    )
+    made = provider.payload(F.lit("m"), F.col("event_type"), F.lit(None).cast("string"), F.array(image), 1400)
+    return table(spark, sf_dir, "events").select("event_id", F.sha2(made, 256).alias("payload"))

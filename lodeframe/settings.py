@@ -9,6 +9,8 @@ from urllib.parse import urlsplit
 
 SECRET_HINTS = ("api_key", "apikey", "authorization", "token", "secret", "password", "bearer")
 REDACTED = "***redacted***"
+#: Addresses that a provider's name stands for. Fixed values.
+PRESETS = {"huggingface": "https://router.huggingface.co/v1"}
 
 
 @dataclass(frozen=True)
@@ -30,6 +32,8 @@ class Settings:
     vision_api_key: str = ""
     vision_model: str = ""
     vision_route: str = ""
+    vision_route_policy: str = ""
+    vision_fallback_models: str = ""
     vision_timeout_seconds: int = 60
     vision_max_retries: int = 1
     vision_max_output_tokens: int = 1400
@@ -56,7 +60,18 @@ class Settings:
 
     @property
     def base_url(self) -> str:
-        return self.vision_base_url.rstrip("/")
+        """The given address, else that of a known provider's preset."""
+        return self.vision_base_url.rstrip("/") or PRESETS.get(self.vision_provider, "")
+
+    @property
+    def model(self) -> str:
+        """A preset's routing policy is a suffix of the model, if one is asked for and none is there."""
+        suffix = self.vision_route_policy if self.vision_provider in PRESETS and ":" not in self.vision_model else ""
+        return f"{self.vision_model}:{suffix}" if suffix else self.vision_model
+
+    @property
+    def fallback_models(self) -> tuple[str, ...]:
+        return tuple(x.strip() for x in self.vision_fallback_models.split(",") if x.strip())
 
     @property
     def vision_configured(self) -> bool:
@@ -92,9 +107,9 @@ class Settings:
             say("vision_image_format", "unknown image format", True, "auto, png or jpeg")
         if self.auto_image_strategy not in ("hybrid", "ocr_first", "vision_first"):
             say("auto_image_strategy", "unknown strategy", True, "hybrid, ocr_first or vision_first")
-        if self.vision_base_url and urlsplit(self.base_url).scheme not in ("http", "https"):
+        if self.base_url and urlsplit(self.base_url).scheme not in ("http", "https"):
             say("vision_base_url", "not an http(s) address", True, "give the root of the provider's interface")
-        if any((self.base_url, self.vision_api_key, self.vision_model)) and not self.vision_configured:
+        if any((self.vision_base_url, self.vision_api_key, self.vision_model)) and not self.vision_configured:
             say("vision_model", "vision is configured in part", False, "address, key and model belong together")
         if self.allow_cloud_vision and not self.vision_configured:
             say("allow_cloud_vision", "allowed but not configured", False, "configure a provider")
