@@ -12,7 +12,7 @@ from ..functions import geometry, provider, text
 from ..functions.intent import PROFILE_WORDS, TEXT_WORDS, VISUAL_WORDS, intent, profile
 from ..operators import cache, detect, render, route, sandbox, sections
 from ..settings import Settings
-from ..sources.convert import html_markdown
+from ..sources.convert import convert
 from ..sources.files import text_files
 from ..streaming.windows import run_to_table, window_counts
 from .engine import Engine, requests_for
@@ -438,9 +438,6 @@ def q24_html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q24_html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as Markdown; tests/test_sources.py holds the converter against fixtures."""
-    from ..sources.convert import convert
-
-    assert html_markdown  # the converter that .html uses
     files = text_files(table(spark, sf_dir, "pages"), id_col="page_id", text_col="html", extension=".html")
     return convert(files).select("name", "markdown", F.length("markdown").cast("long").alias("chars"))
 
@@ -481,7 +478,8 @@ def q26_tile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h, limit = F.col("w"), F.col("h"), 4096
     planned = sizes.select("id", geometry.payload_plan(w, h, limit).alias("plan"), geometry.tiles(w, h, limit).alias("t"), geometry.scaled(w, h, limit).alias("s"))
     last = F.element_at("t", -1)
-    return planned.select("id", "plan", F.size("t").cast("long").alias("n_tiles"), F.when(F.size("t") > 0, F.greatest(*[F.when(last["x"] + last["y"] > 0, F.when(last["x"] > 0, last["w"]).otherwise(last["h"])).otherwise(0)] * 2)).otherwise(0).cast("long").alias("last_tile"), F.col("s.w").cast("long").alias("scaled_w"), F.col("s.h").cast("long").alias("scaled_h"))
+    along = F.when(last["x"] > 0, last["w"]).when(last["y"] > 0, last["h"]).otherwise(0)
+    return planned.select("id", "plan", F.size("t").cast("long").alias("n_tiles"), F.when(F.size("t") > 0, along).otherwise(0).cast("long").alias("last_tile"), F.col("s.w").cast("long").alias("scaled_w"), F.col("s.h").cast("long").alias("scaled_h"))
 
 
 @query("""
@@ -507,7 +505,6 @@ SQL_STATUS = " ".join(f"WHEN s = {k} THEN '{c}'" for k, (c, _) in provider.STATU
 """)
 def q28_http_error_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    # The body's place in its list must differ from the status's, or they would always meet.
     seen = events.select(provider.http_error(pick(STATUSES, F.col("event_id") % len(STATUSES)), pick(BODIES, F.col("event_id") % len(BODIES))).alias("e"))
     return seen.groupBy("e.code", "e.retryable").agg(F.count(F.lit(1)).alias("n"))
 
@@ -545,7 +542,7 @@ def expected_facts(docs: DataFrame, facts: DataFrame, block: int = 20_000) -> Da
     found = None
     for k in range(pieces):
         part = numbered.where(F.col("__piece") == k).agg(F.collect_list(F.struct("item_id", "text")).alias("facts"))
-        held = docs.select("doc_id", "text", F.lit(1).alias("__one")).join(F.broadcast(part.withColumn("__one", F.lit(1))), "__one")
+        held = docs.select("doc_id", "text").withColumn("facts", part.scalar())
         hits = held.select("doc_id", F.explode(F.transform(F.filter("facts", lambda f: F.contains(F.col("text"), f["text"])), lambda f: f["item_id"])).alias("item_id"))
         counted = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first_doc"))
         found = counted if found is None else found.unionByName(counted)
