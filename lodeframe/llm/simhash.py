@@ -39,6 +39,8 @@ from .spans import slices, words_of, xxh64
 BITS = 64
 #: Bytes of text that are hashed at once.
 SLICE_BYTES = 1 << 20
+#: Shingles of which the bits are held at once.
+CHUNK = 1 << 16
 #: Members of a tree node that are scanned instead of split further.
 LEAF = 8
 
@@ -52,16 +54,17 @@ def fingerprints(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.nda
     owner = np.repeat(np.arange(len(count)), shingles)
     head = np.arange(begin[-1]) - begin[owner] + words.first[owner]
     tail = head + np.minimum(count, shingle)[owner] - 1
-    start = words.start[head]
-    hashes = xxh64(words.buffer, start, words.start[tail] + words.length[tail] - start, seed)
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, BITS)
-    out = np.zeros(len(count), np.uint64)
-    for k, n in enumerate(shingles):
-        if n:
-            own = bits[begin[k] : begin[k + 1]]
-            votes = sum(own[j : j + 255].sum(0, dtype=np.uint8).astype(np.int64) for j in range(0, n, 255))
-            out[k] = int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
-    return out
+    votes = np.zeros((len(count), BITS), np.int64)
+    for low in range(0, len(head), CHUNK):  # a text may be longer than all that fits
+        span = slice(low, low + CHUNK)
+        start, own = words.start[head[span]], owner[span]
+        hashes = xxh64(words.buffer, start, words.start[tail[span]] + words.length[tail[span]] - start, seed)
+        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, BITS)
+        for k in range(own[0], own[-1] + 1):
+            mine = bits[max(begin[k] - low, 0) : max(begin[k + 1] - low, 0)]
+            for j in range(0, len(mine), 255):
+                votes[k] += mine[j : j + 255].sum(0, dtype=np.uint8)
+    return np.packbits(votes * 2 > shingles[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:

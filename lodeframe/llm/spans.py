@@ -24,8 +24,8 @@ class Words:
 
 def words_of(texts: Iterable[bytes]) -> Words:
     """Lower A-Z, split at ASCII white space, lay the words of a text out with one space between them."""
-    lines = [b" ".join(t.lower().split()) for t in texts]
-    buffer = np.frombuffer(b"\n" + b"\n".join(lines) + b"\n" + bytes(8), np.uint8)
+    lines = [b" ".join(t.lower().split()) + b"\n" for t in texts]
+    buffer = np.frombuffer(b"\n" + b"".join(lines) + bytes(8), np.uint8)
     marks = np.flatnonzero((buffer == SPACE) | (buffer == BREAK))
     start, length = marks[:-1] + 1, np.diff(marks) - 1
     breaks = marks[buffer[marks] == BREAK]

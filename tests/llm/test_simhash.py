@@ -52,6 +52,15 @@ def test_whole_table_matches_brute_force(spark, sf_dir):
     assert got(simhash_components(docs)) == brute(rows)
 
 
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    from lodeframe.llm import simhash
+
+    texts = [b"", b"One", b"a b " * 700, b"x y z w", b"q " * 1000, b" \n"]
+    whole = simhash.fingerprints(texts)
+    monkeypatch.setattr(simhash, "CHUNK", 7)
+    assert simhash.fingerprints(texts).tolist() == whole.tolist() and len(simhash.fingerprints([])) == 0
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "One"), (4, "one \t"), (5, "a b c d e f g h"), (5, "a b c d e f g h"), (None, "x y z"), (None, None), (9, "w " * 5000)]
     docs = spark.createDataFrame([(i, t, "u", 1) for i, t in rows], "doc_id long, text string, fp string, component_id int")
