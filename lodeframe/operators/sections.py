@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import excerpt, strip
+from ..functions.text import bind, excerpt, strip
 
 #: Where a slide, a sheet and any heading begin. Fixed values of the converted format.
 SLIDE, SHEET = r"(?m)^<!-- Slide number:\s*(\d+)\s*-->\s*$", r"(?m)^##\s+(.+?)\s*$"
@@ -15,26 +15,36 @@ NONE = "array<struct<name:string,body:string>>"
 
 def _pieces(markdown: Column, marker: str) -> Column:
     """struct<name, body> for each marker; what precedes the first is left out."""
-    names = F.transform(F.regexp_extract_all(markdown, F.lit(marker), F.lit(1)), strip)
-    bodies = F.slice(F.split(markdown, marker), 2, F.greatest(F.size(names), F.lit(1)))
-    return F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("name"), strip(b).alias("body")))
+
+    def cut(md: Column) -> Column:
+        names = F.transform(F.regexp_extract_all(md, F.lit(marker), F.lit(1)), strip)
+        bodies = F.slice(F.split(md, marker), 2, F.greatest(F.size(F.split(md, marker)) - 1, F.lit(1)))
+        return F.zip_with(names, bodies, lambda n, b: F.struct(n.alias("name"), strip(b).alias("body")))
+
+    return bind(markdown, cut)
 
 
 def split_slides(markdown: Column, expected: Column | None = None) -> Column:
     """Slides if their numbers are 1 to n (the true n, if it is known), else an empty array."""
-    pieces = _pieces(markdown, SLIDE)
-    numbers = F.transform(pieces, lambda p: p["name"].cast("int"))
-    n = F.size(pieces) if expected is None else F.coalesce(expected, F.size(pieces))
-    right = (F.size(pieces) > 0) & (F.size(pieces) == n) & (numbers == F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))))
-    return F.when(right, pieces).otherwise(F.array().cast(NONE))
+
+    def trusted(pieces: Column) -> Column:
+        n = F.size(pieces) if expected is None else F.coalesce(expected, F.size(pieces))
+        numbers = F.transform(pieces, lambda p: p["name"].cast("int"))
+        right = (F.size(pieces) > 0) & (F.size(pieces) == n) & (numbers == F.sequence(F.lit(1), F.greatest(F.size(pieces), F.lit(1))))
+        return F.when(right, pieces).otherwise(F.array().cast(NONE))
+
+    return bind(_pieces(markdown, SLIDE), trusted)
 
 
 def split_sheets(markdown: Column, expected: Column | None = None) -> Column:
     """Sheets if their names are the true ones in their order (where those are known), else an empty array."""
-    pieces = _pieces(markdown, SHEET)
-    names = F.transform(pieces, lambda p: p["name"])
-    right = F.size(pieces) > 0 if expected is None else (F.size(pieces) > 0) & F.coalesce(names == expected, expected.isNull())
-    return F.when(right, pieces).otherwise(F.array().cast(NONE))
+
+    def trusted(pieces: Column) -> Column:
+        names = F.transform(pieces, lambda p: p["name"])
+        right = F.size(pieces) > 0 if expected is None else (F.size(pieces) > 0) & F.coalesce(names == expected, expected.isNull())
+        return F.when(right, pieces).otherwise(F.array().cast(NONE))
+
+    return bind(_pieces(markdown, SHEET), trusted)
 
 
 def outline(markdown: Column, limit: int = 12) -> Column:

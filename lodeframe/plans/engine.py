@@ -72,7 +72,8 @@ class Engine:
         misses = looked.where("cache_status != 'hit'")
         # One piece of work for each key, however many requests share it.
         work = misses.dropDuplicates(["cache_key"]).join(files.select("path", "content"), "path").withColumn("name", F.lit(NAME))
-        done = stage(self.process(work).select("cache_key", *NAMES), "processed")
+        present = {r.processor for r in misses.select("processor").distinct().collect()}  # four values at most
+        done = stage(self.process(work, present).select("cache_key", *NAMES), "processed")
         if self.cache_path and self.settings.cache_enabled:
             payload = F.to_json(F.struct(*NAMES), {"ignoreNullFields": "false"})
             cache.put(done.where("error IS NULL").select("cache_key", F.lit(cache.SCHEMA_VERSION).alias("schema_version"), now.alias("stored_at"), now.alias("last_access"), F.octet_length(payload).cast("long").alias("size_bytes"), payload.alias("payload")), self.cache_path)
@@ -121,11 +122,12 @@ class Engine:
         forced = F.coalesce("force_refresh", F.lit(False)) & (F.col("cache_status") == "hit")
         return looked.withColumn("cache_status", F.when(forced, "refresh").otherwise(F.col("cache_status")))
 
-    def process(self, work: DataFrame) -> DataFrame:
-        """A branch for each processor; a branch without rows costs nothing at run time."""
-        branches = [self._text(work.where("processor = 'text'")), self._converted(work.where("processor = 'convert'"))]
-        branches.append(self._pdf(work.where("processor = 'pdf'")))
-        branches.append(self._image(work.where("processor = 'image'")))
+    def process(self, work: DataFrame, present: set[str] | None = None) -> DataFrame:
+        """A branch for each processor that has work; the others are not planned at all."""
+        makers = {"text": self._text, "convert": self._converted, "pdf": self._pdf, "image": self._image}
+        branches = [make(work.where(F.col("processor") == name)) for name, make in makers.items() if present is None or name in present]
+        if not branches:
+            return self._failed(work, "INTERNAL_ERROR")  # no rows
         out = branches[0]
         for b in branches[1:]:
             out = out.unionByName(b)
