@@ -13,7 +13,8 @@ does not grow with the corpus. Everything else reads every row and every byte.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a
 text shorter than a window is one padded window; without labelled rows every
-text is ``und``; repeated rows get equal answers; other columns are ignored.
+text is ``und``; repeated rows get equal answers (scores are rounded to six
+places, as the network works in single precision); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ def _scored(net: Network):
             best = total.argmax(axis=1)
             score = np.divide(total[np.arange(len(texts)), best], weight, out=np.zeros(len(texts)), where=weight > 0)
             lang = [net.languages[k] if w > 0 else UNKNOWN for k, w in zip(best, weight, strict=True)]
-            yield pa.record_batch([*(b.column(c) for c in range(b.num_columns - 2)), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], [*b.schema.names[:-2], "lang_pred", "score"])
+            yield pa.record_batch([*(b.column(c) for c in range(b.num_columns - 2)), pa.array(lang, pa.string()), pa.array(np.clip(np.round(score, 6), 0, 1))], [*b.schema.names[:-2], "lang_pred", "score"])
 
     return run
 
