@@ -201,8 +201,8 @@ def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     Of rows that repeat identifier and text any one stays.
     """
-    kept = exact_dedup(docs, id_col=id_col, text_col=text_col, keep=keep, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+    kept = exact_dedup(docs, id_col=id_col, text_col=text_col, keep=keep, **options).where("kept").select("doc_id", "text_sha256")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    marked = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__sha": F.sha2(text.cast("binary"), 256)})
-    same = marked["__id"].eqNullSafe(kept["__id"]) & (marked["__sha"] == kept["__sha"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["__id", "__sha"]).drop("__id", "__sha")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.sha2(text.cast("binary"), 256).alias("sha"))
+    same = rows["id"].eqNullSafe(kept["doc_id"]) & (rows["sha"] == kept["text_sha256"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "sha"]).select("row.*")

@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import crc_fold, narrow
 from .spans import slices
@@ -215,6 +216,6 @@ def keep_identified(docs: DataFrame, *, text_col: str = "text", min_score: float
     letter = F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letter")
     columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     fed = docs.select(columns, F.coalesce(text, F.lit("")).cast("binary").alias("text"), letter.alias("letter"))
-    row_type = fed.schema["row"].dataType.simpleString()
-    scored = fed.mapInArrow(_scored(net), f"row {row_type}, lang_pred string, score double")
+    schema = StructType([fed.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    scored = fed.mapInArrow(_scored(net), schema)
     return scored.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("row.*")

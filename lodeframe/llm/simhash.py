@@ -68,17 +68,18 @@ def fingerprints(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.nda
 
 
 def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for each row."""
+    """doc_id, fp (the fingerprint as a signed long) and mark (a hash of the text) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
             parts = [fingerprints(texts[s], shingle) for s in slices(map(len, texts), SLICE_BYTES)]
             fp = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(fp), b.column("mark")], ["doc_id", "fp", "mark"])
 
-    source = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    source = narrow(docs, doc_id=id_col, text=text_col)
+    rows = source.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), F.xxhash64(text_of()).alias("mark"))
+    return rows.mapInArrow(run, "doc_id long, fp long, mark long")
 
 
 def blocks_for(classes: int, radius: int) -> int:
@@ -217,20 +218,31 @@ def near_links(classes: DataFrame, *, radius: int = 3, shard_rows: int = 2048, b
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(radius), "a long, b long")
 
 
-def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard_rows: int = 2048, blocks: int | None = None) -> DataFrame:
-    """doc_id, fingerprint and component_id for each row of ``docs``."""
+def _placed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard_rows: int = 2048, blocks: int | None = None) -> DataFrame:
+    """doc_id, fp, mark, root (a component's smallest fingerprint) and component_id for each row of ``docs``."""
     prints = staged(fingerprint_table(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     joined = components(near_links(classes, radius=radius, shard_rows=shard_rows, blocks=blocks))
     roots = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = roots.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = roots.join(lowest, "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp")
+
+
+def simhash_components(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, fingerprint and component_id for each row of ``docs``; ``options`` are those of ``_placed``."""
+    return _placed(docs, **options).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component, that of its smallest identifier, with all its columns."""
-    found = simhash_components(docs, id_col=id_col, text_col=text_col, **options)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    marked = docs.withColumn("__id", F.col(f"`{id_col}`").cast("long"))
-    return marked.join(kept, marked["__id"].eqNullSafe(kept["__id"]), "left_semi").dropDuplicates(["__id"]).drop("__id")
+    """One row of each component, that of its smallest identifier, with all its columns.
+
+    The row is found by identifier and text, so rows of different texts that
+    share an identifier, or have none, stand for their own components only.
+    """
+    found = _placed(docs, id_col=id_col, text_col=text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.min("mark").alias("keep_mark"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("mark"))
+    same = rows["id"].eqNullSafe(kept["keep_id"]) & (rows["mark"] == kept["keep_mark"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "mark"]).select("row.*")

@@ -1,6 +1,7 @@
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_simhash import brute as near_groups
 
 
@@ -56,3 +57,19 @@ def test_empty(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_clashing_columns_and_shared_identifiers(spark, sf_dir):
+    """Columns with any name come through; different texts without or with one identifier all stay."""
+    odd = ["__id", "row", "kept", "mark", "sha", "fp", "low", "size", "shard", "drawn", "letter", "score", "a b.c"]
+    texts = ["one two three four rivers run", "mountains stand where no river goes", "the third text speaks of the sea", "and a fourth of the wide plain", "the third text speaks of the sea"]
+    extra = spark.createDataFrame([(i, t, "en", None, len(t)) for i, t in zip([None, None, 9_001, 9_001, 9_001], texts, strict=True)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").union(extra)
+    docs = docs.select("*", *[F.lit(c).alias(c) for c in odd])
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        new = [(r[0], r[1]) for r in out.collect() if r[0] in (None, 9_001)]
+        assert sorted(new, key=repr) == sorted({(None, texts[0]), (None, texts[1]), (9_001, texts[2]), (9_001, texts[3])}, key=repr), name
+    for _, stage in (corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[3]):
+        assert stage(spark, docs, sf_dir).columns == docs.columns
