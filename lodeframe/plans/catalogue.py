@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +13,7 @@ from ..operators import cache, detect, render, route, sandbox, sections
 from ..settings import Settings
 from ..sources.convert import convert
 from ..sources.files import text_files
+from ..staging import shared_folder
 from ..streaming.windows import run_to_table, window_counts
 from .engine import Engine, requests_for
 
@@ -614,9 +614,7 @@ def q35_stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*").parquet(*_stream_source(sf_dir))
     name = f"windows_{uuid.uuid4().hex}"
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    checkpoint = f"{shared}/{name}" if shared else tempfile.mkdtemp()
-    counted = run_to_table(window_counts(stream), name, checkpoint)
+    counted = run_to_table(window_counts(stream), name, f"{shared_folder(spark)}/{name}")
     return counted.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
 
 
