@@ -17,7 +17,7 @@ its target, an exact number of words, is drawn without replacement:
 Randomness is hashes of the seed with identifiers, so reruns agree. The draws
 are grouped by source and shard, and a source that holds a third of all rows
 has as many groups as there are shards. ``collect_list`` gathers numbers of
-words by shard, never rows.
+words by shard, never rows: 8 bytes for each ``shard_words`` words of the corpus.
 
 Defined cases: a null text has size 0 and nothing is taken of it; the null
 source is a source and comes last; a source without words has target 0; rows
@@ -121,7 +121,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return levels.select("source_key", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, shard_words: int = 1 << 21, least_shards: int = 256, block_words: int = 64, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, shard_words: int = 1 << 24, least_shards: int = 256, block_words: int = 64, seed: int = 1) -> DataFrame:
     """A row for each row of ``docs``: doc_id, size, source_size, target, taken, shard, passes, drawn and slot.
 
     ``passes`` is how often the whole text is taken, ``drawn`` lists the blocks
@@ -170,7 +170,7 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text", source_col: str
 
     Blocks keep their words' white space. Documents of which nothing is taken go.
     """
-    options = {"weights": WEIGHTS, "most": MOST_PASSES, "shard_words": 1 << 21, "least_shards": 256, "block_words": 64, "seed": 1} | options
+    options = {"weights": WEIGHTS, "most": MOST_PASSES, "shard_words": 1 << 24, "least_shards": 256, "block_words": 64, "seed": 1} | options
     names = docs.columns
     kept = F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept")
     mark = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{source_col}`"), F.xxhash64(F.col(f"`{text_col}`")), F.lit(options["seed"])).alias("mark")
