@@ -7,7 +7,8 @@ last return the columns of ``documents``.
 1. language_id: documents that the network cannot place (no letter, or a best
    score under 0.4) go; all others stay, with their text as it is.
 2. exact_dedup: of equal texts the row with the smallest doc_id stays.
-3. near_dedup: of each component of near-duplicates the smallest doc_id stays.
+3. near_dedup: of each component of texts that share 0.8 or more of their
+   five-word shingles (Jaccard) the smallest doc_id stays.
 4. source_mix: a document stays once for each whole pass of its source, and
    once more with its drawn blocks as its text, so doc_id repeats.
 5. best_fit_packing: the mixed documents in sequences of 2,048 words; the
@@ -25,8 +26,8 @@ from lodeframe.llm.common import shared_dir
 from lodeframe.llm.exact_dedup import drop_exact_copies
 from lodeframe.llm.langid import keep_identified
 from lodeframe.llm.mixing import mixed_documents
+from lodeframe.llm.overlap import drop_similar
 from lodeframe.llm.packing import pack
-from lodeframe.llm.simhash import drop_near_copies
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_copies(docs)
+    return drop_similar(docs, shingle=5, least=0.8)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

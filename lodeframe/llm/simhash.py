@@ -240,7 +240,12 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     The row is found by identifier and text, so rows of different texts that
     share an identifier, or have none, stand for their own components only.
     """
-    found = _placed(docs, id_col=id_col, text_col=text_col, **options).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return one_of_each(docs, _placed(docs, id_col=id_col, text_col=text_col, **options), id_col=id_col, text_col=text_col)
+
+
+def one_of_each(docs: DataFrame, placed: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """The row of ``docs`` that stands for each root of ``placed`` (doc_id, mark, root, component_id)."""
+    found = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = found.groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.min("mark").alias("keep_mark"))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("mark"))
