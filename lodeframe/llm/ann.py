@@ -36,6 +36,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Approximate cosines closer than this may be equal, or in another order, exactly.
+TIE = 1e-9
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -225,8 +228,9 @@ def nearest(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str =
             names = queries.column("class").to_pylist()
             for begin in range(0, len(q), 256):
                 near = unit(q[begin : begin + 256]) @ sure.T
-                wide = min(2 * keep, len(x))  # more than needed, as the exact order may differ in the last digits
-                for at, top in enumerate(np.argpartition(-near, wide - 1, axis=1)[:, :wide]):
+                cut = -np.partition(-near, min(keep, len(x)) - 1, axis=1)[:, min(keep, len(x)) - 1]
+                for at, row in enumerate(near):
+                    top = np.flatnonzero(row >= cut[at] - TIE)  # all of them, as ties are settled by identifier
                     scores = exact_cosines(q[begin + at], x[top])
                     found = sorted((-s, i) for s, row in zip(scores.tolist(), top) for i in ids[row])[:keep]
                     out[0].append(names[begin + at])

@@ -60,6 +60,18 @@ def test_odd_rows_and_many_copies(spark):
     assert collected(nearest(few)) == {0: [(1, 0.0)]}
 
 
+@pytest.mark.parametrize("options", [{}, {"piece_rows": 20}])
+def test_many_scaled_copies_tie_by_identifier(spark, options):
+    """Scaled copies are classes of their own with the same cosine: the smallest identifiers are due."""
+    dice = np.random.default_rng(4)
+    base = dice.integers(1, 9, 8).astype(float)
+    rows = [(0, base.tolist())] + [(i, (base * 2.0**scale).tolist()) for i, scale in zip(range(1, 51), dice.permutation(50) + 1, strict=True)]
+    rows += [(i, dice.normal(size=8).tolist()) for i in range(101, 150)]
+    table = spark.createDataFrame([rows[k] for k in dice.permutation(len(rows))], "vec_id long, embedding array<float>").repartition(3)
+    got = collected(nearest(table, **options))
+    assert [v for v, _ in got[0]] == [1, 2, 3, 4, 5] and [v for v, _ in got[50]] == [0, 1, 2, 3, 4]
+
+
 def test_parts_are_balanced():
     x = unit(np.random.default_rng(0).normal(size=(900, 16)))
     label = balanced_parts(x, neighbour_graph(x, 8), 7)
