@@ -140,7 +140,7 @@ def normalise_pages(pages: Column) -> Column:
 
 
 def page_selection(expression: Column, total: Column, most: int) -> Column:
-    """struct<pages array<int>, error string>: 1-based pages of '1-3,8', sorted, the first ``most`` of them.
+    """struct<pages array<int>, error string, asked int>: 1-based pages of '1-3,8', sorted, the first ``most`` of them, and how many there were.
 
     Bounds are checked before any range is made, so a huge range costs nothing.
     """
@@ -168,6 +168,8 @@ def page_selection(expression: Column, total: Column, most: int) -> Column:
         .when(F.array_min(F.transform(ranges, lambda r: r["low"])) < 1, "BELOW_ONE")
         .when(F.array_max(F.transform(ranges, lambda r: r["high"])) > total, "OUT_OF_RANGE")
     )
-    chosen = F.slice(F.array_sort(F.array_distinct(F.flatten(F.transform(ranges, inside)))), 1, most)
+    named = F.array_distinct(F.flatten(F.transform(ranges, inside)))
+    chosen = F.slice(F.array_sort(named), 1, most)
     pages = F.when(error.isNotNull(), F.lit(None).cast("array<int>")).when(blank, every).otherwise(chosen)
-    return F.struct(pages.alias("pages"), error.alias("error"))
+    asked = F.when(error.isNotNull(), F.lit(None).cast("int")).when(blank, total.cast("int")).otherwise(F.size(named))
+    return F.struct(pages.alias("pages"), error.alias("error"), asked.alias("asked"))

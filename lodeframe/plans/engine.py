@@ -33,6 +33,14 @@ def nothing(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
+def cut_note(what: str, thing: str, verb: str, pages: Column, total: Column, asked: Column, kept: Column) -> Column:
+    """Says that max_pages left out pages or slides; null if it did not."""
+    number = lambda c: c.cast("string")
+    some = F.concat(F.lit("The 'pages' parameter selects "), number(asked), F.lit(f" {thing}s; only the first "), number(kept), F.lit(f" of them were {verb}. Ask for the others in another request."))
+    every = F.concat(F.lit(f"The {what} has "), number(total), F.lit(f" {thing}s; only the first "), number(kept), F.lit(f" were {verb}. Use the 'pages' parameter to reach later {thing}s."))
+    return F.when(asked > kept, F.when(pages.isNull() | (strip(pages) == ""), every).otherwise(some))
+
+
 def item(kind: str, location: Column, content: Column, confidence: Column | None = None) -> Column:
     return F.struct(F.lit(kind).alias("type"), location.alias("location"), content.alias("content"), (nothing("double") if confidence is None else confidence.cast("double")).alias("confidence"))
 
@@ -163,13 +171,14 @@ class Engine:
         evidence = F.when(F.size("__slides") > 0, section_evidence(kept, "slide", "slide ")).when(F.size("__sheets") > 0, section_evidence(F.col("__sheets"), "sheet")).otherwise(F.array(item("text", F.col("name"), excerpt(F.col("markdown")))))
         ignored = F.when(F.col("pages").isNotNull() & (F.size("__slides") == 0), F.when(F.size("__sheets") > 0, "The 'pages' parameter does not apply to spreadsheets; all sheets were converted.").otherwise(F.concat(F.lit("The 'pages' parameter does not apply to "), F.col("extension"), F.lit(" files and was ignored."))))
         unsplit = F.when((F.size("__slides") == 0) & (F.col("extension") == ".pptx"), "Slide boundaries could not be verified; the content is one block.").when((F.size("__sheets") == 0) & (F.col("extension") == ".xlsx"), "Sheet headings did not match the workbook; the content is one block.")
+        capped = cut_note("deck", "slide", "converted", F.col("pages"), F.size("__slides"), F.col("__pages.asked"), F.size("__pages.pages"))
         label = F.upper(F.regexp_replace("extension", r"^\.", ""))
         return self._result(
             chosen,
             summary=conversion_summary(label, F.col("name"), F.col("markdown"), F.col("__slides"), F.col("__sheets")),
             content_markdown=content,
             evidence=evidence,
-            warnings=F.array_compact(F.array(ignored, unsplit)),
+            warnings=F.array_compact(F.array(ignored, unsplit, capped)),
             error=F.coalesce(F.col("convert_error"), F.when(F.col("__pages.error").isNotNull(), "INVALID_PAGE_SELECTION")),
         )
 
@@ -203,17 +212,17 @@ class Engine:
 
         counted = append(rows, "total_pages int", count).withColumn("__sel", page_selection(F.col("pages"), F.coalesce("total_pages", F.lit(0)), settings.max_pages))
         broken = F.when(F.col("total_pages").isNull(), "DOCUMENT_CONVERSION_FAILED").when(F.col("__sel.error").isNotNull(), "INVALID_PAGE_SELECTION")
-        marked = counted.withColumns({"__error": broken, "selected": F.col("__sel.pages")}).drop("__sel")
+        marked = counted.withColumns({"__error": broken, "selected": F.col("__sel.pages"), "asked": F.col("__sel.asked")}).drop("__sel")
         bad = self._result(marked.where("__error IS NOT NULL"), summary=F.lit(""), content_markdown=F.lit(""), evidence=none_of(EVIDENCE), error=F.col("__error"))
         opened = append(marked.where("__error IS NULL"), "__pages array<struct<page:int,text:string>>", read)
-        paged = opened.select("cache_key", "name", "content", "pages", "plan", "intent", "profile", "question", "detail", "total_pages", "selected", F.explode("__pages").alias("__p")).select("*", "__p.page", "__p.text").drop("__p")
+        paged = opened.select("cache_key", "name", "content", "pages", "plan", "intent", "profile", "question", "detail", "total_pages", "selected", "asked", F.explode("__pages").alias("__p")).select("*", "__p.page", "__p.text").drop("__p")
         clean = strip(F.col("text"))
         weak = F.col("plan").isin("ocr", "vision") | ((F.col("plan") != "text") & needs_fallback(F.length(clean), printable_ratio(clean), settings.pdf_min_chars_per_page))
         paged = paged.withColumns({"weak": weak, "backend": weak_page_backend(F.col("plan"), F.lit(self.ocr.available()), F.lit(self.vision_usable), F.col("intent"))})
         whole = rstrip(F.col("text"))
         head = F.concat(F.lit("### Page "), F.col("page").cast("string"), F.lit("\n\n"))
         where = F.concat(F.lit("page "), F.col("page").cast("string"))
-        keep = ["cache_key", "name", "pages", "total_pages", "selected", "page", "weak"]
+        keep = ["cache_key", "name", "pages", "total_pages", "selected", "asked", "page", "weak"]
         short = F.when(F.length(whole) > 400, F.concat(F.substring(whole, 1, 400), F.lit(" ..."))).when(whole == "", "(blank)").otherwise(whole)
         good = paged.where(~F.col("weak")).select(*keep, F.concat(head, F.when(whole != "", whole).otherwise("_(blank page)_")).alias("section"), F.array(item("page", where, short)).alias("ev"), nothing().alias("note"))
         thin = paged.where("weak")
@@ -227,7 +236,7 @@ class Engine:
             replied = look(asked, self.vision, settings.vision_max_output_tokens, "image").withColumn("__a", provider.parse_reply(F.coalesce("reply", F.lit(""))))
             found = found.unionByName(replied.select(*keep, F.concat(head, F.coalesce(F.col("reply"), F.lit("_(not analysed)_"))).alias("section"), F.array(item("visual", where, F.substring(F.coalesce(F.array_join("__a.observations", "\n"), F.col("__a.summary")), 1, 1200))).alias("ev"), F.coalesce("vision_error", F.lit("vision")).alias("note")))
         # A document has max_pages pages at most, so what is gathered for one is bounded.
-        gathered = found.groupBy("cache_key", "name", "pages", "total_pages", "selected").agg(
+        gathered = found.groupBy("cache_key", "name", "pages", "total_pages", "selected", "asked").agg(
             F.array_sort(F.collect_list(F.struct("page", "section"))).alias("sections"),
             F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("weak", "page", "ev"))), lambda x: x["ev"])).alias("evidence"),
             F.array_sort(F.collect_set("note")).alias("notes"),
@@ -238,7 +247,7 @@ class Engine:
             F.concat_ws("; ", F.concat(F.lit("PDF `"), F.col("name"), F.lit("`: "), F.col("total_pages").cast("string"), F.lit(" page(s), "), n.cast("string"), F.lit(" selected")), F.when(n > F.col("thin"), F.concat((n - F.col("thin")).cast("string"), F.lit(" read from the embedded text layer"))), F.when(F.col("thin") > 0, F.concat(F.col("thin").cast("string"), F.lit(f" below the text-density threshold ({settings.pdf_min_chars_per_page} chars/page) handled by fallback")))),
             F.lit("."),
         )
-        capped = F.when(F.col("total_pages") > n, F.when(F.col("pages").isNull(), F.concat(F.lit("The document has "), F.col("total_pages").cast("string"), F.lit(" pages; only the first "), n.cast("string"), F.lit(" were processed. Use the 'pages' parameter to reach later pages.")))  )
+        capped = cut_note("document", "page", "processed", F.col("pages"), F.col("total_pages"), F.col("asked"), n)
         lost = F.when(F.array_contains("notes", "no fallback"), "Some pages have little text and no OCR or vision backend is available.")
         return bad.unionByName(self._result(gathered, summary=summary, content_markdown=F.array_join(F.transform("sections", lambda x: x["section"]), "\n\n"), evidence=F.col("evidence"), warnings=F.array_compact(F.array(capped, lost)), fallbacks_used=F.filter("notes", lambda x: x != "no fallback")))
 

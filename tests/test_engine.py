@@ -78,6 +78,21 @@ def test_pages_and_modes(spark, folder):
     assert [got[f"notes.txt#{m}"].error.code for m in ("vision", "ocr", "other")] == ["VISION_NOT_CONFIGURED", "MODE_NOT_APPLICABLE", "INVALID_ARGUMENT"]
 
 
+def test_a_cut_at_max_pages_is_said(spark, tmp_path):
+    slides = range(1, 34)
+    members = {"ppt/presentation.xml": f"<p {W}>" + "".join(f'<sldId r:id="r{k}"/>' for k in slides) + "</p>", "ppt/_rels/presentation.xml.rels": "<R>" + "".join(f'<x Id="r{k}" Target="slides/s{k}.xml"/>' for k in slides) + "</R>"}
+    members |= {f"ppt/slides/s{k}.xml": f"<s {W}><a:p><a:t>Topic {k}.</a:t></a:p></s>" for k in slides}
+    (tmp_path / "long.pptx").write_bytes(packed(**members))
+    (tmp_path / "long.pdf").write_bytes(b"%PDF-1.7\n" + b"\f".join(b"Page %d says quite a lot. " % k * 8 for k in slides))
+    got = answers(Engine(spark, pdf=FakePdf()), spark, tmp_path, [(f, {"pages": p}) for f in ("long.pptx", "long.pdf") for p in (None, "2-32", "2-31", "33")])
+    said = lambda name: [w for w in got[name].warnings if "only the first" in w]
+    for f, thing in (("long.pptx", "slide"), ("long.pdf", "page")):
+        assert all(got[k].success for k in got if k.startswith(f))
+        assert [f"has 33 {thing}s; only the first 30" in w for w in said(f)] == [True]
+        assert [f"selects 31 {thing}s; only the first 30" in w for w in said(f"{f}#2-32")] == [True]
+        assert said(f"{f}#2-31") == said(f"{f}#33") == []
+
+
 CLOUD = dict(vision_base_url="https://v/", vision_api_key="k", vision_model="m")
 
 
