@@ -24,74 +24,139 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import input_bytes, narrow, shared_dir, text_of
-from .token_count import byte_letters, load
+from .spans import slices
+from .token_count import load
 
 SCHEMA = "shard int, doc_id long, n_tokens int, local_start long, tokens array<int>"
-#: Pre-tokens that a worker remembers twice over, and how long they may be.
-REMEMBERED, LONGEST = 200_000, 48
-#: The tokenizer's pattern, and the same for texts below U+0300: letters are word characters that are no numbers. Fixed values.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[^\W{NUMBERS}_]+|[{NUMBERS}]|(?:[^\w\t-\r \x85\xa0]|_)+")
-#: What the Latin path leaves to the library: combining marks and beyond, and the dotted I, whose lower case has a mark.
-BEYOND_LATIN = re.compile("[\u0130\u0300-\U0010ffff]")
+#: Words that a worker remembers, and how long they may be; words that are encoded in one call; bytes of text that are cut at once.
+REMEMBERED, LONGEST, CALL, SLICE_BYTES = 250_000, 48, 512, 32 << 20
+
+
+def cuts_at_space(parsed: dict) -> bool:
+    """Whether what stands between white space can be encoded alone.
+
+    So it is if white space becomes a blank, the rest of the normalizer goes by
+    characters, and the pre-tokenizer keeps only matches of classes that have
+    no white space.
+    """
+    steps = lambda part, inner: [x for y in ([part] if part else []) for x in (y[inner] if y.get("type") == "Sequence" else [y])]
+    normal, cut = steps(parsed["normalizer"], "normalizers"), steps(parsed["pre_tokenizer"], "pretokenizers")
+    if not cut or cut[0].get("type") != "Split" or not cut[0].get("invert") or cut[0].get("behavior") != "Removed" or any(x.get("type") != "ByteLevel" or x.get("add_prefix_space") for x in cut[1:]):
+        return False
+    classes = re.sub(r"\[\^\\s[^]]*\]|\[(?:\\[pP]\{\w+\})+\]", "", cut[0]["pattern"].get("Regex", " "))
+    blank = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    plain = not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or t["content"].split() != [t["content"]] for t in parsed["added_tokens"])
+    return plain and not re.search(r"[\s\\.\[]", classes) and all(x.get("type") in ("NFC", "NFD", "Lowercase") or x == blank for x in normal)
 
 
 class Encoder:
-    """A text's ids, by the tokenizers library.
+    """Ids of texts, all of them by the tokenizers library.
 
-    The library's own encoding is the rule, for any tokenizer. For one that
-    composes, lowers, drops white space and then merges byte letters, a text
-    below U+0300 can be cut into pre-tokens here (such a text is composed
-    already, and Python's lower case is Unicode's), and only a pre-token that
-    isn't remembered goes to the library's model.
+    Where white space always ends a token (``cuts_at_space``), texts are cut at
+    ASCII white space in Arrow and each distinct word is encoded once: many
+    words go to the library's normalizer and pre-tokenizer in one call, and its
+    model merges each distinct pre-token once. Words with a special token in
+    them, and the texts of other tokenizers, go to the library as they are.
     """
 
     def __init__(self, definition: str):
         parsed = json.loads(definition)
         self.tokenizer = load(definition)
-        self.model, self.letters = self.tokenizer.model, byte_letters()
-        steps = [parsed["normalizer"] or {}, *(parsed["normalizer"] or {}).get("normalizers", []), parsed["pre_tokenizer"] or {}, *(parsed["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        kinds = [x.get("type") for x in steps]
-        split = next((x for x in steps if x.get("type") == "Split"), {})
-        plain = not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] for t in parsed["added_tokens"])
-        self.latin = plain and kinds == ["Sequence", "NFC", "Replace", "Lowercase", "Sequence", "Split", "ByteLevel"] and split.get("pattern") == {"Regex": PATTERN} and split.get("invert") is True
-        self.special = tuple(t["content"] for t in parsed["added_tokens"])
-        self.new: dict[str, bytes] = _Remembered(self)
+        self.words = cuts_at_space(parsed)
+        self.special = [t["content"] for t in parsed["added_tokens"]]
+        self.normal, self.cut, self.model = (getattr(self.tokenizer, x) for x in ("normalizer", "pre_tokenizer", "model"))
+        self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<i4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def merged(self, piece: str) -> bytes:
-        """Ids of a pre-token, remembered. What was asked for lately outlives a change of the generation."""
-        ids = self.old.get(piece)
-        if ids is None:
-            letters = piece if piece.isascii() and piece.isprintable() else "".join([self.letters[b] for b in piece.encode()])
-            ids = np.array([t.id for t in self.model.tokenize(letters)], "<i4").tobytes()
+    def _merged(self, piece: str) -> bytes:
+        ids = np.array([t.id for t in self.model.tokenize(piece)], "<i4").tobytes()
         if len(piece) <= LONGEST:
-            if len(self.new) >= REMEMBERED:
-                self.old, self.new = self.new, _Remembered(self)
-            self.new[piece] = ids
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            self.pieces[piece] = ids
         return ids
 
-    def encode(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids."""
-        string = text.decode()
-        if not self.latin or BEYOND_LATIN.search(string) or any(s in string for s in self.special):
-            return np.array(self.tokenizer.encode(string, add_special_tokens=False).ids, "<i4").tobytes()
-        return b"".join(map(self.new.__getitem__, LATIN.findall(string.lower())))
-
-
-class _Remembered(dict):
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.encoder.new.get(piece) or self.encoder.merged(piece)
+    def _call(self, words: list[str]) -> list[bytes]:
+        """The ids of words, in the library's steps: all words as one text, its pre-tokens, and each one's merges."""
+        text = " ".join(words)
+        clean = self.normal.normalize_str(text) if self.normal else text
+        size = [len(w) + 1 for w in clean.split(" ")]
+        if len(size) != len(words) or any(x in text for x in self.special):
+            return self._library(words)
+        cut = self.cut.pre_tokenize_str(clean)
+        owner = np.searchsorted(np.cumsum(size), [at for _, (at, _) in cut], "right").tolist()
+        out: list[list[bytes]] = [[] for _ in words]
+        known = self.pieces
+        for k, (piece, _) in zip(owner, cut, strict=True):
+            out[k].append(known.get(piece) or self._merged(piece))
+        return list(map(b"".join, out))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, remembered. What was asked for lately outlives a change of the generation."""
+        out = list(map(self.new.get, words))
+        asked = []
+        for k in [k for k, x in enumerate(out) if x is None]:
+            w = words[k]
+            if (x := self.old.get(w)) is None:
+                asked.append(k)
+            else:
+                self.new[w] = out[k] = x
+        for part in (asked[k : k + CALL] for k in range(0, len(asked), CALL)):
+            for k, ids in zip(part, self._call([words[k] for k in part]), strict=True):
+                out[k] = ids
+                if len(words[k]) <= LONGEST:
+                    self.new[words[k]] = ids
+            if len(self.new) >= REMEMBERED:
+                self.old, self.new = self.new, {}
+        return out
+
+    def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, ``end`` after each, and how many each has."""
+        parts = [self._part(texts[s], end) for s in slices(pc.binary_length(texts).to_pylist(), SLICE_BYTES)]
+        if not parts:
+            return np.zeros(0, "<i4"), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _part(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        if not self.words:
+            ids = [x + end for x in self._library(texts.to_pylist())]
+            return np.frombuffer(b"".join(ids), "<i4"), np.array([len(x) // 4 for x in ids], np.int64)
+        lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        known = [*self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), end]
+        values = np.frombuffer(b"".join(known), "<i4")
+        size = np.array([len(x) // 4 for x in known], np.int64)
+        start = np.cumsum(size) - size
+        # The end is the last word of every text.
+        first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        word = np.insert(coded.indices.to_numpy(), first[1:], len(known) - 1)
+        count = size[word]
+        upto = np.cumsum(count)
+        gather = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(start[word] - (upto - count), count)
+        last = first[1:] + np.arange(len(first) - 1)
+        return values[gather], np.diff(upto[last], prepend=0)
+
+
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder_of(definition: str) -> Encoder:
+    """The worker's encoder: what it remembers serves all tasks that the worker runs."""
+    key = hash(definition)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(definition)
+    return _ENCODERS[key]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = 16 << 20, row_group_bytes: int = 8 << 20, page_bytes: int = 64 << 10) -> None:
@@ -103,21 +168,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int
         definition = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, start, end = Encoder(definition.value), TaskContext.get().partitionId(), 0, np.array([end_id], "<i4").tobytes()
+        encoder, shard, start, end = encoder_of(definition.value), TaskContext.get().partitionId(), 0, np.array([end_id], "<i4").tobytes()
         for b in batches:
             n = b.num_rows
-            ids = [encoder.encode(t) + end for t in b.column("text").to_pylist()]
-            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            ids, sizes = encoder.encode(b.column("text"), end)
             starts = start + np.concatenate([[0], np.cumsum(sizes)])
-            tokens = pa.ListArray.from_arrays((starts - start).astype(np.int32), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
+            tokens = pa.ListArray.from_arrays((starts - start).astype(np.int32), pa.array(ids, pa.int32()))
             yield pa.record_batch([pa.array([shard] * n, pa.int32()), b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(starts[:-1]), tokens], ["shard", "doc_id", "n_tokens", "local_start", "tokens"])
             start = int(starts[-1])
 
     source = narrow(docs, doc_id=id_col, text=text_col)
-    rows = source.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
+    rows = source.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     shards = max(1, -(-input_bytes(docs, text_col) // shard_bytes))
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
-    dealt = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    # The row number comes last, so that rows that repeat identifier and text are spread over shards too.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc(), F.col("row").asc()]
+    dealt = rows.withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()}).repartitionByRange(shards, *order).sortWithinPartitions(*order).select("doc_id", "text")
     options = {
         "compression": "zstd",
         "parquet.writer.version": "PARQUET_2_0",

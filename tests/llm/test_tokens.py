@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -28,19 +29,37 @@ def test_shortcut_equals_the_library():
         assert counter.count(t) == len(tokenizer.encode(t, add_special_tokens=False).ids), repr(t)
 
 
+def ids_of(encoder, texts):
+    ids, sizes = encoder.encode(pa.array(texts, pa.string()), np.array([2], "<i4").tobytes())
+    return [x.tolist()[:-1] for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 def test_encoder_equals_the_library():
     encoder, tokenizer = Encoder(open(WORD).read()), Tokenizer.from_file(WORD)
-    assert encoder.latin
+    assert encoder.words
     latin = ["".join(chr(c) for c in range(k, k + 5)) for k in range(0x2FB)] + ["".join(random.Random(k).choices([chr(c) for c in range(0x300)] + ["'", " ", "s"] * 150, k=40)) for k in range(3000)]
-    for t in odd_texts(4000) + latin:
-        assert np.frombuffer(encoder.encode(t.encode()), "<i4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    texts = odd_texts(4000) + latin + [t or "" for _, t in ODD]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):  # the second time all is remembered
+        for t, got, right in zip(texts, ids_of(encoder, texts), want, strict=True):
+            assert got == right, repr(t)
+
+
+def test_encoder_of_another_kind_reads_whole_texts():
+    encoder, tokenizer = Encoder(open(BYTE).read()), Tokenizer.from_file(BYTE)
+    assert not encoder.words
+    texts = odd_texts(500)
+    assert ids_of(encoder, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_memory_of_chunks_is_bounded(monkeypatch):
+def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(token_store, "REMEMBERED", 10)
-    encoder = Encoder(open(WORD).read())
-    encoder.encode(" ".join(f"w{k}" for k in range(500)).encode())
-    assert len(encoder.new) <= 10 and len(encoder.old) <= 10
+    monkeypatch.setattr(token_store, "CALL", 4)
+    encoder, tokenizer = Encoder(open(WORD).read()), Tokenizer.from_file(WORD)
+    texts = [" ".join(f"w{k}" for k in range(j, j + 50)) for j in range(0, 500, 25)]
+    for t in texts:
+        assert ids_of(encoder, [t]) == [tokenizer.encode(t, add_special_tokens=False).ids]
+        assert max(map(len, (encoder.new, encoder.old, encoder.pieces))) <= 10 + 4
 
 
 def test_counts_of_the_whole_table(spark, sf_dir):
@@ -100,3 +119,12 @@ def test_layout_and_selective_reads(spark, sf_dir, tmp_path):
     some = read_tokens(spark, path, "doc_id BETWEEN 100 AND 104")
     assert "GreaterThanOrEqual(doc_id,100)" in some._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.doc_id for r in some.collect()) == [100, 101, 102, 103, 104]
+
+
+def test_repeated_rows_are_spread_over_shards(spark, tmp_path):
+    docs = spark.range(20_000).selectExpr("cast(null as long) AS doc_id", "'the same words again' AS text")
+    write_tokens(docs, f"{tmp_path}/store", WORD, end_id=2, shard_bytes=40_000)
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/store").groupBy("shard").count().collect()]
+    assert len(sizes) > 4 and max(sizes) < 10_000 and sum(sizes) == 20_000
+    starts = sorted(r.start for r in read_metadata(spark, f"{tmp_path}/store").collect())
+    assert starts == [5 * k for k in range(20_000)]
