@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -35,7 +36,7 @@ from .token_count import load
 
 SCHEMA = "shard int, doc_id long, n_tokens int, local_start long, tokens array<int>"
 #: Words that a worker remembers, and how long they may be; words that are encoded in one call; bytes of text that are cut at once.
-REMEMBERED, LONGEST, CALL, SLICE_BYTES = 250_000, 48, 512, 32 << 20
+REMEMBERED, LONGEST, CALL, SLICE_BYTES = 250_000, 48, 1024, 8 << 20
 
 
 def cuts_at_space(parsed: dict) -> bool:
@@ -55,6 +56,26 @@ def cuts_at_space(parsed: dict) -> bool:
     return plain and not re.search(r"[\s\\.\[]", classes) and all(x.get("type") in ("NFC", "NFD", "Lowercase") or x == blank for x in normal)
 
 
+class Remembered(dict):
+    """What is known of some strings, None of others. It has two generations, and what is asked for outlives a change."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes | None:
+        ids = self.old.get(key)
+        return None if ids is None else self.add(key, ids)
+
+    def add(self, key: str, ids: bytes) -> bytes:
+        if len(key) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[key] = ids
+        return ids
+
+
 class Encoder:
     """Ids of texts, all of them by the tokenizers library.
 
@@ -71,20 +92,14 @@ class Encoder:
         self.words = cuts_at_space(parsed)
         self.special = [t["content"] for t in parsed["added_tokens"]]
         self.normal, self.cut, self.model = (getattr(self.tokenizer, x) for x in ("normalizer", "pre_tokenizer", "model"))
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known, self.pieces = Remembered(), Remembered()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<i4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _merged(self, piece: str) -> bytes:
-        ids = np.array([t.id for t in self.model.tokenize(piece)], "<i4").tobytes()
-        if len(piece) <= LONGEST:
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[piece] = ids
-        return ids
+        found = [t.id for t in self.model.tokenize(piece)]
+        return self.pieces.add(piece, struct.pack(f"<{len(found)}i", *found))
 
     def _call(self, words: list[str]) -> list[bytes]:
         """The ids of words, in the library's steps: all words as one text, its pre-tokens, and each one's merges."""
@@ -95,29 +110,20 @@ class Encoder:
             return self._library(words)
         cut = self.cut.pre_tokenize_str(clean)
         owner = np.searchsorted(np.cumsum(size), [at for _, (at, _) in cut], "right").tolist()
-        out: list[list[bytes]] = [[] for _ in words]
-        known = self.pieces
+        out, known = [b""] * len(words), self.pieces
         for k, (piece, _) in zip(owner, cut, strict=True):
-            out[k].append(known.get(piece) or self._merged(piece))
-        return list(map(b"".join, out))
+            ids = known[piece] or self._merged(piece)
+            out[k] = out[k] + ids if out[k] else ids
+        return out
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words, remembered. What was asked for lately outlives a change of the generation."""
-        out = list(map(self.new.get, words))
-        asked = []
-        for k in [k for k, x in enumerate(out) if x is None]:
-            w = words[k]
-            if (x := self.old.get(w)) is None:
-                asked.append(k)
-            else:
-                self.new[w] = out[k] = x
+        """Ids of distinct words."""
+        known = self.known
+        out = [known[w] for w in words]
+        asked = [k for k, x in enumerate(out) if x is None]
         for part in (asked[k : k + CALL] for k in range(0, len(asked), CALL)):
             for k, ids in zip(part, self._call([words[k] for k in part]), strict=True):
-                out[k] = ids
-                if len(words[k]) <= LONGEST:
-                    self.new[words[k]] = ids
-            if len(self.new) >= REMEMBERED:
-                self.old, self.new = self.new, {}
+                out[k] = known.add(words[k], ids)
         return out
 
     def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
@@ -135,14 +141,20 @@ class Encoder:
         coded = lists.flatten().dictionary_encode()
         known = [*self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), end]
         values = np.frombuffer(b"".join(known), "<i4")
-        size = np.array([len(x) // 4 for x in known], np.int64)
-        start = np.cumsum(size) - size
+        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        start = np.cumsum(size, dtype=np.int32) - size  # a slice has few enough ids for 32 bits
         # The end is the last word of every text.
         first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         word = np.insert(coded.indices.to_numpy(), first[1:], len(known) - 1)
         count = size[word]
-        upto = np.cumsum(count)
-        gather = np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(start[word] - (upto - count), count)
+        upto = np.cumsum(count, dtype=np.int64)
+        total = int(upto[-1]) if len(upto) else 0
+        if total >= 1 << 31:  # one very long text
+            start, kind = start.astype(np.int64), np.int64
+        else:
+            kind = np.int32
+        gather = np.repeat(start[word] - (upto - count).astype(kind), count)
+        gather += np.arange(total, dtype=kind)
         last = first[1:] + np.arange(len(first) - 1)
         return values[gather], np.diff(upto[last], prepend=0)
 
