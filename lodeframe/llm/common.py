@@ -42,16 +42,39 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_scan(docs: DataFrame) -> bool:
+    """Whether the plan only reads files, row by row, so that every reading gives the same rows in the same places."""
+    node = docs._jdf.queryExecution().optimizedPlan()
+    if not node.deterministic():
+        return False
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.nodeName().startswith("LogicalRelation")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``row``, a number that is one row's alone, and ``kept``, the columns of ``docs`` as a struct.
+
+    Every reading of the result gives a row the same number: files that are
+    read as they are keep their order, and what any other plan gives is written.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
+    return rows if is_scan(docs) else staged(rows, "numbered")
+
+
+def kept_rows(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The rows of ``numbered`` whose number is in ``numbers``, as they came. The rows are shuffled once, and no key is hot."""
+    return rows.join(numbers.select("row"), "row", "left_semi").select("kept.*")
+
+
 def input_bytes(docs: DataFrame, text_col: str = "text") -> int:
     """About how many bytes the table takes as stored.
 
     For a plain scan of files Catalyst knows their size and no data are read.
     Of any other plan the text is measured, and halved for the compression.
     """
-    plan = docs._jdf.queryExecution().optimizedPlan()
-    leaves = plan.collectLeaves()
-    if leaves.size() == 1 and leaves.head().nodeName().startswith("LogicalRelation"):
-        return int(str(plan.stats().sizeInBytes()))
+    if is_scan(docs):
+        return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return int(docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")))).first()[0] or 0) // 2
 
 

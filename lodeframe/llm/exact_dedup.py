@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, staged, text_of
+from .common import kept_rows, narrow, numbered, staged, text_of
 
 #: A run's entry: digest as four big-endian words, what verifies it, the best identifier, rows.
 ENTRY = np.dtype([(k, "<u8") for k in ("d0", "d1", "d2", "d3")] + [("n_bytes", "<i8"), ("xx", "<i8"), ("no_id", "<i8"), ("rank", "<i8"), ("rid", "<i8"), ("rows", "<i8")])
@@ -176,16 +176,8 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     stays. ``fan_in`` (a power of two) runs meet at a node; there are so many
     rounds, two at least, that a node ends with about ``node_rows`` texts.
     """
-    if keep not in ("smallest", "largest") or fan_in < 2 or fan_in & (fan_in - 1):
-        raise ValueError("keep is smallest or largest, fan_in a power of two")
-    bits, largest = fan_in.bit_length() - 1, keep == "largest"
-    source = narrow(docs, id=id_col, text=text_col)
-    digests = staged(source.select(F.col("id").cast("long").alias("id"), *text_digest(text_of()), F.monotonically_increasing_id().alias("rid")), "digests")
-    rounds = max(2, math.ceil(math.log(max(1, digests.count() / node_rows), fan_in)))
-    runs = digests.mapInArrow(_first_runs(bits, rounds, largest), RUN_SCHEMA)
-    for place in range(1, rounds):
-        runs = runs.repartition("node").sortWithinPartitions("node", "first").mapInArrow(_next_runs(place, bits, rounds), RUN_SCHEMA)
-    winners = runs.repartition("node").sortWithinPartitions("node", "first").mapInArrow(_winners(largest), "digest binary, n_bytes long, xx long, keep_id long, keep_rid long, group_size long")
+    source = narrow(docs, id=id_col, text=text_col).withColumn("rid", F.monotonically_increasing_id())
+    digests, winners = _groups(source, keep, fan_in, node_rows)
     alone = F.col("group_size").isNull()
     return digests.join(winners, ["digest", "n_bytes", "xx"], "left").select(
         F.col("id").alias("doc_id"),
@@ -196,13 +188,28 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
+def _groups(source: DataFrame, keep: str, fan_in: int = 16, node_rows: int = 100_000) -> tuple[DataFrame, DataFrame]:
+    """The digests of the rows (id, text, rid), written, and the best of every text that repeats."""
+    if keep not in ("smallest", "largest") or fan_in < 2 or fan_in & (fan_in - 1):
+        raise ValueError("keep is smallest or largest, fan_in a power of two")
+    bits, largest = fan_in.bit_length() - 1, keep == "largest"
+    digests = staged(source.select(F.col("id").cast("long").alias("id"), *text_digest(text_of()), "rid"), "digests")
+    rounds = max(2, math.ceil(math.log(max(1, digests.count() / node_rows), fan_in)))
+    runs = digests.mapInArrow(_first_runs(bits, rounds, largest), RUN_SCHEMA)
+    for place in range(1, rounds):
+        runs = runs.repartition("node").sortWithinPartitions("node", "first").mapInArrow(_next_runs(place, bits, rounds), RUN_SCHEMA)
+    winners = runs.repartition("node").sortWithinPartitions("node", "first").mapInArrow(_winners(largest), "digest binary, n_bytes long, xx long, keep_id long, keep_rid long, group_size long")
+    return digests, winners
+
+
 def drop_exact_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", **options) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
 
-    Of rows that repeat identifier and text any one stays.
+    Of rows that repeat identifier and text one stays. Rows go by their number,
+    so they are shuffled once.
     """
-    kept = exact_dedup(docs, id_col=id_col, text_col=text_col, keep=keep, **options).where("kept").select("doc_id", "text_sha256")
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.sha2(text.cast("binary"), 256).alias("sha"))
-    same = rows["id"].eqNullSafe(kept["doc_id"]) & (rows["sha"] == kept["text_sha256"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "sha"]).select("row.*")
+    rows = numbered(docs)
+    source = rows.select(F.col("kept")[id_col].alias("id"), F.col("kept")[text_col].alias("text"), F.col("row").alias("rid"))
+    digests, winners = _groups(source, keep, **options)
+    kept = digests.join(winners, ["digest", "n_bytes", "xx"], "left").where("group_size IS NULL OR rid = keep_rid")
+    return kept_rows(rows, kept.select(F.col("rid").alias("row")))

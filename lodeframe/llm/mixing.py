@@ -4,7 +4,7 @@ Everything here is DataFrame functions. Sizes are words. A source whose target
 is at least its size gives whole passes of all its documents; what is left of
 its target, an exact number of words, is drawn without replacement:
 
-1. Documents are dealt to output shards by a hash.
+1. Documents are dealt to output shards by a hash, copies of one row apart.
 2. A source's quota is split down a binary tree over the shards. At a node the
    left half gets a hypergeometric number of the node's words (as many as a
    draw of so many words from both halves would take from the left one), the
@@ -14,10 +14,12 @@ its target, an exact number of words, is drawn without replacement:
    the last is cut. Blocks are disjoint, so nothing is drawn twice.
 4. A shard's documents are put in a random order of their own.
 
-Randomness is hashes of the seed with identifiers, so reruns agree. The draws
-are grouped by source and shard, and a source that holds a third of all rows
-has as many groups as there are shards. ``collect_list`` gathers numbers of
-words by shard, never rows: 8 bytes for each ``shard_words`` words of the corpus.
+Randomness is hashes of the seed with identifiers and texts, and with a number
+for rows that repeat both, so reruns agree. The draws are grouped by source and
+shard; a source that holds a third of all rows, or one row that is repeated so
+often, has as many groups as there are shards. The tree of a source has a leaf
+for each shard that holds any of it: ``collect_list`` gathers numbers of words by
+shard, never rows, 12 bytes for each ``shard_words`` words of the corpus at most.
 
 Defined cases: a null text has size 0 and nothing is taken of it; the null
 source is a source and comes last; a source without words has target 0; rows
@@ -32,7 +34,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, narrow, staged
+from .common import WORD_PATTERN, narrow, numbered, staged
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -82,18 +84,21 @@ def hypergeometric(good: str, bad: str, draws: str, *key: str) -> str:
     return _let("p", f"named_struct('g', ({good}) * 1D, 'b', ({bad}) * 1D, 'n', ({draws}) * 1D)", f"cast({sure} AS bigint)")
 
 
-def with_leaf_quotas(nodes: DataFrame, levels: int, *key: str) -> DataFrame:
-    """Splits ``rest`` down a binary tree over ``2 ** levels`` leaves: adds ``quotas``, an array of exact quotas.
+def with_leaf_quotas(nodes: DataFrame, most_levels: int, *key: str) -> DataFrame:
+    """Splits ``rest`` down a binary tree: adds ``quotas``, an array with the exact quota of each leaf.
 
-    The column ``upto`` has the running sums of the leaves' words, so that any
-    node's words are one difference.
+    ``upto`` has the running sums of the leaves' words, so that any node's words
+    are one difference. A row has ``2 ** levels`` leaves by its column ``levels``,
+    which is ``most_levels`` at most; running sums that are missing at the end
+    equal the last, for leaves without words.
     """
     nodes = nodes.withColumn("quotas", F.array("rest"))
-    for level in range(levels):
-        half = 1 << (levels - 1 - level)
-        ends = [f"(CASE WHEN i = 0 AND {k} = 0 THEN 0 ELSE upto[i * {2 * half} + {k * half} - 1] END)" for k in range(3)]
+    for level in range(most_levels):
+        half = f"shiftleft(1, levels - {level + 1})"
+        ends = [f"(CASE WHEN i = 0 AND {k} = 0 THEN 0 ELSE upto[least((2 * i + {k}) * {half}, size(upto)) - 1] END)" for k in range(3)]
         left = hypergeometric(f"{ends[1]} - {ends[0]}", f"{ends[2]} - {ends[1]}", "q", *key, str(level), "i")
-        nodes = nodes.withColumn("quotas", F.expr(f"flatten(transform(quotas, (q, i) -> {_let('a', left, 'array(a, q - a)')}))"))
+        split = f"flatten(transform(quotas, (q, i) -> {_let('a', left, 'array(a, q - a)')}))"
+        nodes = nodes.withColumn("quotas", F.expr(f"CASE WHEN levels > {level} THEN {split} ELSE quotas END"))
     return nodes
 
 
@@ -121,42 +126,64 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     return levels.select("source_key", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, shard_words: int = 1 << 24, least_shards: int = 256, block_words: int = 64, seed: int = 1) -> DataFrame:
+def _copies_numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``copy``: rows that repeat identifier, source and text are counted from 0, all others have 0.
+
+    Which of them has which number follows their places, but that doesn't matter, as they are equal. Each
+    input partition counts its own and then learns how many came before, so a row that is repeated without end is
+    counted in as many groups as there are partitions.
+    """
+    part = F.shiftrightunsigned("row", 33).alias("part")
+    counted = rows.groupBy("mark", part).agg(F.count(F.lit(1)).alias("n"))
+    same = Window.partitionBy("mark")
+    before = F.coalesce(F.sum("n").over(same.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    repeated = staged(counted.select("mark", "part", before.alias("before"), F.sum("n").over(same).alias("total")).where("total > 1").drop("total"), "repeated")
+    placed = rows.withColumn("part", part)
+    own = F.row_number().over(Window.partitionBy("mark", "part").orderBy("row")) - 1
+    copies = placed.join(repeated, ["mark", "part"]).withColumn("copy", F.col("before") + own).drop("before")
+    others = placed.join(repeated, ["mark", "part"], "left_anti").withColumn("copy", F.lit(0).cast("long"))
+    return others.unionByName(copies).drop("part")
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """A row for each row of ``docs``: doc_id, size, source_size, target, taken, shard, passes, drawn and slot.
 
     ``passes`` is how often the whole text is taken, ``drawn`` lists the blocks
     taken besides, as first word and length; ``slot`` orders a shard's output.
+    ``options`` are those of ``_mixed``.
     """
-    source = narrow(docs, doc_id=id_col, text=text_col, source=source_col)
-    mark = F.xxhash64(F.col("doc_id").cast("long"), "source", F.xxhash64("text"), F.lit(seed)).alias("mark")
-    rows = staged(source.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source_key"), word_count(F.col("text")).alias("size"), mark), "sizes")
-    return _mixed(rows, weights, most, shard_words, least_shards, block_words, seed).drop("row", "mark", "source_key")
+    source = narrow(docs, doc_id=id_col, text=text_col, source=source_col).withColumn("row", F.monotonically_increasing_id())
+    return _mixed(source, **options).drop("row", "mark", "source_key")
 
 
-def _mixed(rows: DataFrame, weights, most: int, shard_words: int, least_shards: int, block_words: int, seed: int) -> DataFrame:
+def _mixed(source: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_PASSES, shard_words: int = 1 << 24, least_shards: int = 256, block_words: int = 64, seed: int = 1) -> DataFrame:
+    """The mix of the rows (row, doc_id, text, source); sizes are written, texts are read once."""
+    mark = F.xxhash64(F.col("doc_id").cast("long"), "source", F.xxhash64("text"), F.lit(seed)).alias("mark")
+    sized = source.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source_key"), word_count(F.col("text")).alias("size"), mark)
+    rows = staged(sized, "sizes")
     words = int(rows.agg(F.sum("size")).first()[0] or 0)
     levels = math.ceil(math.log2(max(least_shards, words / shard_words, 1)))
-    shards = 1 << levels
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("mark", F.lit(0)), F.lit(shards)).cast("int"))
+    rows = _copies_numbered(rows).withColumn("shard", F.pmod(F.xxhash64("mark", "copy", F.lit(0)), F.lit(1 << levels)).cast("int"))
     targets = staged(source_targets(rows, weights, most), "targets")
     quota = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.least(F.floor(quota / F.col("source_size")), F.lit(most))).otherwise(0).cast("long")
     plan = targets.withColumn("passes", passes).withColumn("rest", F.when(F.col("source_size") > 0, F.least(quota - F.col("passes") * F.col("source_size"), F.when(F.col("passes") < most, F.col("source_size")).otherwise(0))).otherwise(0).cast("long"))
-    held = rows.groupBy("source_key", "shard").agg(F.sum("size").alias("words"))
-    grid = targets.select("source_key").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     same = lambda a, b: a["source_key"].eqNullSafe(b["source_key"])
-    full = grid.join(held, same(grid, held) & (grid["shard"] == held["shard"]), "left").select(grid["source_key"], grid["shard"], F.coalesce("words", F.lit(0).cast("long")).alias("words"))
+    # A source's leaves are the shards that hold any of it, so a source of few documents has a small tree.
+    held = rows.groupBy("source_key", "shard").agg(F.sum("size").alias("words"))
     running = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    summed = full.withColumn("upto", F.sum("words").over(running))
-    by_shard = summed.groupBy("source_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "upto"))), lambda x: x["upto"]).alias("upto"))
-    nodes = plan.join(by_shard, same(plan, by_shard)).drop(by_shard["source_key"])
-    tree = with_leaf_quotas(nodes, levels, "source_key", str(seed)).select("source_key", "source_size", "target", "passes", F.posexplode("quotas").alias("shard", "quota"))
-    quotas = staged(tree, "quotas")
+    leaves = F.array_sort(F.collect_list(F.struct("shard", "upto"))).alias("leaves")
+    by_source = held.withColumn("upto", F.sum("words").over(running)).groupBy("source_key").agg(leaves)
+    by_source = by_source.select("source_key", F.col("leaves.shard").alias("shards"), F.col("leaves.upto").alias("upto"), F.ceil(F.log2(F.size("leaves"))).cast("int").alias("levels"))
+    nodes = plan.join(by_source, same(plan, by_source)).drop(by_source["source_key"])
+    tree = with_leaf_quotas(nodes, levels, "source_key", str(seed))
+    leaf = F.explode(F.arrays_zip("shards", F.slice("quotas", F.lit(1), F.size("shards")).alias("quota"))).alias("leaf")
+    quotas = staged(tree.select("source_key", "source_size", "target", "passes", leaf).select("source_key", "source_size", "target", "passes", F.col("leaf.shards").alias("shard"), F.col("leaf.quota").alias("quota")), "quotas")
     given = rows.join(quotas, same(rows, quotas) & (rows["shard"] == quotas["shard"])).select(rows["*"], "source_size", "target", "passes", "quota")
     # An empty document has one block of no words, so that no row is lost.
     blocks = given.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.col("size") - 1), F.lit(block_words).cast("long"))))
     blocks = blocks.withColumn("length", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("at")))
-    shuffled = Window.partitionBy("source_key", "shard").orderBy(F.xxhash64("mark", "at"), "doc_id", "row", "at").rowsBetween(Window.unboundedPreceding, 0)
+    shuffled = Window.partitionBy("source_key", "shard").orderBy(F.xxhash64("mark", "copy", "at"), "doc_id", "row", "at").rowsBetween(Window.unboundedPreceding, 0)
     taken = blocks.withColumn("take", F.greatest(F.lit(0), F.least("length", F.col("quota") - F.sum("length").over(shuffled) + F.col("length"))).cast("long"))
     keys = ["source_key", "shard", "row", "doc_id", "size", "mark", "source_size", "target", "passes"]
     drawn = F.array_sort(F.collect_list(F.when(F.col("take") > 0, F.struct(F.col("at"), F.col("take").alias("length")))))
@@ -170,16 +197,14 @@ def mixed_documents(docs: DataFrame, *, text_col: str = "text", source_col: str
 
     Blocks keep their words' white space. Documents of which nothing is taken go.
     """
-    options = {"weights": WEIGHTS, "most": MOST_PASSES, "shard_words": 1 << 24, "least_shards": 256, "block_words": 64, "seed": 1} | options
     names = docs.columns
-    kept = F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept")
-    mark = F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{source_col}`"), F.xxhash64(F.col(f"`{text_col}`")), F.lit(options["seed"])).alias("mark")
-    base = staged(docs.select(F.monotonically_increasing_id().alias("row"), kept, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source_key"), word_count(F.col(f"`{text_col}`")).alias("size"), mark), "mixing")
-    plan = _mixed(base.drop("kept"), *(options[k] for k in ("weights", "most", "shard_words", "least_shards", "block_words", "seed"))).where("taken > 0").select("row", "passes", "drawn", "shard", "slot")
+    base = numbered(docs)
+    source = base.select("row", F.col("kept")[id_col].alias("doc_id"), F.col("kept")[text_col].alias("text"), F.col("kept")[source_col].alias("source"))
+    plan = _mixed(source, **options).where("taken > 0").select("row", "passes", "drawn", "shard", "slot")
     words = F.regexp_extract_all(F.col("kept")[text_col], F.lit(f"({WORD_PATTERN}[\\x20\\x09-\\x0D]*)"), F.lit(1))
     part = F.array_join(F.flatten(F.transform("drawn", lambda b: F.slice(F.col("words"), (b["at"] + 1).cast("int"), b["length"].cast("int")))), "")
     copies = F.array_repeat(F.col("kept")[text_col], F.col("passes").cast("int"))
-    joined = base.select("row", "kept").join(plan, "row").withColumn("words", F.when(F.size("drawn") > 0, words).otherwise(F.array().cast("array<string>")))
+    joined = base.join(plan, "row").withColumn("words", F.when(F.size("drawn") > 0, words).otherwise(F.array().cast("array<string>")))
     out = joined.withColumn("new_text", F.explode(F.concat(copies, F.when(F.size("drawn") > 0, F.array(part)).otherwise(F.array().cast("array<string>")))))
     out = out.sortWithinPartitions("shard", "slot")
     return out.select(*[F.col("new_text").alias(c) if c == text_col else F.col("kept")[c].alias(c) for c in names])

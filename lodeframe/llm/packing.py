@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing of documents into sequences.
 
-Documents go to shards by a hash, and a shard packs its own. Longest first,
+Documents go to shards by a hash of their row's number, and a shard packs its own. Longest first,
 each goes to the open bin with the least room that still holds it and that has
 neither its source nor its duplicate cluster yet. A bin carries both as
 bitmaps. Bins are ordered by their room: the search starts at the smallest
@@ -8,9 +8,10 @@ room that is enough and goes on to the next larger one until a compatible bin
 is found; only if there is none a new bin is opened. What is longer than a bin
 is cut into full bins and a rest, and the rest is packed like a document.
 
-A shard is bounded in rows and in words, so a source or a cluster that holds a
-third of all rows is spread over all shards. Only identifiers, lengths and
-marks reach the packer, never texts.
+A shard has about ``shard_rows`` rows and ``shard_words`` words, also where rows
+repeat, so a source or a cluster that holds a third of all rows is spread over
+all shards. Only identifiers, lengths and marks reach the packer, never texts;
+they are written once, so that words are counted once.
 
 Defined cases: documents without words take no room and have no bin; a null
 source is a source of its own; a null cluster conflicts with none; rows that
@@ -20,6 +21,7 @@ give no rows.
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import Counter
 
 import numpy as np
@@ -27,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged
 from .mixing import word_count
 
 PACKED = "doc_id long, part int, first_word long, n_words long, shard long, bin long, bin_start long"
 
 
 class Bins:
-    """Open bins by their room, with a bitmap of the rooms that have a bin."""
+    """Open bins by their room, the oldest first, with a bitmap of the rooms that have a bin."""
 
     def __init__(self, capacity: int):
         self.capacity, self.rooms, self.by_room = capacity, 0, [[] for _ in range(capacity + 1)]
@@ -48,8 +51,7 @@ class Bins:
             bins = self.by_room[room]
             for at, b in enumerate(bins):
                 if not (self.sources[b] & source or self.clusters[b] & cluster):
-                    bins[at] = bins[-1]
-                    bins.pop()
+                    del bins[at]
                     if not bins:
                         self.rooms &= ~(1 << room)
                     return self._put(b, room, size, source, cluster)
@@ -63,7 +65,7 @@ class Bins:
         self.clusters[b] |= cluster
         left = room - size
         if left:  # a full bin is closed
-            self.by_room[left].append(b)
+            insort(self.by_room[left], b)
             self.rooms |= 1 << left
         return b, self.capacity - room
 
@@ -120,8 +122,10 @@ def pack(docs: DataFrame, *, capacity: int = 2048, id_col: str = "doc_id", text_
     text = F.col(f"`{text_col}`")
     size = word_count(text) if size is None else F.coalesce(size, F.lit(0))
     cluster = F.xxhash64(text) if cluster is None else cluster
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), size.cast("long").alias("size"), F.col(f"`{source_col}`").cast("string").alias("source"), cluster.cast("string").alias("cluster"), F.xxhash64(F.col(f"`{id_col}`"), text, F.lit(seed)).alias("mark"))
+    mark = F.xxhash64(F.col(f"`{id_col}`"), text, F.lit(seed)).alias("mark")
+    rows = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), size.cast("long").alias("size"), F.col(f"`{source_col}`").cast("string").alias("source"), cluster.cast("string").alias("cluster"), mark), "lengths")
     count, words = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
     shards = max(1, -(-count // shard_rows), -(-int(words or 0) // shard_words))
-    dealt = rows.withColumn("shard", F.pmod("mark", F.lit(shards)).cast("long"))
+    # By the row's own number, so that rows that repeat are spread too.
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(shards)).cast("long")).drop("row")
     return dealt.groupBy("shard").applyInArrow(_packer(capacity), PACKED)

@@ -97,5 +97,29 @@ def test_leaves_are_exact(spark):
     words = [5, 0, 17, 100, 3, 3, 0, 9]
     upto = [sum(words[: k + 1]) for k in range(8)]
     for quota in (0, 1, 60, 136, 137):
-        row = with_leaf_quotas(spark.createDataFrame([("s", upto, quota)], "source_key string, upto array<long>, rest long"), 3, "source_key").first()
+        row = with_leaf_quotas(spark.createDataFrame([("s", upto, quota, 3)], "source_key string, upto array<long>, rest long, levels int"), 4, "source_key").first()
         assert sum(row.quotas) == quota and all(0 <= q <= w for q, w in zip(row.quotas, words))
+
+
+def test_leaves_that_are_no_power_of_two(spark):
+    words = [5, 9, 17, 100, 3]
+    upto = [sum(words[: k + 1]) for k in range(5)]
+    for quota in (0, 1, 60, 133, 134):
+        row = with_leaf_quotas(spark.createDataFrame([("s", upto, quota, 3)], "source_key string, upto array<long>, rest long, levels int"), 3, "source_key").first()
+        assert sum(row.quotas[:5]) == quota and not any(row.quotas[5:]) and all(0 <= q <= w for q, w in zip(row.quotas, words))
+
+
+def test_copies_of_one_row_are_spread(spark):
+    for i in ("7", "cast(null as long)"):
+        docs = spark.range(20_000).selectExpr(f"{i} AS doc_id", "'five words in a row' AS text", "if(id < 15000, 's', 't') AS source")
+        out = mix(docs)
+        parts = [r["count"] for r in out.groupBy("shard").count().collect()]
+        assert sum(parts) == 20_000 and max(parts) < 20_000 / 256 * 2
+        assert out.agg(F.sum("taken")).first()[0] == pytest.approx(100_000, abs=3)
+
+
+def test_many_sources(spark):
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "'one two three four' AS text", "concat('s', id) AS source")
+    out = mix(docs).collect()
+    assert len(out) == 3_000 and sum(r.taken for r in out) == pytest.approx(12_000, abs=1500)
+    assert all(abs(r.taken - r.target) <= 0.5 for r in out)
