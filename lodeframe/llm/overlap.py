@@ -1,26 +1,34 @@
-"""Near copies by the Jaccard similarity of their word shingles, as the pipeline's near_dedup stage needs them.
+"""Near copies by similarity, as the pipeline's near_dedup stage needs them: SimHash and its BK-trees, completed by MinHash keys.
 
 Two texts are near copies if the sets of their shingles (five words) have a
-similarity of 0.8 or more. Candidates share one of ``bands`` MinHash keys of
-``rows`` minima each (a pair of similarity 0.8 misses all 30 with a chance of
-7e-6), and every link is checked on the words themselves, so a link is never
-an estimate.
-
-A key of many texts is not paired all with all: first each text is checked
-against the key's smallest text, the links are joined to components, and then
-all pairs of a key that are in different components are checked. So every pair
-that shares a key is checked or joined already.
-
-A SimHash radius cannot do this: at a similarity of 0.8 distances reach 17 of
-64 bits, and no cut of 64 bits into blocks finds those without a scan of all
-pairs.
+Jaccard similarity of 0.8 or more. Candidates come from the fingerprints of
+``simhash`` (equal ones, and those that its BK-trees find within ``radius``
+bits). A radius that trees can search misses most such pairs: at a similarity
+of 0.8 the distances are about 10 of 64 bits and reach 17, and no cut of 64 bits
+into blocks finds those without a scan of all pairs. So texts that share one of
+``bands`` MinHash keys of ``rows`` minima each are candidates too (a pair of
+similarity 0.8 misses all 30 with a chance of 7e-6). Both come from one pass
+over the shingles' hashes.
+
+A candidate is compared by its minima first, a byte of each: what they show to
+be under ``floor`` (4.5 standard deviations below 0.8, so that a pair is lost
+with a chance of 4e-6) is left. Every link that remains is checked on the words
+themselves, so a link is never an estimate.
+
+A key of many texts is not paired all with all: first each text is compared
+with the key's first text, the links are joined to components, and then texts of
+one key that are in different components are compared inside a task, in pieces
+of bounded size; only pairs that pass the minima leave it.
 
 Defined cases: null and blank texts are copies of each other; a text of fewer
-words than a shingle is one shingle; no rows give no rows.
+words than a shingle is one shingle; rows that repeat are copies; of a component
+the smallest identifier stays, a null only where there is no other; other
+columns come through, whatever their names; no rows give no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,32 +36,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, staged, text_of
+from .common import numbered, staged, text_of
 from .components import components
-from .simhash import CHUNK, SLICE_BYTES, one_of_each
-from .spans import slices, words_of, xxh64
-
-
-def signatures(texts: list[bytes], shingle: int, count: int, seed: int = 42) -> np.ndarray:
-    """``count`` minima over the shingles of each text, under different orders; a blank text has the largest number in all."""
-    words = words_of(texts)
-    size = np.diff(words.first)
-    shingles = np.where(size >= shingle, size - shingle + 1, np.minimum(size, 1))
-    begin = np.concatenate([[0], np.cumsum(shingles)])
-    owner = np.repeat(np.arange(len(size)), shingles)
-    head = np.arange(begin[-1]) - begin[owner] + words.first[owner]
-    tail = head + np.minimum(size, shingle)[owner] - 1
+from .simhash import BITS, SLICE_BYTES, add_votes, hashed_shingles, majority, near_links, one_of_each
+from .spans import slices, xxh64
+
+
+def sketches(texts: list[bytes], shingle: int, count: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint of each text, and ``count`` minima over its shingles under different orders (the largest number for a blank text)."""
+    shingles, begin, chunks = hashed_shingles(texts, shingle, seed)
     dice = np.random.default_rng(seed)
     flips, factors = dice.integers(0, 1 << 64, count, np.uint64), dice.integers(0, 1 << 64, count, np.uint64) | np.uint64(1)
-    out = np.full((len(size), count), np.iinfo(np.uint64).max, np.uint64)
-    for low in range(0, len(head), CHUNK):  # a text may be longer than all that fits
-        span = slice(low, low + CHUNK)
-        start = words.start[head[span]]
-        hashes = xxh64(words.buffer, start, words.start[tail[span]] + words.length[tail[span]] - start, seed)
-        mine, first = np.unique(owner[span], return_index=True)
+    minima = np.full((len(shingles), count), np.iinfo(np.uint64).max, np.uint64)
+    votes = np.zeros((len(shingles), BITS), np.int64)
+    for low, own, hashes in chunks:
+        add_votes(votes, begin, low, own, hashes)
+        mine, first = np.unique(own, return_index=True)
         for k in range(count):
-            out[mine, k] = np.minimum(out[mine, k], np.minimum.reduceat((hashes ^ flips[k]) * factors[k], first))
-    return out
+            minima[mine, k] = np.minimum(minima[mine, k], np.minimum.reduceat((hashes ^ flips[k]) * factors[k], first))
+    return majority(votes, shingles), minima
 
 
 def similarity(a: bytes, b: bytes, shingle: int) -> float:
@@ -67,60 +68,135 @@ def similarity(a: bytes, b: bytes, shingle: int) -> float:
     return len(x & y) / len(x | y)
 
 
-def _keys(texts: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """mark and key, a row for each band of each text."""
+def sketch_table(source: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """row, doc_id, fp, the keys of all bands and the lowest byte of each minimum, for each row (row, doc_id, text)."""
+    width = 8 * (rows + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            mark, held = b.column("mark").to_numpy(), b.column("text").to_pylist()
+            held = b.column("text").to_pylist()
             for part in slices(map(len, held), SLICE_BYTES):
-                found = signatures(held[part], shingle, bands * rows).reshape(-1, rows)
-                band = np.tile(np.arange(bands, dtype=np.uint64), len(found) // bands)
-                raw = np.concatenate([np.column_stack([band, found]).view(np.uint8).ravel(), np.zeros(8, np.uint8)])
-                width = 8 * (rows + 1)
-                key = xxh64(raw, np.arange(len(found)) * width, np.full(len(found), width))
-                yield pa.record_batch([pa.array(np.repeat(mark[part], bands)), pa.array(key.view(np.int64))], ["mark", "key"])
+                fp, minima = sketches(held[part], shingle, bands * rows)
+                band = np.tile(np.arange(bands, dtype=np.uint64), len(fp))
+                raw = np.concatenate([np.column_stack([band, minima.reshape(-1, rows)]).view(np.uint8).ravel(), np.zeros(8, np.uint8)])
+                keys = xxh64(raw, np.arange(len(band)) * width, np.full(len(band), width)).view(np.int64)
+                low = minima.astype(np.uint8).tobytes()  # the highest bytes of minima are all small
+                n = bands * rows
+                yield pa.record_batch(
+                    [
+                        b.column("row")[part],
+                        b.column("doc_id")[part],
+                        pa.array(fp.view(np.int64)),
+                        pa.ListArray.from_arrays(np.arange(0, len(keys) + 1, bands, dtype=np.int32), pa.array(keys)),
+                        pa.array([low[k : k + n] for k in range(0, len(low), n)], pa.binary()),
+                    ],
+                    ["row", "doc_id", "fp", "keys", "minima"],
+                )
+
+    return source.select("row", F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).mapInArrow(run, "row long, doc_id long, fp long, keys array<long>, minima binary")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+
+
+def _alike(pairs: DataFrame, table: DataFrame, floor: float) -> DataFrame:
+    """The pairs (a, b) of rows whose minima agree often enough."""
 
-    return texts.mapInArrow(run, "mark long, key long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                same = (_matrix(b.column("x")) == _matrix(b.column("y"))).mean(axis=1) >= floor
+                yield b.select(["a", "b"]).filter(pa.array(same))
 
+    sides = [table.select(F.col("row").alias(k), F.col("minima").alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-def _checked(pairs: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The pairs (a, b) of marks whose texts are at least so similar."""
+
+def _checked(pairs: DataFrame, source: DataFrame, shingle: int, least: float) -> DataFrame:
+    """The pairs (a, b) of rows whose texts are at least so similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             near = [similarity(x, y, shingle) >= least for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    named = pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
-    asked = staged(texts.join(named, "mark", "left_semi").dropDuplicates(["mark"]), "asked")
-    both = pairs.join(asked.select(F.col("mark").alias("a"), F.col("text").alias("x")), "a").join(asked.select(F.col("mark").alias("b"), F.col("text").alias("y")), "b")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    asked = staged(source.select("row", text_of().cast("binary").alias("text")).join(named, "row", "left_semi"), "asked")
+    both = pairs.join(asked.select(F.col("row").alias("a"), F.col("text").alias("x")), "a").join(asked.select(F.col("row").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def near_copies(texts: DataFrame, *, shingle: int = 5, least: float = 0.8, bands: int = 30, rows: int = 5) -> DataFrame:
-    """mark and root of each text (mark, text) that has a near copy and is not itself the root."""
-    keys = _keys(texts, shingle, bands, rows).distinct()
-    low = keys.groupBy("key").agg(F.min("mark").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
+def _apart(members: DataFrame, floor: float, piece_rows: int) -> DataFrame:
+    """Pairs (a, b) of rows of one key, in different components, whose minima agree often enough.
+
+    A key's members (key, row, root, minima) are cut into pieces, and any two pieces are one task's.
+    """
+
+    def pairs(rows: np.ndarray, roots: np.ndarray, minima: np.ndarray, piece: np.ndarray, one: int, two: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, right = np.flatnonzero(piece == one), np.flatnonzero(piece == two)
+        for k in left:
+            to = right[(roots[right] != roots[k]) & ((rows[right] > rows[k]) if one == two else True)]
+            near = to[(minima[to] == minima[k]).mean(axis=1) >= floor]
+            yield np.minimum(rows[near], rows[k]), np.maximum(rows[near], rows[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def emit() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            rows, roots, piece = (t.column(c).to_numpy() for c in ("row", "root", "piece"))
+            found = [*pairs(rows, roots, _matrix(t.column("minima")), piece, *key[1:])]
+            a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in range(2))
+            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("key", "one", "two")], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if high == low:
+                    continue
+                if key is not None and tuple(keys[low].tolist()) != key:
+                    yield emit()
+                    held = []
+                key = tuple(keys[low].tolist())
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield emit()
+
+    large = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / piece_rows).alias("pieces"))
+    dealt = members.join(large, "key").withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces"))).withColumn("other", F.explode(F.expr("sequence(0L, pieces - 1)")))
+    dealt = dealt.select("key", F.least("piece", "other").alias("one"), F.greatest("piece", "other").alias("two"), "row", "root", "piece", "minima")
+    keys = ["key", "one", "two"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(source: DataFrame, *, shingle: int = 5, least: float = 0.8, radius: int = 3, bands: int = 30, rows: int = 5, piece_rows: int = 1024) -> DataFrame:
+    """row, doc_id and root (the first row of its component) for each row (row, doc_id, text)."""
+    table = staged(sketch_table(source, shingle, bands, rows), "sketches")
+    floor = least - 4.5 * math.sqrt(least * (1 - least) / (bands * rows))
+    keys = table.select(F.explode("keys").alias("key"), "row")
+    low = keys.groupBy("key").agg(F.min("row").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low")
     shared = staged(keys.join(low, "key"), "shared")
-    stars = staged(shared.where("mark != low").select(F.col("low").alias("a"), F.col("mark").alias("b")).distinct(), "pairs")
-    links = staged(_checked(stars, texts, shingle, least), "near")
+    classes = staged(table.groupBy("fp").agg(F.min("row").alias("low")), "classes")
+    first = [classes.select(F.col("fp").alias(k), F.col("low").alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+    by_tree = near_links(classes, radius=radius).join(first[0], "a").join(first[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    by_fp = table.select("fp", "row").join(classes, "fp").where("row != low").select(F.col("low").alias("a"), F.col("row").alias("b"))
+    by_key = shared.where("row != low").select(F.col("low").alias("a"), F.col("row").alias("b"))
+    stars = staged(by_key.union(by_fp).union(by_tree).distinct(), "pairs")
+    links = staged(_checked(staged(_alike(stars, table, floor), "alike"), source, shingle, least), "near")
     joined = components(links)
-    rooted = shared.join(joined, shared["mark"] == joined["node"], "left").select("key", "mark", F.coalesce("root", "mark").alias("root"))
+    rooted = shared.join(joined, shared["row"] == joined["node"], "left").select("key", "row", F.coalesce("root", "row").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    members = staged(rooted.join(open_keys, "key", "left_semi"), "members")
-    one, two = members.alias("one"), members.alias("two")
-    apart = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.root") < F.col("two.root")))
-    rest = apart.select(F.least("one.mark", "two.mark").alias("a"), F.greatest("one.mark", "two.mark").alias("b")).distinct()
-    rest = staged(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = _checked(rest, texts, shingle, least)
-    return components(links.union(more)).select(F.col("node").alias("mark"), "root")
+    members = staged(rooted.join(open_keys, "key", "left_semi").join(table.select("row", "minima"), "row"), "members")
+    rest = staged(_apart(members, floor, piece_rows).join(stars, ["a", "b"], "left_anti"), "pairs")
+    joined = components(links.union(_checked(rest, source, shingle, least)))
+    return table.select("row", "doc_id").join(joined, table["row"] == joined["node"], "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
 
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row of each component of near copies, that of its smallest identifier, with all its columns."""
-    source = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("mark"), text_of().cast("binary").alias("text"))
-    joined = near_copies(source.select("mark", "text"), **options)
-    rows = source.select("doc_id", "mark").join(joined, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    lowest = rows.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return one_of_each(docs, rows.join(lowest, "root"), id_col=id_col, text_col=text_col)
+    rows = numbered(docs)
+    source = rows.select("row", F.col("kept")[id_col].alias("doc_id"), F.col("kept")[text_col].alias("text"))
+    return one_of_each(rows, near_copies(source, **options))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow, staged, text_of
+from .common import kept_rows, narrow, numbered, staged, text_of
 from .components import components
 from .spans import slices, words_of, xxh64
 
@@ -45,8 +45,8 @@ CHUNK = 1 << 16
 LEAF = 8
 
 
-def fingerprints(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
-    """The fingerprint of each text, unsigned."""
+def hashed_shingles(texts: list[bytes], shingle: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """How many shingles each text has, where they begin among all, and chunks of them: the first one's place, their texts and hashes."""
     words = words_of(texts)
     count = np.diff(words.first)
     shingles = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
@@ -54,32 +54,51 @@ def fingerprints(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.nda
     owner = np.repeat(np.arange(len(count)), shingles)
     head = np.arange(begin[-1]) - begin[owner] + words.first[owner]
     tail = head + np.minimum(count, shingle)[owner] - 1
-    votes = np.zeros((len(count), BITS), np.int64)
-    for low in range(0, len(head), CHUNK):  # a text may be longer than all that fits
-        span = slice(low, low + CHUNK)
-        start, own = words.start[head[span]], owner[span]
-        hashes = xxh64(words.buffer, start, words.start[tail[span]] + words.length[tail[span]] - start, seed)
-        bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, BITS)
-        for k in range(own[0], own[-1] + 1):
-            mine = bits[max(begin[k] - low, 0) : max(begin[k + 1] - low, 0)]
-            for j in range(0, len(mine), 255):
-                votes[k] += mine[j : j + 255].sum(0, dtype=np.uint8)
+
+    def chunks() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for low in range(0, len(head), CHUNK):  # a text may be longer than all that fits
+            span = slice(low, low + CHUNK)
+            start = words.start[head[span]]
+            yield low, owner[span], xxh64(words.buffer, start, words.start[tail[span]] + words.length[tail[span]] - start, seed)
+
+    return shingles, begin, chunks()
+
+
+def add_votes(votes: np.ndarray, begin: np.ndarray, low: int, own: np.ndarray, hashes: np.ndarray) -> None:
+    """Adds the bits of a chunk's hashes to the votes of their texts."""
+    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(-1, BITS)
+    for k in range(own[0], own[-1] + 1):
+        mine = bits[max(begin[k] - low, 0) : max(begin[k + 1] - low, 0)]
+        for j in range(0, len(mine), 255):
+            votes[k] += mine[j : j + 255].sum(0, dtype=np.uint8)
+
+
+def majority(votes: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """The fingerprints, unsigned: bits that over half of the shingles have."""
     return np.packbits(votes * 2 > shingles[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and mark (a hash of the text) for each row."""
+def fingerprints(texts: list[bytes], shingle: int = 3, seed: int = 42) -> np.ndarray:
+    """The fingerprint of each text, unsigned."""
+    shingles, begin, chunks = hashed_shingles(texts, shingle, seed)
+    votes = np.zeros((len(shingles), BITS), np.int64)
+    for chunk in chunks:
+        add_votes(votes, begin, *chunk)
+    return majority(votes, shingles)
+
+
+def fingerprint_table(source: DataFrame, shingle: int = 3) -> DataFrame:
+    """row, doc_id and fp (the fingerprint as a signed long) for each row (row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
             parts = [fingerprints(texts[s], shingle) for s in slices(map(len, texts), SLICE_BYTES)]
             fp = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
-            yield pa.record_batch([b.column("doc_id"), pa.array(fp), b.column("mark")], ["doc_id", "fp", "mark"])
+            yield pa.record_batch([b.column("row"), b.column("doc_id"), pa.array(fp)], ["row", "doc_id", "fp"])
 
-    source = narrow(docs, doc_id=id_col, text=text_col)
-    rows = source.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), F.xxhash64(text_of()).alias("mark"))
-    return rows.mapInArrow(run, "doc_id long, fp long, mark long")
+    rows = source.select("row", F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
+    return rows.mapInArrow(run, "row long, doc_id long, fp long")
 
 
 def blocks_for(classes: int, radius: int) -> int:
@@ -218,9 +237,9 @@ def near_links(classes: DataFrame, *, radius: int = 3, shard_rows: int = 2048, b
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_linked(radius), "a long, b long")
 
 
-def _placed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 3, shard_rows: int = 2048, blocks: int | None = None) -> DataFrame:
-    """doc_id, fp, mark, root (a component's smallest fingerprint) and component_id for each row of ``docs``."""
-    prints = staged(fingerprint_table(docs, id_col=id_col, text_col=text_col, shingle=shingle), "fingerprints")
+def _placed(source: DataFrame, *, shingle: int = 3, radius: int = 3, shard_rows: int = 2048, blocks: int | None = None) -> DataFrame:
+    """row, doc_id, fp, root (a component's smallest fingerprint) and component_id for each row (row, doc_id, text)."""
+    prints = staged(fingerprint_table(source, shingle), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
     joined = components(near_links(classes, radius=radius, shard_rows=shard_rows, blocks=blocks))
     roots = classes.join(joined, classes["fp"] == joined["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
@@ -229,25 +248,23 @@ def _placed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return prints.join(named, "fp")
 
 
-def simhash_components(docs: DataFrame, **options) -> DataFrame:
+def simhash_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, fingerprint and component_id for each row of ``docs``; ``options`` are those of ``_placed``."""
-    return _placed(docs, **options).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    source = narrow(docs, doc_id=id_col, text=text_col).withColumn("row", F.monotonically_increasing_id())
+    return _placed(source, **options).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row of each component, that of its smallest identifier, with all its columns.
+    """One row of each component, that of its smallest identifier, with all its columns."""
+    rows = numbered(docs)
+    placed = _placed(rows.select("row", F.col("kept")[id_col].alias("doc_id"), F.col("kept")[text_col].alias("text")), **options)
+    return one_of_each(rows, placed.select("row", "doc_id", "root"))
 
-    The row is found by identifier and text, so rows of different texts that
-    share an identifier, or have none, stand for their own components only.
-    """
-    return one_of_each(docs, _placed(docs, id_col=id_col, text_col=text_col, **options), id_col=id_col, text_col=text_col)
 
+def one_of_each(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """The row of ``rows`` (as ``numbered`` makes them) that stands for each root of ``placed`` (row, doc_id, root).
 
-def one_of_each(docs: DataFrame, placed: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """The row of ``docs`` that stands for each root of ``placed`` (doc_id, mark, root, component_id)."""
-    found = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.min("mark").alias("keep_mark"))
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("mark"))
-    same = rows["id"].eqNullSafe(kept["keep_id"]) & (rows["mark"] == kept["keep_mark"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "mark"]).select("row.*")
+    It is the one with the smallest identifier, a null after all others.
+    """
+    best = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
+    return kept_rows(rows, best.select("best.row"))

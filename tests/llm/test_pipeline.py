@@ -2,7 +2,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from pyspark.sql import functions as F
-from test_simhash import brute as near_groups
+from test_overlap import brute as kept_of_copies
 
 
 def words(text):
@@ -27,8 +27,7 @@ def test_every_stage_on_its_own_input(spark, sf_dir, tmp_path):
     for r in sorted(known):
         first.setdefault(r[1], r)
     assert sorted(first.values(), key=repr) == unique
-    groups = near_groups([r[:2] for r in unique])
-    assert sorted({g[2] for g in groups}) == [r[0] for r in sorted(apart)]
+    assert kept_of_copies([r[:2] for r in unique]) == sorted(r[0] for r in apart)
     assert set(apart) <= set(unique)
     original = {r[0]: r for r in apart}
     taken = defaultdict(int)
@@ -72,4 +71,25 @@ def test_clashing_columns_and_shared_identifiers(spark, sf_dir):
         new = [(r[0], r[1]) for r in out.collect() if r[0] in (None, 9_001)]
         assert sorted(new, key=repr) == sorted({(None, texts[0]), (None, texts[1]), (9_001, texts[2]), (9_001, texts[3])}, key=repr), name
     for _, stage in (corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[3]):
-        assert stage(spark, docs, sf_dir).columns == docs.columns
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        assert {tuple(r[c] for c in odd) for r in out.collect()} == {tuple(odd)}
+    assert corpus_pipeline.STAGES[4][1](spark, docs, sf_dir).count() >= docs.where("text RLIKE '[^ ]'").count()
+
+
+def test_long_texts_and_repeated_rows_through_all_stages(spark, sf_dir, tmp_path):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = " ".join(f"the river runs {k} miles and the mountain" for k in range(12_000))
+    rows = [(9_001, words, "en", "src0", len(words)), (9_002, words + " end", "en", "src0", len(words) + 4), (9_003, "all the rivers run to the sea", "en", "src1", 29)]
+    docs = table.union(spark.createDataFrame([*rows, *[rows[2]] * 40], table.schema))
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        ids = Counter(r.doc_id for r in docs.where("doc_id > 9000").collect())
+        if k == 0:
+            assert ids == {9_001: 1, 9_002: 1, 9_003: 41}
+        elif k == 1:
+            assert ids == {9_001: 1, 9_002: 1, 9_003: 1}
+        elif k == 2:
+            assert ids == {9_001: 1, 9_003: 1}
+    assert docs.where("doc_id = 9001").agg(F.max("n_words")).first()[0] == 2048
