@@ -2,17 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``. All but the
-last return the columns of ``documents``.
-
-1. language_id: documents that the network cannot place (no letter, or a best
-   score under 0.4) go; all others stay, with their text as it is.
-2. exact_dedup: of equal texts the row with the smallest doc_id stays.
-3. near_dedup: of each component of texts that share 0.8 or more of their
-   five-word shingles (Jaccard) the smallest doc_id stays.
-4. source_mix: a document stays once for each whole pass of its source, and
-   once more with its drawn blocks as its text, so doc_id repeats.
-5. best_fit_packing: the mixed documents in sequences of 2,048 words; the
-   repeats of one document are a duplicate cluster and never share a sequence.
+last return the columns of ``documents``, and any others that there are.
+What a stage does with nulls, empty and long texts, ties, repeated rows and
+empty tables is said at its function.
 """
 
 from __future__ import annotations
@@ -31,23 +23,48 @@ from lodeframe.llm.packing import pack
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network cannot place go: a null text, one without a letter, or a best score under 0.4.
+
+    All windows of a long text count. Rows that repeat score alike, so all of them stay or go; a null language or
+    identifier is no reason to go. Without any labelled text, and so for an empty table, nothing stays.
+    """
     return keep_identified(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the smallest doc_id stays, one with a null only where there is no other.
+
+    Null and empty texts are equal; of rows that repeat both identifier and text one stays; no rows give no rows.
+    """
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of texts that share 0.8 or more of their five-word shingles (Jaccard) the smallest doc_id stays.
+
+    SimHash and its BK-trees find candidates, MinHash keys those that no radius reaches, and each link is checked on the
+    words. Null and blank texts are copies of each other; a text of under five words is one shingle; rows that repeat
+    are copies; a null identifier stays only where there is no other; no rows give no rows.
+    """
     return drop_similar(docs, shingle=5, least=0.8)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document stays once for each whole pass of its source, and once more with its drawn blocks as its text, so doc_id repeats.
+
+    Texts without words go, as nothing is taken of them; a null source is a source; rows that repeat are drawn one by one; no
+    rows give no rows.
+    """
     out = mixed_documents(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed documents in sequences of 2,048 words; the repeats of one document never share a sequence with a rest of theirs.
+
+    A long text is cut into full sequences and a rest. A text without words has no sequence. A null doc_id conflicts with
+    none; no rows give no rows.
+    """
     return pack(docs, cluster=F.col("doc_id"))
 
 
