@@ -171,9 +171,10 @@ def _local_classes(every: int, keep: int):
 
 
 def _sampled(rows: DataFrame, count: int, most: int, seed: int) -> list:
-    """About ``most`` rows by a hash of their class, and never twice as many."""
-    share = F.pmod(F.xxhash64("class", F.lit(seed)), F.lit(1 << 30)) < int(min(1.0, most / max(count, 1)) * (1 << 30))
-    return sorted(rows.where(share).limit(2 * most).collect(), key=lambda r: r["class"])
+    """``most`` rows at most, those with the smallest hashes of their class."""
+    draw = F.pmod(F.xxhash64("class", F.lit(seed)), F.lit(1 << 30))
+    few = rows.where(draw < int(min(1.0, 1.5 * most / max(count, 1)) * (1 << 30))).orderBy(draw, "class").limit(most)
+    return sorted(few.collect(), key=lambda r: r["class"])
 
 
 def nearest(embeddings: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50, recall: float = 0.97, sample_rows: int = 4096, part_rows: int = 2000, most_parts: int = 64, graph_degree: int = 16, tuning_queries: int = 64, piece_rows: int = 8192, query_rows: int = 16384) -> DataFrame:

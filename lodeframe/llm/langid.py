@@ -7,9 +7,10 @@ probability of each language. A text's score is the mean over its windows,
 weighted by their bytes. Training is plain numpy (Adam) on labelled text.
 
 ``lang`` is read for training only; source and identifier never reach the
-network. The training sample is bounded: about ``per_language`` windows of
-each language, drawn by a hash over all labelled rows, so the driver's part
-does not grow with the corpus. Everything else reads every row and every byte.
+network. The training sample is bounded: ``per_language`` windows of each of the
+``most_languages`` most common languages at most, drawn by a hash over all
+labelled rows, so the driver's part does not grow with the corpus, whatever its
+labels and however often rows repeat. Everything else reads every row and every byte.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a
 text shorter than a window is one padded window; without labelled rows every
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -138,28 +139,36 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], *, widt
     return net
 
 
-def training_sample(docs: DataFrame, per_language: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows, labels and languages of a sample that a hash of text and identifier draws from all labelled rows.
+def training_sample(docs: DataFrame, per_language: int, most_languages: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Windows, labels and languages of a sample that a hash draws from all labelled rows.
 
-    ``docs`` has id, text (binary) and lang. Only one window of a drawn row leaves its executor.
+    ``docs`` has id, text (binary), lang and row. Only one window of a drawn row
+    leaves its executor, and no language has more than ``per_language``: where
+    the hash draws more, those with the smallest hashes. The row's number is
+    part of the hash, so copies are drawn apart.
     """
-    counts = {r[0]: r[1] for r in docs.groupBy("lang").count().collect()}  # a row for each output of the network
+    common = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    counts = {r[0]: r[1] for r in common.collect()}  # a row for each output of the network
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
     rows_of = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
-    share = docs.withColumns({"count": rows_of[F.col("lang")], "u": F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(1_000_003)) / 1_000_003})
+    share = docs.withColumns({"count": rows_of[F.col("lang")], "hash": F.pmod(F.xxhash64("id", F.octet_length("text"), "row"), F.lit(1 << 40))})
     place = F.pmod(F.xxhash64("id", F.lit(1)), F.greatest(F.lit(1), F.ceil(F.octet_length("text") / WINDOW)))
-    drawn = share.where(F.col("u") * F.col("count") < per_language).select("lang", F.substring("text", (place * WINDOW + 1).cast("int"), F.lit(WINDOW)).alias("window"))
-    rows = sorted((r.lang, bytes(r.window)) for r in drawn.collect())
+    drawn = share.where(F.col("hash") / float(1 << 40) * F.col("count") < per_language).select("lang", "hash", F.substring("text", (place * WINDOW + 1).cast("int"), F.lit(WINDOW)).alias("window"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "window"))
+    rows = sorted((r.lang, bytes(r.window)) for r in drawn.withColumn("place", first).where(F.col("place") <= per_language).collect())
     languages = sorted({lang for lang, _ in rows})
     matrix, _, _ = windows_of([w for _, w in rows]) if rows else (np.zeros((0, WINDOW), np.uint8), None, None)
     return matrix, np.array([languages.index(lang) for lang, _ in rows], np.int64), languages
 
 
-def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, **options) -> Network | None:
-    """Train on the rows of ``labelled`` that have text and language; None without any."""
-    rows = narrow(labelled, id=id_col, text=text_col, lang=lang_col).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
-    windows, labels, languages = training_sample(rows.withColumn("text", F.col("text").cast("binary")), per_language)
+def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, most_languages: int = 512, **options) -> Network | None:
+    """Train on the rows of ``labelled`` that have text and language; None without any.
+
+    The sample has ``per_language`` windows of each of the ``most_languages`` most common languages at most.
+    """
+    rows = narrow(labelled, id=id_col, text=text_col, lang=lang_col).withColumn("row", F.monotonically_increasing_id()).where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'")
+    windows, labels, languages = training_sample(rows.withColumn("text", F.col("text").cast("binary")), per_language, most_languages)
     return train(windows, labels, languages, **options) if languages else None
 
 
@@ -198,18 +207,18 @@ def held_out(id_col: str = "doc_id"):
     return crc_fold(id_col, 4) == 2
 
 
-def language_id(docs: DataFrame, **options) -> DataFrame:
-    """Train on the labelled documents outside the held-out fold, then predict every document."""
-    net = fit(docs.where(~held_out()), **options)
-    return identify(docs, net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Train on the labelled documents outside the held-out fold, then predict every document; ``options`` are those of ``fit``."""
+    net = fit(docs.where(~held_out(f"`{id_col}`")), id_col=id_col, text_col=text_col, **options)
+    return identify(docs, net, id_col=id_col, text_col=text_col).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, *, text_col: str = "text", min_score: float = 0.4) -> DataFrame:
+def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_score: float = 0.4, **options) -> DataFrame:
     """The rows of ``docs`` whose language is known with a score of ``min_score`` at least, all columns kept.
 
     Rows go through the network with their columns beside them, so no join and no shuffle is needed.
     """
-    net = fit(docs.where(~held_out()))
+    net = fit(docs.where(~held_out(f"`{id_col}`")), id_col=id_col, text_col=text_col, **options)
     if net is None:
         return docs.limit(0)
     text = F.col(f"`{text_col}`")

@@ -20,6 +20,8 @@ and reads them. Frequent words are one key of a block, however often they
 occur.
 
 The texts are shuffled once: both readings of a block use the same exchange.
+A block is a share of the rows by their number, so that rows that repeat are
+spread like others.
 Words are keyed by two independent hashes of 64 and 32 bits, so that counts are
 exact but for collisions of 96 bits; bigrams by 64 bits.
 
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, input_bytes, narrow, text_of
+from .common import crc_fold, input_bytes, is_scan, narrow, staged, text_of
 from .spans import P1, P2, P3, words_of, xxh64
 
 #: What ends a text and what precedes it; no word has a line break.
@@ -279,12 +281,16 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     ``mass`` is k, the weight of the unigram model in words; ``block_bytes`` is
     what a block holds of the stored input.
     """
-    source = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    plain = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
+    source = plain if is_scan(docs) else staged(plain, "texts")  # both readings of a block must see the same rows
     blocks = max(1, -(-input_bytes(docs, text_col) // block_bytes))
-    dealt = source.select("doc_id", text_of().cast("binary").alias("text"), (crc_fold("doc_id", 7) != 2).alias("train")).withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
+    # By the row's number, so that rows that repeat are spread over all blocks.
+    dealt = source.select("doc_id", "text", (crc_fold("doc_id", 7) != 2).alias("train"), F.pmod(F.xxhash64("row"), F.lit(blocks)).alias("block")).repartition(blocks, "block")
     sent = dealt.groupBy("block").applyInArrow(_send(blocks), "bucket long, block long, words binary, words2 binary, word_counts binary, pairs binary, pair_counts binary")
-    answers = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(_count, REPLY_SCHEMA)
-    totals = answers.select(F.struct(F.sum("tokens").alias("tokens"), F.sum("distinct_words").alias("distinct_words")))
-    replies = answers.select("block", "bucket", "words", "pairs").withColumn("totals", totals.scalar())
+    # The totals read the same exchange as the replies, with all its columns, so that counters run once.
+    answers = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(_count, REPLY_SCHEMA).repartition(blocks, "block")
+    whole = F.octet_length("words") + F.octet_length("pairs") + F.col("bucket") >= 0
+    totals = answers.select(F.struct(F.sum(F.when(whole, F.col("tokens"))).alias("tokens"), F.sum(F.when(whole, F.col("distinct_words"))).alias("distinct_words")))
+    replies = answers.withColumn("totals", totals.scalar())
     scored = dealt.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score(blocks, mass), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select("doc_id", (crc_fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
