@@ -18,7 +18,9 @@ themselves, so a link is never an estimate.
 A key of many texts is not paired all with all: first each text is compared
 with the key's first text, the links are joined to components, and then texts of
 one key that are in different components are compared inside a task, in pieces
-of bounded size; only pairs that pass the minima leave it.
+of bounded size, by their minima and then by the hashes of their shingles. Only
+links leave it, no more than join its members; the work in it still grows with
+the square of a key whose texts are alike but under 0.8.
 
 Defined cases: null and blank texts are copies of each other; a text of fewer
 words than a shingle is one shingle; rows that repeat are copies; of a component
@@ -128,28 +130,57 @@ def _checked(pairs: DataFrame, source: DataFrame, shingle: int, least: float) ->
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _apart(members: DataFrame, floor: float, piece_rows: int) -> DataFrame:
-    """Pairs (a, b) of rows of one key, in different components, whose minima agree often enough.
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The distinct hashes of each text's shingles, ascending."""
+    shingles, _, chunks = hashed_shingles(texts, shingle)
+    every = np.concatenate([np.zeros(0, np.uint64), *[hashes for _, _, hashes in chunks]])
+    return [np.unique(x) for x in np.split(every, np.cumsum(shingles)[:-1])] if texts else []
 
-    A key's members (key, row, root, minima) are cut into pieces, and any two pieces are one task's.
+
+def _members(open_rows: DataFrame, source: DataFrame, table: DataFrame, shingle: int) -> DataFrame:
+    """Adds to (key, row, root) what a task needs to compare rows: all keys, minima and the hashes of the shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column("text").to_pylist()
+            for part in slices(map(len, held), SLICE_BYTES):
+                yield pa.record_batch([b.column("row")[part], pa.array([x.tobytes() for x in shingle_sets(held[part], shingle)], pa.binary())], ["row", "hashes"])
+
+    asked = source.select("row", text_of().cast("binary").alias("text")).join(open_rows.select("row").distinct(), "row", "left_semi")
+    known = asked.mapInArrow(run, "row long, hashes binary").join(table.select("row", "keys", "minima"), "row")
+    return open_rows.join(known, "row").withColumn("band", F.array_position("keys", F.col("key")).cast("int") - 1)
+
+
+def _apart(members: DataFrame, least: float, floor: float, piece_rows: int) -> DataFrame:
+    """Links (a, b) that join rows of one key which are in different components, a spanning forest for each task.
+
+    A key's members are cut into pieces, and any two pieces are one task's. Two rows are compared under the first of the
+    keys that they share, and not at all where the task has joined them already; first by their minima, then by the
+    hashes of their shingles. Pairs that are no links never leave the task.
     """
 
-    def pairs(rows: np.ndarray, roots: np.ndarray, minima: np.ndarray, piece: np.ndarray, one: int, two: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def links(t: pa.Table, one: int, two: int) -> Iterator[tuple[int, int]]:
+        rows, piece, band = t.column("row").to_numpy(), t.column("piece").to_numpy(), t.column("band")[0].as_py()
+        label = np.unique(t.column("root").to_numpy(), return_inverse=True)[1]
+        minima, keys = _matrix(t.column("minima")), np.stack(t.column("keys").to_numpy())
+        hashes = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
         left, right = np.flatnonzero(piece == one), np.flatnonzero(piece == two)
         for k in left:
-            to = right[(roots[right] != roots[k]) & ((rows[right] > rows[k]) if one == two else True)]
-            near = to[(minima[to] == minima[k]).mean(axis=1) >= floor]
-            yield np.minimum(rows[near], rows[k]), np.maximum(rows[near], rows[k])
+            to = right[(right > k) & (label[right] != label[k])] if one == two else right[label[right] != label[k]]
+            to = to[(minima[to] == minima[k]).mean(axis=1) >= floor]
+            for j in to[(keys[to] == keys[k]).argmax(axis=1) == band]:
+                if label[j] != label[k]:
+                    common = np.intersect1d(hashes[j], hashes[k], assume_unique=True).size
+                    if common >= least * (len(hashes[j]) + len(hashes[k]) - common):
+                        yield min(rows[j], rows[k]), max(rows[j], rows[k])
+                        label[label == label[j]] = label[k]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def emit() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            rows, roots, piece = (t.column(c).to_numpy() for c in ("row", "root", "piece"))
-            found = [*pairs(rows, roots, _matrix(t.column("minima")), piece, *key[1:])]
-            a, b = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in range(2))
-            return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            found = np.array([*links(pa.Table.from_batches(held), *key[1:])], np.int64).reshape(-1, 2)
+            return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("key", "one", "two")], axis=1)
@@ -167,12 +198,12 @@ def _apart(members: DataFrame, floor: float, piece_rows: int) -> DataFrame:
 
     large = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / piece_rows).alias("pieces"))
     dealt = members.join(large, "key").withColumn("piece", F.pmod(F.xxhash64("row"), F.col("pieces"))).withColumn("other", F.explode(F.expr("sequence(0L, pieces - 1)")))
-    dealt = dealt.select("key", F.least("piece", "other").alias("one"), F.greatest("piece", "other").alias("two"), "row", "root", "piece", "minima")
+    dealt = dealt.select("key", F.least("piece", "other").alias("one"), F.greatest("piece", "other").alias("two"), "row", "root", "piece", "band", "keys", "minima", "hashes")
     keys = ["key", "one", "two"]
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
 
 
-def near_copies(source: DataFrame, *, shingle: int = 5, least: float = 0.8, radius: int = 3, bands: int = 30, rows: int = 5, piece_rows: int = 1024) -> DataFrame:
+def near_copies(source: DataFrame, *, shingle: int = 5, least: float = 0.8, radius: int = 3, bands: int = 30, rows: int = 5, piece_rows: int = 512) -> DataFrame:
     """row, doc_id and root (the first row of its component) for each row (row, doc_id, text)."""
     table = staged(sketch_table(source, shingle, bands, rows), "sketches")
     floor = least - 4.5 * math.sqrt(least * (1 - least) / (bands * rows))
@@ -189,8 +220,8 @@ def near_copies(source: DataFrame, *, shingle: int = 5, least: float = 0.8, radi
     joined = components(links)
     rooted = shared.join(joined, shared["row"] == joined["node"], "left").select("key", "row", F.coalesce("root", "row").alias("root"))
     open_keys = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    members = staged(rooted.join(open_keys, "key", "left_semi").join(table.select("row", "minima"), "row"), "members")
-    rest = staged(_apart(members, floor, piece_rows).join(stars, ["a", "b"], "left_anti"), "pairs")
+    members = staged(_members(staged(rooted.join(open_keys, "key", "left_semi"), "open"), source, table, shingle), "members")
+    rest = staged(_apart(members, least, floor, piece_rows), "pairs")
     joined = components(links.union(_checked(rest, source, shingle, least)))
     return table.select("row", "doc_id").join(joined, table["row"] == joined["node"], "left").select("row", "doc_id", F.coalesce("root", "row").alias("root"))
 
