@@ -298,11 +298,14 @@ def q15_lru_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH w AS (SELECT doc_id, list_concat(string_split(lower(text), ' ')[1:30], string_split(text, ' ')[11:50]) AS l FROM documents)
-    SELECT doc_id, sha256(array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), '|')) AS kept FROM w
+    WITH l AS (SELECT doc_id, list_concat(string_split(lower(text), ' '), string_split(text, ' ')) AS l FROM documents),
+    w AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM l),
+    f AS (SELECT doc_id, x, min(i) AS i FROM w GROUP BY 1, 2)
+    SELECT doc_id, sha256(string_agg(x, '|' ORDER BY i)) AS kept FROM f GROUP BY 1
 """)
 def q16_dedup_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first, second = F.slice(F.split(F.lower("text"), " "), 1, 30), F.slice(F.split("text", " "), 11, 40)
+    """Each whole text twice over as warnings: its words in lower case, then as they are."""
+    first, second = F.split(F.lower("text"), " "), F.split("text", " ")
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.array_join(text.ordered_union(first, second), "|"), 256).alias("kept"))
 
 
@@ -324,14 +327,14 @@ def q17_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_evidence() -> "F.Column":
-    """Up to five pieces of 1,000 characters as evidence."""
-    n = F.least(F.lit(5), F.ceil(F.length("text") / 1000)).cast("int")
+    """The whole text in pieces of 1,000 characters as evidence."""
+    n = F.ceil(F.length("text") / 1000).cast("int")
     piece = lambda k: F.struct(F.lit("text").alias("type"), F.concat(F.lit("part "), k.cast("string")).alias("location"), F.substring(F.col("text"), (k - 1) * 1000 + 1, F.lit(1000)).alias("content"), F.lit(None).cast("double").alias("confidence"))
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), piece).cast(render.EVIDENCE)).otherwise(F.array().cast(render.EVIDENCE))
 
 
 @query("""
-    WITH d AS (SELECT doc_id, text, unnest(['compact', 'normal', 'full']) AS detail, least(5, ceil(length(text) / 1000))::INT AS n, CASE WHEN doc_id % 3 = 0 THEN 'an answer' END AS answer, CASE WHEN doc_id % 2 = 0 THEN 'a summary' ELSE '' END AS summary FROM documents),
+    WITH d AS (SELECT doc_id, text, unnest(['compact', 'normal', 'full']) AS detail, ceil(length(text) / 1000)::INT AS n, CASE WHEN doc_id % 3 = 0 THEN 'an answer' END AS answer, CASE WHEN doc_id % 2 = 0 THEN 'a summary' ELSE '' END AS summary FROM documents),
     e AS (SELECT *, list_transform(range(1, n + 1), lambda k: length(substr(text, ((k - 1) * 1000 + 1)::BIGINT, 1000))) AS sizes FROM d)
     SELECT doc_id, detail,
         length(CASE WHEN detail = 'compact' THEN coalesce(answer, nullif(summary, ''), left(text, 1500)) ELSE text END)::BIGINT AS content_chars,
@@ -371,12 +374,12 @@ def analyze_documents(spark: SparkSession, sf_dir: str, max_chars: int = 100_000
 
 
 def headed(marker: Callable) -> "F.Column":
-    """The document's first 40 lines, some of them made headings by ``marker``."""
-    return F.array_join(F.transform(F.slice(F.split("text", "\n"), 1, 40), marker), "\n")
+    """All lines of the document, some of them made headings by ``marker``."""
+    return F.array_join(F.transform(F.split("text", "\n"), marker), "\n")
 
 
 @query(r"""
-    WITH h AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10))[1:40], lambda x, i: CASE WHEN i % 3 = 1 AND x <> '' THEN repeat('#', ((i + doc_id) % 8)::INT) || ' ' || x ELSE x END), chr(10)) AS md FROM documents),
+    WITH h AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 3 = 1 AND x <> '' THEN repeat('#', ((i + doc_id) % 8)::INT) || ' ' || x ELSE x END), chr(10)) AS md FROM documents),
     o AS (SELECT doc_id, list_transform(regexp_extract_all(md, '(?m)^#{1,6}[ \t]+\S[^\n]*$'), lambda x: regexp_replace(regexp_replace(x, '^(#+)[ \t]+', '\1 '), '[\s\x1c-\x1f\x{85}\x{a0}]+$', '')) AS hs FROM h)
     SELECT doc_id, least(len(hs), 12)::BIGINT AS n, sha256(array_to_string(hs[1:12], chr(10))) AS outline FROM o
 """)
@@ -387,18 +390,20 @@ def q20_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    WITH w AS (SELECT doc_id, list_filter(string_split(text, ' ')[1:60], lambda x: x <> '') AS ws, doc_id % 5 + 1 AS k FROM documents),
-    s AS (SELECT doc_id, k, list_transform(range(1, k + 1), lambda i: array_to_string(ws[((i - 1) * 6 + 1)::INT:(i * 6)::INT], ' ')) AS bodies FROM w)
+    WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws, doc_id % 5 + 1 AS k FROM documents),
+    n AS (SELECT *, greatest(1, ceil(len(ws) / k))::INT AS per FROM w),
+    s AS (SELECT doc_id, k, list_transform(range(1, k + 1), lambda i: array_to_string(ws[((i - 1) * per + 1)::INT:(i * per)::INT], ' ')) AS bodies FROM n)
     SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN 0 ELSE k END AS n_slides, CASE WHEN doc_id % 4 = 3 THEN sha256('') ELSE sha256(array_to_string(list_transform(bodies, lambda x: regexp_replace(x, '^[\s\x1c-\x1f\x{85}\x{a0}]+|[\s\x1c-\x1f\x{85}\x{a0}]+$', '', 'g')), '|')) END AS bodies FROM s
 """)
 def q21_split_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marked texts; in every fourth the last number is wrong, and nothing of it may be trusted."""
-    words = F.filter(F.slice(F.split("text", " "), 1, 60), lambda x: x != "")
-    k = (F.col("doc_id") % 5 + 1).cast("int")
+    """Whole texts, cut into marked slides of equal length; in every fourth the last number is wrong, and nothing of it may be trusted."""
+    k, words, per = (F.col("doc_id") % 5 + 1).cast("int"), F.col("words"), F.col("per")
     number = lambda i: F.when((F.col("doc_id") % 4 == 3) & (i == k), i + 1).otherwise(i)
-    body = lambda i: F.array_join(F.slice(words, (i - 1) * 6 + 1, F.lit(6)), " ")
+    body = lambda i: F.array_join(F.slice(words, (i - 1) * per + 1, per), " ")
     md = F.array_join(F.transform(F.sequence(F.lit(1), k), lambda i: F.concat(F.lit("<!-- Slide number: "), number(i).cast("string"), F.lit(" -->\n"), body(i))), "\n\n")
-    found = table(spark, sf_dir, "documents").select("doc_id", sections.split_slides(md, k).alias("s"))
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", " "), lambda x: x != "").alias("words"))
+    cut = cut.withColumn("per", F.greatest(F.lit(1), F.ceil(F.size("words") / k)).cast("int"))
+    found = cut.select("doc_id", sections.split_slides(md, k).alias("s"))
     return found.select("doc_id", F.size("s").cast("long").alias("n_slides"), F.sha2(F.array_join(F.transform("s", lambda x: x["body"]), "|"), 256).alias("bodies"))
 
 
@@ -437,7 +442,7 @@ def q24_html_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q24_html_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as Markdown; tests/test_sources.py holds the converter against fixtures."""
+    """Pages as Markdown; tests/test_engine.py and tests/test_operators.py hold the converters against fixtures."""
     files = text_files(table(spark, sf_dir, "pages"), id_col="page_id", text_col="html", extension=".html")
     return convert(files).select("name", "markdown", F.length("markdown").cast("long").alias("chars"))
 
@@ -587,23 +592,24 @@ def q33_sandbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-    WITH p AS (SELECT doc_id, text, greatest(1, least(6, ceil(length(text) / 500)))::INT AS n FROM documents),
+    WITH p AS (SELECT doc_id, text, greatest(1, ceil(length(text) / 500))::INT AS n FROM documents),
     s AS (SELECT doc_id, n, list_transform(range(1, n + 1), lambda k: substr(text, ((k - 1) * 500 + 1)::BIGINT, 500)) AS ps FROM p),
     w AS (SELECT doc_id, n, list_transform(ps, lambda x: regexp_replace(x, '[\s\x1c-\x1f\x{85}\x{a0}]+$', '')) AS ps, len(list_filter(ps, lambda x: length(regexp_replace(x, '^[\s\x1c-\x1f\x{85}\x{a0}]+|[\s\x1c-\x1f\x{85}\x{a0}]+$', '', 'g')) < 120)) AS weak FROM s)
     SELECT doc_id, n::BIGINT AS pages, weak::BIGINT AS weak_pages, sha256(array_to_string(list_transform(ps, lambda x, i: '### Page ' || i || chr(10) || chr(10) || CASE WHEN x <> '' THEN x ELSE '_(blank page)_' END), chr(10) || chr(10))) AS content FROM w
 """)
 def q34_pdf_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pieces of documents as pages, spread over tasks and put together again in their order."""
-    docs = table(spark, sf_dir, "documents")
-    n = F.greatest(F.lit(1), F.least(F.lit(6), F.ceil(F.length("text") / 500))).cast("int")
-    paged = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(1), n)).alias("page"))
-    body = paged.select("doc_id", "page", F.substring(F.col("text"), (F.col("page") - 1) * 500 + 1, F.lit(500)).alias("t"))
-    whole = text.rstrip(F.col("t"))
-    section = F.concat(F.lit("### Page "), F.col("page").cast("string"), F.lit("\n\n"), F.when(whole != "", whole).otherwise("_(blank page)_"))
-    weak = F.length(text.strip(F.col("t"))) < 120
-    # A document has six pages at most here, so a group is bounded.
-    joined = body.select("doc_id", "page", section.alias("s"), weak.alias("weak")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.count_if("weak").alias("weak_pages"), F.array_sort(F.collect_list(F.struct("page", "s"))).alias("ss"))
-    return joined.select("doc_id", "pages", "weak_pages", F.sha2(F.array_join(F.transform("ss", lambda x: x["s"]), "\n\n"), 256).alias("content"))
+    """Whole documents in pieces of 500 characters as pages, put together in the row, so that nothing is gathered."""
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 500)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(F.col("text"), (k - 1) * 500 + 1, F.lit(500)))
+    paged = table(spark, sf_dir, "documents").select("doc_id", pieces.alias("pieces"))
+
+    def section(piece: "F.Column", at: "F.Column") -> "F.Column":
+        whole = text.rstrip(piece)
+        return F.concat(F.lit("### Page "), (at + 1).cast("string"), F.lit("\n\n"), F.when(whole != "", whole).otherwise("_(blank page)_"))
+
+    weak = F.size(F.filter("pieces", lambda x: F.length(text.strip(x)) < 120))
+    content = F.array_join(F.transform("pieces", section), "\n\n")
+    return paged.select("doc_id", F.size("pieces").cast("long").alias("pages"), weak.cast("long").alias("weak_pages"), F.sha2(content, 256).alias("content"))
 
 
 @query("SELECT date_trunc('hour', ts)::VARCHAR AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
