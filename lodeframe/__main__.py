@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators import cache
+from .operators.sandbox import resolve_local
 from .plans.engine import Engine, requests_for
 from .plans.facts import verdicts
 from .settings import Settings
@@ -49,12 +50,19 @@ def session() -> SparkSession:
 
 def inspect(settings: Settings, args: argparse.Namespace) -> int:
     spark = session()
-    root = os.path.dirname(os.path.abspath(args.path))
-    files = read_files(spark, root, settings.max_file_bytes).withColumn("path", F.col("name"))
-    asked = spark.createDataFrame([(os.path.basename(args.path),)], "path string")
+    # Without roots in the settings the file's own folder is the root: whoever types the command names it.
+    roots = settings.allowed_roots or (os.path.dirname(os.path.abspath(args.path)),)
+    given = args.path if settings.allowed_roots else os.path.abspath(args.path)
+    found = resolve_local(spark.createDataFrame([(given,)], "path string"), roots).first()
+    if found.path_error:
+        print(json.dumps({"success": False, "error": {"code": found.path_error}}) if args.json else f"**Error {found.path_error}**")
+        return 1
+    files = read_files(spark, found.resolved, settings.max_file_bytes).withColumn("path", F.col("name"))
+    asked = spark.createDataFrame([(os.path.basename(found.resolved),)], "path string")
+    settings = replace(settings, allowed_roots=())  # the path is resolved, and the request has the bare name
     extra = {k: v for k, v in {"question": args.question, "pages": args.pages, "mode": args.mode, "detail": args.detail, "vision_profile": args.profile, "max_chars": args.max_chars}.items() if v is not None}
     engine = Engine(spark, settings, cache_path=settings.cache_dir or None)
-    row = engine.analyze(requests_for(asked, **extra), files.where(F.col("name") == os.path.basename(args.path))).first()
+    row = engine.analyze(requests_for(asked, **extra), files).first()
     print(json.dumps(row.asDict(recursive=True), default=str, ensure_ascii=False) if args.json else row.markdown)
     return 0 if row.success else 1
 
@@ -62,6 +70,12 @@ def inspect(settings: Settings, args: argparse.Namespace) -> int:
 def benchmark(settings: Settings, args: argparse.Namespace) -> int:
     """Cases are JSON lines with path, question, must_contain, needs_ocr and needs_vision beside the files."""
     spark = session()
+    if settings.allowed_roots:
+        folder = os.path.realpath(args.folder)
+        if not any(os.path.commonpath([folder, r]) == r for r in map(os.path.realpath, settings.allowed_roots)):
+            print("**Error PATH_NOT_ALLOWED**")
+            return 1
+        settings = replace(settings, allowed_roots=())
     kind = "path string, question string, must_contain array<string>, needs_ocr boolean, needs_vision boolean"
     cases = requests_for(spark.read.schema(kind).json(args.cases))
     files = read_files(spark, args.folder, settings.max_file_bytes).withColumn("path", F.col("name"))

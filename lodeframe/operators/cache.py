@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalise_pages, normalise_question
 from ..settings import Settings
+from ..staging import stage
 
 SCHEMA_VERSION = 2
 KEY_FORMAT = "^[0-9a-f]{64}$"
@@ -48,13 +49,11 @@ def _before(entries: DataFrame, size: str, order: list[str], slots: int) -> Data
     """Adds ``__before`` and ``__total``: sizes of all entries that come earlier, and of all.
 
     A window over everything would be one task. Entries are cut into ranges of
-    the first order column, a range sums its own, and the ranges before it are a
-    running sum over one row for each range.
+    the whole order, so that entries of one time are spread too, and written; a
+    range sums its own, and the ranges before it are a running sum over one row
+    for each range.
     """
-    low, high = entries.agg(F.min(order[0]).cast("double"), F.max(order[0]).cast("double")).first()
-    width = max(((high or 0.0) - (low or 0.0)) / slots, 1e-9)
-    slot = F.least(F.floor((F.col(order[0]).cast("double") - F.lit(low or 0.0)) / width), F.lit(slots - 1)).cast("int")
-    ranged = entries.withColumn("__slot", slot)
+    ranged = stage(entries.repartitionByRange(slots, *order).withColumn("__slot", F.spark_partition_id()), "ranges")
     sums = ranged.groupBy("__slot").agg(F.sum(size).alias("__sum"))
     running = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("__slot", F.coalesce(F.sum("__sum").over(running), F.lit(0)).alias("__start"), F.sum("__sum").over(Window.partitionBy()).alias("__total"))
@@ -78,10 +77,64 @@ def cleanup(entries: DataFrame, now: Column, ttl_days: int, budget: int, **optio
     return marked.unionByName(gone).agg(F.count_if("expired").alias("expired"), F.count_if("evicted").alias("evicted"), F.count_if(stays).alias("kept"), F.coalesce(F.sum(F.when(stays, size)), F.lit(0)).alias("kept_bytes"))
 
 
+def touch(keys: DataFrame, now: Column, path: str) -> None:
+    """Note that the entries of ``keys`` were used. Notes are appended beside the table and taken in by ``upkeep``."""
+    keys.select("cache_key").distinct().withColumn("last_access", now).write.mode("append").parquet(path + ".used")
+
+
+def entries(spark: SparkSession, path: str) -> DataFrame:
+    """The latest entry of each key, with the time at which it was last used."""
+    table = spark.read.parquet(path)
+    latest = table.groupBy("cache_key").agg(F.max_by(F.struct(*[c for c in table.columns if c != "cache_key"]), "stored_at").alias("e")).select("cache_key", "e.*")
+    if not _exists(spark, path + ".used"):
+        return latest
+    used = spark.read.schema("cache_key string, last_access timestamp").parquet(path + ".used").groupBy("cache_key").agg(F.max("last_access").alias("__used"))
+    return latest.join(used, "cache_key", "left").withColumn("last_access", F.greatest("last_access", "__used")).drop("__used")
+
+
+def upkeep(spark: SparkSession, path: str, now: Column, ttl_days: int, budget: int) -> DataFrame:
+    """Rewrite the table without what has expired or must go, and say how much that was (as ``cleanup`` does)."""
+    held = stage(entries(spark, path), "entries")
+    fresh = held.where(F.unix_timestamp(now) - F.unix_timestamp("stored_at") <= ttl_days * 86400) if ttl_days > 0 else held
+    marked = stage(evict(fresh, budget), "marked")
+    kept = marked.where(~F.col("evicted"))
+    kept.drop("evicted").write.mode("overwrite").parquet(path + ".next")
+    _swap(spark, path)
+    _files(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path + ".used"), True)
+    gone = held.count() - marked.count()
+    return marked.agg(F.lit(gone).cast("long").alias("expired"), F.count_if("evicted").alias("evicted"), F.count_if(~F.col("evicted")).alias("kept"), F.coalesce(F.sum(F.when(~F.col("evicted"), F.col("size_bytes"))), F.lit(0)).alias("kept_bytes"))
+
+
+def _files(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    return _files(spark, path).exists(spark._jvm.org.apache.hadoop.fs.Path(path))
+
+
+def _swap(spark: SparkSession, path: str) -> None:
+    """Put ``path``.next in the place of ``path``. At every moment one of the two, or ``path``.old, is whole."""
+    fs, at = _files(spark, path), spark._jvm.org.apache.hadoop.fs.Path
+    fs.delete(at(path + ".old"), True)
+    fs.rename(at(path), at(path + ".old"))
+    fs.rename(at(path + ".next"), at(path))
+    fs.delete(at(path + ".old"), True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a crash within a swap: the new table if it was written whole, else the old one."""
+    if _exists(spark, path):
+        return
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    for name in (path + ".next", path + ".old"):
+        if _exists(spark, name + "/_SUCCESS"):
+            _files(spark, path).rename(at(name), at(path))
+            return
+
+
 def clear(spark: SparkSession, path: str) -> None:
     """An empty table in place of the entries."""
-    spark.read.parquet(path).limit(0).write.mode("overwrite").parquet(path + ".empty")
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(fs_path, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(path + ".empty"), fs_path)
+    spark.read.parquet(path).limit(0).write.mode("overwrite").parquet(path + ".next")
+    _swap(spark, path)
+    _files(spark, path).delete(spark._jvm.org.apache.hadoop.fs.Path(path + ".used"), True)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import provider
 from ..functions.intent import intent, profile
 from ..functions.text import excerpt, first_lines, line_location, needs_fallback, ocr_good_enough, page_selection, printable_ratio, rstrip, strip, text_content, text_summary
-from ..operators import cache
+from ..operators import cache, sandbox
 from ..operators.detect import detect, refusal, zip_members
 from ..operators.render import EVIDENCE, assemble
 from ..operators.route import argument_error, budget, resolution, route, weak_page_backend
@@ -85,6 +85,7 @@ class Engine:
         if self.cache_path and self.settings.cache_enabled:
             payload = F.to_json(F.struct(*NAMES), {"ignoreNullFields": "false"})
             cache.put(done.where("error IS NULL").select("cache_key", F.lit(cache.SCHEMA_VERSION).alias("schema_version"), now.alias("stored_at"), now.alias("last_access"), F.octet_length(payload).cast("long").alias("size_bytes"), payload.alias("payload")), self.cache_path)
+            cache.touch(looked.where("cache_status = 'hit'"), now, self.cache_path)
         hits = looked.where("cache_status = 'hit'").withColumn("__r", F.from_json("payload", RESULT)).withColumns({n: F.col(f"__r.{n}") for n in NAMES}).drop("__r", "payload", "stored_at")
         fresh = misses.drop("payload", "stored_at").join(done, "cache_key")
         bad = routed.where("error IS NOT NULL").withColumns({"cache_status": F.lit("miss"), "summary": F.lit(""), "answer": nothing(), "content_markdown": F.lit(""), "evidence": none_of(EVIDENCE), "warnings": none_of("array<string>"), "fallbacks_used": none_of("array<string>"), "model": nothing()})
@@ -103,6 +104,7 @@ class Engine:
         chosen = seen.withColumns({"intent": what, "__route": route(F.col("mode"), F.col("category"), *caps, what), "profile": profile(F.col("question"), F.col("vision_profile"), F.col("category") == "pdf")})
         error = F.coalesce(
             argument_error(F.col("mode"), F.col("detail"), F.col("max_chars")),
+            self._refused(F.col("asked_path")),
             F.when(F.col("path").isNull(), "FILE_NOT_FOUND"),
             F.when(F.col("size_bytes") > s.max_file_bytes, "FILE_TOO_LARGE"),
             F.when(refusal(F.col("category")).isNotNull(), "UNSUPPORTED_MEDIA_TYPE"),
@@ -115,11 +117,22 @@ class Engine:
         blind = F.when(F.col("__route.warned"), F.array(F.lit("The question needs eyes, but only OCR is available: this is a transcription."))).otherwise(none_of("array<string>"))
         return chosen.withColumns({"processor": F.col("__route.processor"), "plan": F.col("__route.plan"), "extra_warnings": blind, "error": error, "processor_version": version, "cache_key": key, "max_chars": budget(F.col("max_chars"), s.max_output_chars)}).drop("__route", "path").withColumnRenamed("asked_path", "path")
 
+    def _refused(self, path: Column) -> Column:
+        """What is wrong with a request's path before any file is asked for: its syntax and, where roots are set, its place.
+
+        Links are followed where files are opened (``sandbox.resolve_local``, which the command line uses).
+        """
+        roots = self.settings.allowed_roots
+        if roots:
+            return sandbox.textual_code(path, F.array(*[F.lit(r) for r in roots]))
+        return F.coalesce(sandbox.syntax_error(path), F.when(sandbox.platform_advice(path).isNotNull(), "PATH_NOT_ALLOWED"))
+
     def _cached(self, rows: DataFrame, now: Column) -> DataFrame:
         """Adds cache_status, payload and stored_at; a forced refresh is never a hit."""
         none = rows.withColumns({"cache_status": F.lit("miss"), "payload": nothing(), "stored_at": nothing("timestamp")})
         if not (self.cache_path and self.settings.cache_enabled):
             return none
+        cache.recover(self.spark, self.cache_path)
         try:
             entries = self.spark.read.parquet(self.cache_path)
         except Exception as error:  # no table yet: every request is a miss
@@ -214,7 +227,7 @@ class Engine:
         broken = F.when(F.col("total_pages").isNull(), "DOCUMENT_CONVERSION_FAILED").when(F.col("__sel.error").isNotNull(), "INVALID_PAGE_SELECTION")
         marked = counted.withColumns({"__error": broken, "selected": F.col("__sel.pages"), "asked": F.col("__sel.asked")}).drop("__sel")
         bad = self._result(marked.where("__error IS NOT NULL"), summary=F.lit(""), content_markdown=F.lit(""), evidence=none_of(EVIDENCE), error=F.col("__error"))
-        opened = append(marked.where("__error IS NULL"), "__pages array<struct<page:int,text:string>>", read)
+        opened = stage(append(marked.where("__error IS NULL"), "__pages array<struct<page:int,text:string>>", read), "opened")  # several branches read the pages
         paged = opened.select("cache_key", "name", "content", "pages", "plan", "intent", "profile", "question", "detail", "total_pages", "selected", "asked", F.explode("__pages").alias("__p")).select("*", "__p.page", "__p.text").drop("__p")
         clean = strip(F.col("text"))
         weak = F.col("plan").isin("ocr", "vision") | ((F.col("plan") != "text") & needs_fallback(F.length(clean), printable_ratio(clean), settings.pdf_min_chars_per_page))
@@ -223,24 +236,26 @@ class Engine:
         head = F.concat(F.lit("### Page "), F.col("page").cast("string"), F.lit("\n\n"))
         where = F.concat(F.lit("page "), F.col("page").cast("string"))
         keep = ["cache_key", "name", "pages", "total_pages", "selected", "asked", "page", "weak"]
+        failed = nothing().alias("failed")
         short = F.when(F.length(whole) > 400, F.concat(F.substring(whole, 1, 400), F.lit(" ..."))).when(whole == "", "(blank)").otherwise(whole)
-        good = paged.where(~F.col("weak")).select(*keep, F.concat(head, F.when(whole != "", whole).otherwise("_(blank page)_")).alias("section"), F.array(item("page", where, short)).alias("ev"), nothing().alias("note"))
+        good = paged.where(~F.col("weak")).select(*keep, F.concat(head, F.when(whole != "", whole).otherwise("_(blank page)_")).alias("section"), F.array(item("page", where, short)).alias("ev"), nothing().alias("note"), failed)
         thin = paged.where("weak")
-        found = good.unionByName(thin.where("backend = 'neither'").select(*keep, F.concat(head, F.when(whole != "", whole).otherwise("_(blank page)_")).alias("section"), F.array(item("page", where, short)).alias("ev"), F.lit("no fallback").alias("note")))
+        found = good.unionByName(thin.where("backend = 'neither'").select(*keep, F.concat(head, F.when(whole != "", whole).otherwise("_(blank page)_")).alias("section"), F.array(item("page", where, short)).alias("ev"), F.lit("no fallback").alias("note"), failed))
         if self.ocr.available():
             seen = recognise(append(thin.where("backend = 'ocr'"), "image binary", picture), self.ocr, installed_languages(settings.languages, self.ocr.languages())[0], "image")
             text = F.coalesce(rstrip(F.col("ocr_text")), F.lit(""))
-            found = found.unionByName(seen.select(*keep, F.concat(head, F.when(strip(text) != "", text).otherwise("_(no text recognised)_")).alias("section"), F.array(item("ocr", where, F.when(strip(text) != "", F.substring(text, 1, 1500)).otherwise("(no text recognised)"), F.col("ocr_confidence"))).alias("ev"), F.coalesce("ocr_error", F.lit("ocr")).alias("note")))
+            found = found.unionByName(seen.select(*keep, F.concat(head, F.when(strip(text) != "", text).otherwise("_(no text recognised)_")).alias("section"), F.array(item("ocr", where, F.when(strip(text) != "", F.substring(text, 1, 1500)).otherwise("(no text recognised)"), F.col("ocr_confidence"))).alias("ev"), F.coalesce("ocr_error", F.lit("ocr")).alias("note"), failed))
         if self.vision_usable:
             asked = append(thin.where("backend = 'vision'"), "image binary", picture).withColumn("prompt", provider.prompt(F.col("profile"), F.col("question"), F.col("detail"), where))
             replied = look(asked, self.vision, settings.vision_max_output_tokens, "image").withColumn("__a", provider.parse_reply(F.coalesce("reply", F.lit(""))))
-            found = found.unionByName(replied.select(*keep, F.concat(head, F.coalesce(F.col("reply"), F.lit("_(not analysed)_"))).alias("section"), F.array(item("visual", where, F.substring(F.coalesce(F.array_join("__a.observations", "\n"), F.col("__a.summary")), 1, 1200))).alias("ev"), F.coalesce("vision_error", F.lit("vision")).alias("note")))
+            found = found.unionByName(replied.select(*keep, F.concat(head, F.coalesce(F.col("reply"), F.lit("_(not analysed)_"))).alias("section"), F.array(item("visual", where, F.substring(F.coalesce(F.array_join("__a.observations", "\n"), F.col("__a.summary")), 1, 1200))).alias("ev"), F.lit("vision").alias("note"), F.col("vision_error").alias("failed")))
         # A document has max_pages pages at most, so what is gathered for one is bounded.
         gathered = found.groupBy("cache_key", "name", "pages", "total_pages", "selected", "asked").agg(
             F.array_sort(F.collect_list(F.struct("page", "section"))).alias("sections"),
             F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("weak", "page", "ev"))), lambda x: x["ev"])).alias("evidence"),
             F.array_sort(F.collect_set("note")).alias("notes"),
             F.count_if("weak").alias("thin"),
+            F.min("failed").alias("failed"),  # a page that vision cannot read fails the request, and nothing is stored
         )
         n = F.size("selected")
         summary = F.concat(
@@ -249,12 +264,12 @@ class Engine:
         )
         capped = cut_note("document", "page", "processed", F.col("pages"), F.col("total_pages"), F.col("asked"), n)
         lost = F.when(F.array_contains("notes", "no fallback"), "Some pages have little text and no OCR or vision backend is available.")
-        return bad.unionByName(self._result(gathered, summary=summary, content_markdown=F.array_join(F.transform("sections", lambda x: x["section"]), "\n\n"), evidence=F.col("evidence"), warnings=F.array_compact(F.array(capped, lost)), fallbacks_used=F.filter("notes", lambda x: x != "no fallback")))
+        return bad.unionByName(self._result(gathered, summary=summary, content_markdown=F.array_join(F.transform("sections", lambda x: x["section"]), "\n\n"), evidence=F.col("evidence"), warnings=F.array_compact(F.array(capped, lost)), fallbacks_used=F.filter("notes", lambda x: x != "no fallback"), error=F.col("failed")))
 
     def _image(self, rows: DataFrame) -> DataFrame:
         s, none = self.settings, nothing()
         if self.ocr.available():
-            read = recognise(rows, self.ocr, installed_languages(s.languages, self.ocr.languages())[0])
+            read = stage(recognise(rows, self.ocr, installed_languages(s.languages, self.ocr.languages())[0]), "recognised")  # several branches read it
         else:
             read = rows.withColumns({"ocr_text": none, "ocr_confidence": nothing("double"), "ocr_error": none})
         ran = F.col("ocr_text").isNotNull()

@@ -184,13 +184,20 @@ def notebook_markdown(raw: bytes) -> Converted:
     return Converted("\n\n".join(x for x in out if x.strip()))
 
 
+def _member(archive: zipfile.ZipFile, name: str) -> bytes:
+    """A member's bytes, no more than the limit whatever its header says."""
+    with archive.open(name) as f:
+        data = f.read(MEMBER_LIMIT + 1)
+    if len(data) > MEMBER_LIMIT:
+        raise ValueError("a member is too large")
+    return data
+
+
 def _members(raw: bytes) -> tuple[zipfile.ZipFile, Callable[[str], ET.Element]]:
     archive = zipfile.ZipFile(io.BytesIO(raw))
 
     def xml(name: str) -> ET.Element:
-        if archive.getinfo(name).file_size > MEMBER_LIMIT:
-            raise ValueError("a member is too large")
-        data = archive.read(name)
+        data = _member(archive, name)
         if b"<!DOCTYPE" in data[:4096] or b"<!ENTITY" in data[:4096]:
             raise ValueError("entities are not read")
         return ET.fromstring(data)
@@ -274,7 +281,7 @@ def epub_markdown(raw: bytes) -> Converted:
     root, folder = xml(package), package.rsplit("/", 1)[0] + "/" if "/" in package else ""
     files = {x.attrib["id"]: x.attrib["href"] for x in root.iter() if _local(x.tag) == "item"}
     spine = [files[x.attrib["idref"]] for x in root.iter() if _local(x.tag) == "itemref" and x.attrib.get("idref") in files]
-    return Converted("\n\n".join(html_markdown(archive.read(folder + f)).markdown for f in spine))
+    return Converted("\n\n".join(html_markdown(_member(archive, folder + f)).markdown for f in spine))
 
 
 CONVERTERS: dict[str, Callable[[bytes], Converted]] = {

@@ -21,13 +21,22 @@ def window_counts(events: DataFrame, *, width: str = "1 hour", slide: str | None
 
 
 def run_to_table(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there and return the table it made."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Run a stream over what is there and return the table it made, which is written beside the checkpoint.
+
+    A batch that runs again writes its own part again, so nothing is doubled; in
+    complete mode the latest batch is the table.
+    """
+    path = f"{checkpoint}-{name}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/{number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         query.awaitTermination()
     finally:
         query.stop()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def hot_folder(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
