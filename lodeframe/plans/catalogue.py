@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from ..functions import geometry, provider, text
 from ..functions.intent import PROFILE_WORDS, TEXT_WORDS, VISUAL_WORDS, intent, profile
 from ..operators import cache, detect, render, route, sandbox, sections
 from ..settings import Settings
+from ..sources.backends import FakeOcr, FakePdf
 from ..sources.convert import convert
 from ..sources.files import text_files
 from ..staging import shared_folder
@@ -537,21 +539,45 @@ def q30_expected_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expected_facts(docs: DataFrame, facts: DataFrame, block: int = 20_000) -> DataFrame:
     """For each stated fact: documents that hold it, and the first of them.
 
-    A fact can begin inside a word, so no equality finds it; documents are read
-    once, in place, against the list of facts. The list is a stated query set,
-    sent in blocks of bounded size, and no pair leaves a task unless it matches.
+    A fact can begin inside a word, so no equality finds it. The facts are a
+    stated query set and go out in blocks of bounded size; a block is one
+    automaton, which reads each text once for all of its facts. A task sums up
+    what it found before anything is shuffled.
     """
-    count = facts.count()
-    pieces = max(1, -(-count // block))
-    numbered = facts.select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(pieces)).alias("__piece"))
+    import ahocorasick
+
+    facts = facts.select("item_id", "text").where("text IS NOT NULL")
+    pieces = max(1, -(-facts.count() // block))
+    numbered = facts.withColumn("__piece", F.pmod(F.xxhash64("item_id"), F.lit(pieces)))
     found = None
     for k in range(pieces):
-        part = numbered.where(F.col("__piece") == k).agg(F.collect_list(F.struct("item_id", "text")).alias("facts"))
-        held = docs.select("doc_id", "text").withColumn("facts", part.scalar())
-        hits = held.select("doc_id", F.explode(F.transform(F.filter("facts", lambda f: F.contains(F.col("text"), f["text"])), lambda f: f["item_id"])).alias("item_id"))
-        counted = hits.groupBy("item_id").agg(F.count(F.lit(1)).alias("hits"), F.min("doc_id").alias("first_doc"))
-        found = counted if found is None else found.unionByName(counted)
-    return facts.select("item_id").join(found, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"), F.coalesce("first_doc", F.lit(-1).cast("long")).alias("first_doc"))
+        by_text: dict[str, list[int]] = {}
+        for r in numbered.where(F.col("__piece") == k).toLocalIterator():
+            by_text.setdefault(r.text, []).append(r.item_id)
+        shared = facts.sparkSession.sparkContext.broadcast(by_text)
+
+        def run(batches, shared=shared):
+            machine = ahocorasick.Automaton()
+            for t in shared.value:
+                if t:
+                    machine.add_word(t, t)
+            machine.make_automaton()
+            always = {""} & shared.value.keys()
+            counts: dict[str, list[int]] = {}
+            for b in batches:
+                for doc, body in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                    for t in always.union(t for _, t in machine.iter(body)) if len(machine) else always:
+                        held = counts.setdefault(t, [0, None])
+                        held[0] += 1
+                        if doc is not None:
+                            held[1] = doc if held[1] is None else min(held[1], doc)
+            rows = [(i, n, first) for t, (n, first) in counts.items() for i in shared.value[t]]
+            yield pa.record_batch([pa.array([r[j] for r in rows], pa.int64()) for j in range(3)], ["item_id", "hits", "first_doc"])
+
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").mapInArrow(run, "item_id long, hits long, first_doc long")
+        found = part if found is None else found.unionByName(part)
+    total = found.groupBy("item_id").agg(F.sum("hits").alias("hits"), F.min("first_doc").alias("first_doc"))
+    return facts.select("item_id").join(total, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"), F.coalesce("first_doc", F.lit(-1).cast("long")).alias("first_doc"))
 
 
 @query(f"""
@@ -581,12 +607,26 @@ def q32_prompt_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PATHS = ["/data/ws/a.txt", "/data/ws-evil/a.txt", "/data/ws/../etc/passwd", "/data/ws/./b//c.txt", "rel/x.md", "../x", "", "  ", "data:text/plain,x", "DATA:x", "http://h/x", "file:///data/ws/a", "\\\\srv\\share", "C:\\x\\y.txt", "/other/a", "/data/ws", "/srv/pub/q.pdf", " /data/ws/pad.txt "]
-CODES = [None, "PATH_NOT_ALLOWED", "PATH_NOT_ALLOWED", None, None, "PATH_NOT_ALLOWED", "INVALID_ARGUMENT", "INVALID_ARGUMENT", "INVALID_ARGUMENT", "INVALID_ARGUMENT", "INVALID_ARGUMENT", "INVALID_ARGUMENT", "PATH_NOT_ALLOWED", "PATH_NOT_ALLOWED", "PATH_NOT_ALLOWED", None, None, None]
+ROOTS = ("/data/ws", "/srv/pub")
+
+
+def sql_path_code(p: str) -> str:
+    """The code of a path with at most one '..', by its syntax and its place below the roots."""
+    place = lambda c: f"regexp_replace(regexp_replace(regexp_replace({c}, '(/\\.)+/', '/', 'g'), '/+', '/', 'g'), '/[^/]+/\\.\\.(/|$)', '/')"
+    inside = lambda c: "(" + " OR ".join(f"{place(c)} = '{r}' OR starts_with({place(c)}, '{r}/')" for r in ROOTS) + ")"
+    below = " OR ".join(inside(f"'{r}/' || trim({p})") for r in ROOTS)
+    return rf"""CASE WHEN trim({p}) = '' OR regexp_matches({p}, '(?i)^data:') OR regexp_matches({p}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN 'INVALID_ARGUMENT'
+        WHEN regexp_matches({p}, '^\\\\[^\\]') OR regexp_matches({p}, '^[A-Za-z]:[\\/]') THEN 'PATH_NOT_ALLOWED'
+        WHEN starts_with(trim({p}), '/') THEN CASE WHEN NOT {inside(f"trim({p})")} THEN 'PATH_NOT_ALLOWED' END
+        WHEN NOT ({below}) THEN 'PATH_NOT_ALLOWED' END"""
+
+
+SQL_PATHS = f"(SELECT event_id, ({sql_list(PATHS)})[event_id % {len(PATHS)} + 1] AS p FROM events)"
 
 
-@query(f"SELECT coalesce(({sql_list(CODES)})[event_id % {len(PATHS)} + 1], 'ok') AS code, count(*) AS n FROM events GROUP BY 1")
+@query(f"SELECT coalesce({sql_path_code('p')}, 'ok') AS code, count(*) AS n FROM {SQL_PATHS} GROUP BY 1")
 def q33_sandbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    roots = F.array(F.lit("/data/ws"), F.lit("/srv/pub/"))
+    roots = F.array(F.lit(ROOTS[0]), F.lit(ROOTS[1] + "/"))
     paths = table(spark, sf_dir, "events").select(pick(PATHS, F.col("event_id") % len(PATHS)).alias("path"))
     return paths.groupBy(F.coalesce(sandbox.textual_code(F.col("path"), roots), F.lit("ok")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -648,3 +688,96 @@ def q37_provider_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     made = provider.payload(F.lit("m"), F.col("event_type"), F.lit(None).cast("string"), F.array(image), 1400)
     return table(spark, sf_dir, "events").select("event_id", F.sha2(made, 256).alias("payload"))
+
+
+# -- requests through the engine ---------------------------------------------
+
+
+@query(f"SELECT coalesce({sql_path_code('p')}, CASE WHEN p = '/data/ws/a.txt' THEN 'ok' ELSE 'FILE_NOT_FOUND' END) AS code, count(*) AS n FROM {SQL_PATHS} GROUP BY 1")
+def q38_request_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for paths of all kinds, through the whole engine, which may read below two roots; one of the files is there."""
+    paths = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("request_id"), pick(PATHS, F.col("event_id") % len(PATHS)).alias("path"))
+    there = spark.createDataFrame([("a", "a fact\n")], "name string, text string")
+    files = text_files(there, id_col="name", text_col="text").withColumn("path", F.concat(F.lit("/data/ws/"), "name"))
+    out = Engine(spark, Settings(allowed_roots=ROOTS)).analyze(requests_for(paths), files)
+    return out.groupBy(F.coalesce("error.code", F.lit("ok")).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, text, greatest(1, ceil(length(text) / 700))::INT AS total FROM documents),
+    s AS (SELECT *, CASE WHEN doc_id % 2 = 1 THEN 1 ELSE least(total, 30) END AS sel FROM d),
+    p AS (SELECT doc_id, total, sel, unnest(list_transform(range(1, sel + 1), lambda k: substr(text, ((k - 1) * 700 + 1)::BIGINT, 700))) AS page FROM s),
+    t AS (SELECT doc_id, total, sel, {SQL_STRIP.format("page")} AS t FROM p),
+    w AS (SELECT doc_id, total, sel, count(*) FILTER (length(t) < 120 OR (CASE WHEN length(t) = 0 THEN 0 ELSE {SQL_PRINTABLE.format("t")} / length(t) END) < 0.6) AS thin FROM t GROUP BY ALL)
+    SELECT doc_id, 'PDF `' || doc_id || '.pdf`: ' || total || ' page(s), ' || sel || ' selected' || CASE WHEN sel > thin THEN '; ' || (sel - thin) || ' read from the embedded text layer' ELSE '' END
+        || CASE WHEN thin > 0 THEN '; ' || thin || ' below the text-density threshold (120 chars/page) handled by fallback' ELSE '' END || '.' AS summary,
+        sel::BIGINT AS n_evidence, ((thin > 0)::INT + (doc_id % 2 = 0 AND total > 30)::INT)::BIGINT AS n_warnings FROM w
+""")
+def q39_pdf_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PDF files of 700 characters a page, every second one asked for its first page alone."""
+    n = F.greatest(F.lit(1), F.ceil(F.length("text") / 700)).cast("int")
+    pages = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: F.substring(F.col("text"), (k - 1) * 700 + 1, F.lit(700))), "\f")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("%PDF-1.7\n"), pages).alias("body"))
+    files = text_files(docs, id_col="doc_id", text_col="body", extension=".pdf")
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    out = Engine(spark, pdf=FakePdf()).analyze(requests_for(files.select("path"), pages=F.when(number % 2 == 1, "1")), files)
+    return out.select(F.regexp_extract("request_id", "([0-9]+)", 1).cast("long").alias("doc_id"), "summary", F.size("evidence").cast("long").alias("n_evidence"), F.size("warnings").cast("long").alias("n_warnings"))
+
+
+@query("""
+    WITH r AS (SELECT event_id, (['auto', 'ocr', 'vision', 'document'])[event_id % 4 + 1] AS mode, event_id % 3 = 0 AS visual FROM events)
+    SELECT mode, CASE mode WHEN 'vision' THEN 'VISION_NOT_CONFIGURED' WHEN 'document' THEN 'MODE_NOT_APPLICABLE' ELSE 'ok' END AS code,
+        (CASE WHEN mode IN ('auto', 'ocr') THEN 1 ELSE 0 END)::BIGINT AS n_evidence, (CASE WHEN mode = 'auto' AND visual THEN 1 ELSE 0 END)::BIGINT AS n_warnings, count(*) AS n FROM r GROUP BY ALL
+""")
+def q40_image_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small images in every mode, with an OCR engine and without a vision provider; a third of the questions need eyes."""
+    events = table(spark, sf_dir, "events")
+    content = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.col("event_id").cast("string").cast("binary"))
+    files = events.select(F.concat(F.col("event_id").cast("string"), F.lit(".png")).alias("path"), content.alias("content"))
+    files = files.withColumns({"name": F.col("path"), "extension": F.lit(".png"), "size_bytes": F.octet_length("content").cast("long"), "sha256": F.sha2("content", 256), "modified_at": F.lit(None).cast("timestamp")})
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    asked = requests_for(files.select("path"), mode=pick(["auto", "ocr", "vision", "document"], number % 4), question=F.when(number % 3 == 0, "Why is the button disabled?"))
+    out = Engine(spark, ocr=FakeOcr()).analyze(asked, files)
+    return out.groupBy("request.mode", F.coalesce("error.code", F.lit("ok")).alias("code"), F.size("evidence").cast("long").alias("n_evidence"), F.size("warnings").cast("long").alias("n_warnings")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+    WITH w AS (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws, doc_id % 5 + 1 AS k FROM documents),
+    n AS (SELECT *, greatest(1, ceil(len(ws) / k))::INT AS per, CASE doc_id % 3 WHEN 0 THEN k WHEN 1 THEN 1 ELSE least(k, 2) END AS upto FROM w),
+    s AS (SELECT doc_id, upto, list_transform(range(1, upto + 1), lambda i: {SQL_STRIP.format("array_to_string(ws[((i - 1) * per + 1)::INT:(i * per)::INT], ' ')")}) AS bodies FROM n)
+    SELECT doc_id, upto::BIGINT AS n_evidence, sha256(array_to_string(list_transform(bodies, lambda x, i: '### Slide ' || i || chr(10) || chr(10) || CASE WHEN x <> '' THEN x ELSE '_(no text)_' END), chr(10) || chr(10))) AS content FROM s
+""")
+def q41_slide_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks of one to five slides: all of them, the first, or up to two, as a request chooses."""
+    k, words, per = (F.col("doc_id") % 5 + 1).cast("int"), F.col("words"), F.col("per")
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.filter(F.split("text", " "), lambda x: x != "").alias("words"))
+    cut = cut.withColumn("per", F.greatest(F.lit(1), F.ceil(F.size("words") / k)).cast("int"))
+    body = lambda i: F.array_join(F.slice(words, (i - 1) * per + 1, per), " ")
+    md = F.array_join(F.transform(F.sequence(F.lit(1), k), lambda i: F.concat(F.lit("<!-- Slide number: "), i.cast("string"), F.lit(" -->\n"), body(i))), "\n\n")
+    pages = F.when(F.col("doc_id") % 3 == 1, "1").when((F.col("doc_id") % 3 == 2) & (k > 1), "1-2").when(F.col("doc_id") % 3 == 2, "1")
+    found = cut.select("doc_id", sections.split_slides(md, k).alias("s"), pages.alias("e")).withColumn("p", text.page_selection(F.col("e"), F.size("s"), 30)["pages"])
+    kept = F.filter("s", lambda x: F.array_contains(F.col("p"), x["name"].cast("int")))
+    return found.select("doc_id", F.size(sections.section_evidence(kept, "slide", "slide ")).cast("long").alias("n_evidence"), F.sha2(sections.rebuild_slides(F.col("s"), F.col("p")), 256).alias("content"))
+
+
+@query("""
+    WITH e AS (SELECT sha256(user_id::VARCHAR) AS cache_key, sum(round(value * 100)::BIGINT)::BIGINT AS size_bytes, min(ts) AS stored, max(ts) FILTER (event_type = 'view') AS used FROM events GROUP BY user_id),
+    n AS (SELECT max(ts) AS now FROM events),
+    f AS (SELECT cache_key, size_bytes, greatest(stored, coalesce(used, stored)) AS last_access FROM e, n WHERE epoch(now)::BIGINT - epoch(stored)::BIGINT <= 29 * 86400),
+    w AS (SELECT *, sum(size_bytes) OVER () - coalesce(sum(size_bytes) OVER (ORDER BY last_access, size_bytes, cache_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 1000000 AS evicted FROM f)
+    SELECT cache_key, size_bytes FROM w WHERE NOT evicted
+""")
+def q42_cache_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as entries, stored at their first event and used at each view: what is left of the table after an upkeep."""
+    import uuid
+
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = events.agg(F.date_trunc("second", F.max("ts"))).first()[0]
+    path = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    key = F.sha2(F.col("user_id").cast("string"), 256)
+    stored = events.groupBy(key.alias("cache_key")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("size_bytes"), F.min("ts").alias("stored_at"))
+    cache.put(stored.select("cache_key", F.lit(2).alias("schema_version"), "stored_at", F.col("stored_at").alias("last_access"), "size_bytes", F.lit("{}").alias("payload")), path)
+    used = events.where("event_type = 'view'").select(key.alias("cache_key"), "ts").groupBy("cache_key").agg(F.max("ts").alias("last_access"))
+    used.write.mode("append").parquet(path + ".used")
+    cache.upkeep(spark, path, F.lit(now), 29, 1_000_000)
+    return spark.read.parquet(path).select("cache_key", "size_bytes")

@@ -60,3 +60,22 @@ def test_payload_and_report(spark):
     body = '{"model":"z","choices":[{"finish_reason":"stop"}],"usage":{"prompt_tokens":5,"completion_tokens":6}}'
     got = spark.createDataFrame([(body,)], "b string").select(provider.completion_report(F.col("b")).alias("r"), geometry.was_downscaled(F.lit(5), F.lit(5), F.lit(6), F.lit(5)).alias("d")).first()
     assert tuple(got.r) == ("z", None, "stop", 5, 6) and got.d
+
+
+def test_inspect_keeps_to_the_roots(spark, tmp_path, capsys, monkeypatch):
+    for name in ("ws", "ws-evil", "other"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.txt").write_text(f"held in {name}\n")
+    (tmp_path / "ws" / "link.txt").symlink_to(tmp_path / "other" / "a.txt")
+    monkeypatch.setenv("LODEFRAME_ALLOWED_ROOTS", str(tmp_path / "ws"))
+
+    def said(path):
+        code = main(["inspect", path, "--json"])
+        return code, json.loads(capsys.readouterr().out)
+
+    assert said(str(tmp_path / "ws" / "a.txt"))[0] == 0 and said("a.txt")[1]["success"]
+    for path in ("ws-evil/a.txt", "other/a.txt", "ws/../other/a.txt", "ws/link.txt", "other/none.txt"):
+        code, out = said(f"{tmp_path}/{path}")
+        assert code == 1 and out["error"]["code"] == "PATH_NOT_ALLOWED", path
+    assert said(f"{tmp_path}/ws/none.txt")[1]["error"]["code"] == "FILE_NOT_FOUND"
+    assert main(["benchmark", str(tmp_path / "other"), "cases.json"]) == 1

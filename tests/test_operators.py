@@ -111,3 +111,22 @@ def test_rendering(spark):
     assert out[1].markdown == "## Summary\n\nS\n\n## Answer to the requested question\n\nA"
     assert "## Extracted content\n\nA\n" in out[2].markdown and len(out[2].evidence) == 3
     assert out[3].truncation.original_chars > 300 and out[3].warnings == ["Output was truncated; see the truncation field."]
+
+
+def test_upkeep_rewrites_the_table_and_survives_a_crash(spark, tmp_path):
+    import datetime
+
+    day = datetime.timedelta(days=1)
+    path = f"{tmp_path}/cache"
+    rows = [(f"{k:064x}", 2, NOW - k * day, NOW - k * day, 10, "{}") for k in range(8)]
+    table = spark.createDataFrame(rows, "cache_key string, schema_version int, stored_at timestamp, last_access timestamp, size_bytes long, payload string")
+    cache.put(table, path)
+    cache.touch(spark.createDataFrame([(f"{5:064x}",)], "cache_key string"), F.lit(NOW), path)
+    assert tuple(cache.upkeep(spark, path, F.lit(NOW), 6, 40).first()) == (1, 3, 4, 40)
+    left = {int(r.cache_key, 16): r.last_access for r in spark.read.parquet(path).collect()}
+    assert set(left) == {0, 1, 2, 5} and left[5] == left[0]
+    (tmp_path / "cache").rename(tmp_path / "cache.old")
+    cache.recover(spark, path)
+    assert spark.read.parquet(path).count() == 4
+    cache.clear(spark, path)
+    assert spark.read.parquet(path).count() == 0
