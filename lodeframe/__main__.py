@@ -14,6 +14,7 @@ from dataclasses import fields, replace
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from .functions.errors import ERRORS
 from .operators import cache
 from .operators.sandbox import resolve_local
 from .plans.engine import Engine, requests_for
@@ -21,6 +22,7 @@ from .plans.facts import verdicts
 from .settings import Settings
 from .sources.backends import NoOcr
 from .sources.files import read_files
+from .sources.transport import vision_from
 
 
 def settings_from(env: dict[str, str]) -> Settings:
@@ -42,6 +44,11 @@ def doctor(settings: Settings) -> list[dict]:
     return found
 
 
+def said(code: str) -> str:
+    message, hint = ERRORS[code]
+    return f"## Error: {code}\n\n{message}\n\n**What to do:** {hint}"
+
+
 def session() -> SparkSession:
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -55,13 +62,13 @@ def inspect(settings: Settings, args: argparse.Namespace) -> int:
     given = args.path if settings.allowed_roots else os.path.abspath(args.path)
     found = resolve_local(spark.createDataFrame([(given,)], "path string"), roots).first()
     if found.path_error:
-        print(json.dumps({"success": False, "error": {"code": found.path_error}}) if args.json else f"**Error {found.path_error}**")
+        print(json.dumps({"success": False, "error": {"code": found.path_error}}) if args.json else said(found.path_error))
         return 1
     files = read_files(spark, found.resolved, settings.max_file_bytes).withColumn("path", F.col("name"))
     asked = spark.createDataFrame([(os.path.basename(found.resolved),)], "path string")
     settings = replace(settings, allowed_roots=())  # the path is resolved, and the request has the bare name
     extra = {k: v for k, v in {"question": args.question, "pages": args.pages, "mode": args.mode, "detail": args.detail, "vision_profile": args.profile, "max_chars": args.max_chars}.items() if v is not None}
-    engine = Engine(spark, settings, cache_path=settings.cache_dir or None)
+    engine = Engine(spark, settings, vision=vision_from(settings), cache_path=settings.cache_dir or None)
     row = engine.analyze(requests_for(asked, **extra), files).first()
     print(json.dumps(row.asDict(recursive=True), default=str, ensure_ascii=False) if args.json else row.markdown)
     return 0 if row.success else 1
@@ -73,13 +80,13 @@ def benchmark(settings: Settings, args: argparse.Namespace) -> int:
     if settings.allowed_roots:
         folder = os.path.realpath(args.folder)
         if not any(os.path.commonpath([folder, r]) == r for r in map(os.path.realpath, settings.allowed_roots)):
-            print("**Error PATH_NOT_ALLOWED**")
+            print(said("PATH_NOT_ALLOWED"))
             return 1
         settings = replace(settings, allowed_roots=())
     kind = "path string, question string, must_contain array<string>, needs_ocr boolean, needs_vision boolean"
     cases = requests_for(spark.read.schema(kind).json(args.cases))
     files = read_files(spark, args.folder, settings.max_file_bytes).withColumn("path", F.col("name"))
-    answers = Engine(spark, settings).analyze(cases, files)
+    answers = Engine(spark, settings, vision=vision_from(settings)).analyze(cases, files)
     rows = verdicts(cases, answers, ocr=False, vision=settings.vision_usable).collect()
     for r in rows:
         print(r.verdict, r.request_id, *r.missed)

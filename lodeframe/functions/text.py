@@ -103,6 +103,12 @@ def ocr_good_enough(chars: Column, confidence: Column) -> Column:
     return (chars >= 40) & (confidence.isNull() | (confidence >= 0.65))
 
 
+def mean_confidence(words: Column) -> Column:
+    """The mean of an array of word confidences (0 to 100, below 0: no word) as a share; null if no word has one."""
+    sure = F.filter(words, lambda c: c >= 0)
+    return F.when(F.size(sure) > 0, F.aggregate(sure, F.lit(0.0), lambda a, c: a + c) / F.size(sure) / 100)
+
+
 def excerpt(text: Column, limit: int = 400) -> Column:
     clean = strip(text)
     return F.when(F.length(clean) <= limit, clean).otherwise(F.concat(rstrip(F.substring(clean, 1, limit)), F.lit(" ...")))

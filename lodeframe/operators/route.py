@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 MODES = ("auto", "document", "ocr", "vision")
 STRATEGIES = ("hybrid", "ocr_first", "vision_first")
+#: What a request may name as its vision profile. Fixed values.
+VISION_PROFILES = ("auto", "general", "ui_structure", "ui_alignment", "ui_grounding", "terminal", "chart", "diagram", "scanned_document")
 CONVERTED = ("office", "html", "data", "email", "ebook", "notebook")
 ROUTE = "struct<processor:string,plan:string,warned:boolean,error:string>"
 
@@ -64,9 +66,10 @@ def weak_page_backend(plan: Column, ocr: Column, usable: Column, intent: Column)
     return F.when(by_vision, "vision").when(ocr, "ocr").otherwise("neither")
 
 
-def argument_error(mode: Column, detail: Column, max_chars: Column) -> Column:
-    bad = ~F.coalesce(mode.isin(*MODES), F.lit(False)) | ~F.coalesce(detail.isin("compact", "normal", "full"), F.lit(False))
-    return F.when(bad, "INVALID_ARGUMENT")
+def argument_error(mode: Column, detail: Column, vision_profile: Column) -> Column:
+    """INVALID_ARGUMENT unless all three are among the known names; null is none of them."""
+    known = mode.isin(*MODES) & detail.isin("compact", "normal", "full") & vision_profile.isin(*VISION_PROFILES)
+    return F.when(~F.coalesce(known, F.lit(False)), "INVALID_ARGUMENT")
 
 
 def budget(max_chars: Column, cap: int) -> Column:

@@ -8,13 +8,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geometry, provider, text
+from ..functions import errors, geometry, provider, text
 from ..functions.intent import PROFILE_WORDS, TEXT_WORDS, VISUAL_WORDS, intent, profile
 from ..operators import cache, detect, render, route, sandbox, sections
 from ..settings import Settings
-from ..sources.backends import FakeOcr, FakePdf
+from ..sources.backends import FakeOcr, FakePdf, TellingVision
 from ..sources.convert import convert
 from ..sources.files import text_files
+from ..sources.imaging import FakeCodec
+from ..sources.transport import FakeTransport, HttpVision, Reply
 from ..staging import shared_folder
 from ..streaming.windows import run_to_table, window_counts
 from .engine import Engine, requests_for
@@ -593,7 +595,7 @@ def q31_quality_vs_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_prompt() -> str:
     nl = "' || chr(10) || '"
-    out = ["'Task type: ' || replace(p, '_', ' ')"]
+    out = ["'Task type: ' || replace(p, '_', ' ')", "CASE p " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in provider.TASKS.items()) + " END"]
     out.append(f"'Answer this question, and show what in the image proves the answer:{nl}{nl}<question>{nl}' || q || '{nl}</question>'")
     out.append("'Detail level: normal. " + provider.DETAILS["normal"] + "'")
     out.append("'Use these headings in this order, without those that would be empty:" + "".join(f"{nl}## {s}" for s in provider.SECTIONS) + "'")
@@ -724,17 +726,26 @@ def q39_pdf_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.regexp_extract("request_id", "([0-9]+)", 1).cast("long").alias("doc_id"), "summary", F.size("evidence").cast("long").alias("n_evidence"), F.size("warnings").cast("long").alias("n_warnings"))
 
 
+def event_images(spark: SparkSession, sf_dir: str, width: "F.Column", height: "F.Column") -> DataFrame:
+    """Events as PNG files of a header each, with the event's number after it; without a size the header ends after its mark."""
+    number = lambda c: F.unhex(F.lpad(F.hex(c), 8, "0"))
+    header = F.coalesce(F.concat(F.unhex(F.lit("0000000D49484452")), number(width), number(height)), F.lit(b""))
+    content = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), header, F.col("event_id").cast("string").cast("binary"))
+    files = table(spark, sf_dir, "events").select(F.concat(F.col("event_id").cast("string"), F.lit(".png")).alias("path"), content.alias("content"))
+    return files.withColumns({"name": F.col("path"), "extension": F.lit(".png"), "size_bytes": F.octet_length("content").cast("long"), "sha256": F.sha2("content", 256), "modified_at": F.lit(None).cast("timestamp")})
+
+
 @query("""
     WITH r AS (SELECT event_id, (['auto', 'ocr', 'vision', 'document'])[event_id % 4 + 1] AS mode, event_id % 3 = 0 AS visual FROM events)
     SELECT mode, CASE mode WHEN 'vision' THEN 'VISION_NOT_CONFIGURED' WHEN 'document' THEN 'MODE_NOT_APPLICABLE' ELSE 'ok' END AS code,
-        (CASE WHEN mode IN ('auto', 'ocr') THEN 1 ELSE 0 END)::BIGINT AS n_evidence, (CASE WHEN mode = 'auto' AND visual THEN 1 ELSE 0 END)::BIGINT AS n_warnings, count(*) AS n FROM r GROUP BY ALL
+        (CASE WHEN mode IN ('auto', 'ocr') THEN 1 ELSE 0 END)::BIGINT AS n_evidence, (CASE WHEN mode IN ('auto', 'ocr') THEN 1 + visual::INT ELSE 0 END + (mode = 'auto' AND visual)::INT)::BIGINT AS n_warnings, count(*) AS n FROM r GROUP BY ALL
 """)
 def q40_image_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Small images in every mode, with an OCR engine and without a vision provider; a third of the questions need eyes."""
-    events = table(spark, sf_dir, "events")
-    content = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.col("event_id").cast("string").cast("binary"))
-    files = events.select(F.concat(F.col("event_id").cast("string"), F.lit(".png")).alias("path"), content.alias("content"))
-    files = files.withColumns({"name": F.col("path"), "extension": F.lit(".png"), "size_bytes": F.octet_length("content").cast("long"), "sha256": F.sha2("content", 256), "modified_at": F.lit(None).cast("timestamp")})
+    """Small images in every mode, with an OCR engine and without a vision provider; a third of the questions need eyes.
+
+    A transcription says that it is one, that it answers no question, and that a question needed eyes.
+    """
+    files = event_images(spark, sf_dir, F.lit(None).cast("long"), F.lit(None).cast("long"))
     number = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
     asked = requests_for(files.select("path"), mode=pick(["auto", "ocr", "vision", "document"], number % 4), question=F.when(number % 3 == 0, "Why is the button disabled?"))
     out = Engine(spark, ocr=FakeOcr()).analyze(asked, files)
@@ -781,3 +792,133 @@ def q42_cache_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     used.write.mode("append").parquet(path + ".used")
     cache.upkeep(spark, path, F.lit(now), 29, 1_000_000)
     return spark.read.parquet(path).select("cache_key", "size_bytes")
+
+
+CLOUD = {"vision_base_url": "https://v.example/v1", "vision_api_key": "k", "vision_model": "m", "allow_cloud_vision": True}
+SQL_SCALED = "greatest(1, round_even({0} * least(1.0, 4096.0::DOUBLE / l), 0))::BIGINT"
+SQL_TILE = "CASE WHEN h >= w THEN '0,' || (k * 4000) || ',' || w || ',' || (least(k * 4000 + 4096, l) - k * 4000) || ' ' || w || 'x' || (least(k * 4000 + 4096, l) - k * 4000) ELSE (k * 4000) || ',0,' || (least(k * 4000 + 4096, l) - k * 4000) || ',' || h || ' ' || (least(k * 4000 + 4096, l) - k * 4000) || 'x' || h END"
+
+
+@query(f"""
+    WITH s AS (SELECT event_id, (event_id * 37) % 9000 + 10 AS w, (event_id * 91) % 15000 + 10 AS h, event_id % 2 = 0 AS ui FROM events),
+    g AS (SELECT *, greatest(w, h) AS l, least(w, h) AS m, greatest(1, ceil((greatest(w, h) - 96) / 4000.0))::INT AS n FROM s),
+    p AS (SELECT *, CASE WHEN w * h > 40000000 THEN 'gate' WHEN l <= 4096 THEN 'as_is' WHEN l / m >= 2.5 AND m <= 4096 AND n <= 4 THEN 'tiles' ELSE 'downscale' END AS plan, {SQL_SCALED.format("w")} || 'x' || {SQL_SCALED.format("h")} AS small FROM g)
+    SELECT event_id, CASE WHEN plan = 'gate' THEN 'FILE_TOO_LARGE' ELSE 'ok' END AS code, (plan IN ('tiles', 'downscale'))::BIGINT AS n_warnings,
+        CASE plan WHEN 'gate' THEN '' WHEN 'tiles' THEN CASE WHEN ui THEN 'png 0,0,' || w || ',' || h || ' ' || small || '; ' ELSE '' END || array_to_string(list_transform(range(0, n), lambda k: 'png ' || {SQL_TILE}), '; ') ELSE 'png  ' || small END AS shown FROM p
+""")
+def q43_image_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of all sizes through the engine to a vision backend that says what it was shown; every second one is read as a screen."""
+    files = event_images(spark, sf_dir, (F.col("event_id") * 37) % 9000 + 10, (F.col("event_id") * 91) % 15000 + 10)
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    asked = requests_for(files.select("path"), mode="vision", vision_profile=F.when(number % 2 == 0, "ui_structure").otherwise("general"))
+    out = Engine(spark, Settings(**CLOUD), vision=TellingVision(), codec=FakeCodec()).analyze(asked, files)
+    return out.select(F.regexp_extract("request_id", "([0-9]+)", 1).cast("long").alias("event_id"), F.coalesce("error.code", F.lit("ok")).alias("code"), F.size("warnings").cast("long").alias("n_warnings"), F.col("summary").alias("shown"))
+
+
+#: What a provider answers, by the number of an event: a status, or none (0: too late, -1: no connection).
+ANSWERS = [200, 200, 200, 200, 200, 401, 402, 403, 404, 408, 429, 500, 503, 0, -1]
+SEEN = "## ANSWER\nseen {}\n\n## INFERENCE\n- a guess\n- another"
+
+
+def answer(body: str) -> Reply:
+    """The reply that a question asks for by its numbers."""
+    import json
+    import re
+
+    kind, number = map(int, re.search(r"reply ([0-9]+) for ([0-9]+)", body).groups())
+    status = ANSWERS[kind]
+    if status < 1:
+        return Reply(None, failure="network" if status else "timeout")
+    if status != 200:
+        return Reply(status, "slow down" if number % 2 else "Quota used up")
+    said = SEEN.format(number)
+    content = [said, [{"type": "text", "text": said}], " ", said, None][kind]
+    return Reply(200, json.dumps({"model": "served", "choices": [{"finish_reason": "length" if kind == 3 else "stop"} | ({} if kind == 4 else {"message": {"content": content}})]}))
+
+
+def at_once(seconds: float) -> None:
+    """Waits for nothing."""
+
+
+def sql_text(value: str) -> str:
+    """A SQL expression for a text with lines."""
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def sql_errors() -> str:
+    cases = " ".join(f"WHEN '{c}' THEN " + sql_text(f"## Error: {c}\n\n{m}\n\n**What to do:** {h}") for c, (m, h) in errors.ERRORS.items())
+    return f"CASE code {cases} END"
+
+
+def sql_seen() -> str:
+    """The Markdown of an answered request of q44, with the event's number for %."""
+    ocr = FakeOcr().text
+    unsent, short = "- The OCR text was not sent to the provider (send_ocr_to_cloud is off); it is given below.", "- The model stopped at its limit of output tokens (vision_max_output_tokens); the reading is not complete."
+    whole = f"## Summary\n\nseen %\n\n## Answer to the requested question\n\nseen %\n\n## Extracted content\n\n### Answer\n\nseen %\n\n### Inference (beyond what is literally visible)\n\n- a guess\n- another\n\n### {provider.UNSENT}\n\n```text\n{ocr}\n```\n\n## Evidence\n\n- **ocr** (%.png) [confidence 91%%]: {ocr}\n- **inference**: a guess\n- **inference**: another\n\n## Warnings\n\n{unsent}"
+    return f"replace(replace(replace({sql_text(whole)}, '%%', '@@'), '%', event_id::VARCHAR), '@@', '%') || CASE WHEN k = 3 THEN {sql_text(chr(10) + short)} ELSE '' END"
+
+
+@query(f"""
+    WITH e AS (SELECT event_id, event_id % {len(ANSWERS)} AS k, ([{", ".join(map(str, ANSWERS))}])[event_id % {len(ANSWERS)} + 1] AS s FROM events),
+    c AS (SELECT *, CASE WHEN k = 2 THEN 'VISION_EMPTY_RESPONSE' WHEN k = 4 THEN 'VISION_INVALID_RESPONSE' WHEN s = 200 THEN 'ok' WHEN s = 429 AND event_id % 2 = 0 THEN 'VISION_QUOTA_EXCEEDED'
+        {" ".join(f"WHEN s = {k} THEN '{c}'" for k, (c, _) in provider.STATUS.items())} WHEN s = 0 THEN 'VISION_PROVIDER_TIMEOUT' ELSE 'VISION_PROVIDER_ERROR' END AS code FROM e)
+    SELECT event_id, code, CASE WHEN code = 'ok' THEN 'served' END AS model, sha256(CASE WHEN code = 'ok' THEN {sql_seen()} ELSE {sql_errors()} END) AS markdown FROM c
+""")
+def q44_provider_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images through the engine to a provider that answers in every way: readings, empty and odd replies, refusals and silence."""
+    files = event_images(spark, sf_dir, F.lit(640), F.lit(480))
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    question = F.concat(F.lit("Why reply "), (number % len(ANSWERS)).cast("string"), F.lit(" for "), number.cast("string"), F.lit("?"))
+    vision = HttpVision(FakeTransport(answer), "m", wait=at_once)
+    out = Engine(spark, Settings(**CLOUD, send_ocr_to_cloud=False), ocr=FakeOcr(), vision=vision).analyze(requests_for(files.select("path"), question=question), files)
+    return out.select(F.regexp_extract("request_id", "([0-9]+)", 1).cast("long").alias("event_id"), F.coalesce("error.code", F.lit("ok")).alias("code"), F.when(F.col("success"), F.col("processing.model")).alias("model"), F.sha2("markdown", 256).alias("markdown"))
+
+
+MODES, DETAIL, ASKED_PROFILES = ["auto", "document", "ocr", "vision", "AUTO", None], ["compact", "normal", "full", "brief"], ["auto", "ui_structure", "ui_screenshot", "terminal", "table", None, "general"]
+PLANS, INTENTS = ["auto", "ocr", "vision", "hybrid", "ocr_only"], ["visual_semantics", "text_extraction", "unknown"]
+
+
+def sql_pick(values, index: str) -> str:
+    return f"({sql_list(values)})[({index}) % {len(values)} + 1]"
+
+
+@query(f"""
+    WITH e AS (SELECT event_id, {sql_pick(MODES, "event_id")} AS mode, {sql_pick(DETAIL, "event_id // 6")} AS detail, {sql_pick(ASKED_PROFILES, "event_id // 24")} AS prof, {sql_pick(PLANS, "event_id")} AS plan, {sql_pick(INTENTS, "event_id // 5")} AS intent,
+        event_id % 2 = 0 AS ran, event_id % 7 < 3 AS usable, event_id % 11 < 6 AS good, (event_id % 9 - 3) * 20000 AS chars FROM events)
+    SELECT event_id, CASE WHEN mode IN ('auto', 'document', 'ocr', 'vision') AND detail <> 'brief' AND prof IN ('auto', 'ui_structure', 'terminal', 'general') THEN 'ok' ELSE 'INVALID_ARGUMENT' END AS code,
+        CASE WHEN plan = 'vision' OR (plan <> 'ocr' AND usable AND (NOT ran OR intent = 'visual_semantics')) THEN 'vision' WHEN ran THEN 'ocr' ELSE 'neither' END AS page_backend,
+        CASE WHEN plan = 'ocr_only' THEN CASE WHEN ran THEN 'ocr' ELSE 'error' END WHEN plan <> 'vision' AND ran AND intent = 'text_extraction' AND good THEN 'ocr_local' WHEN usable THEN 'vision' WHEN ran THEN 'ocr_degraded' ELSE 'error' END AS image_way,
+        least(CASE WHEN chars > 0 THEN chars ELSE 50000 END, 50000)::BIGINT AS budget FROM e
+""")
+def q45_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arguments, budgets, and the way of weak pages and images, for every combination that the events' numbers make."""
+    i = F.col("event_id")
+    of = lambda values, index: pick(values, index % len(values))
+    plan, what, ran, usable = of(PLANS, i), of(INTENTS, F.floor(i / 5)), i % 2 == 0, i % 7 < 3
+    code = route.argument_error(of(MODES, i), of(DETAIL, F.floor(i / 6)), of(ASKED_PROFILES, F.floor(i / 24)))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(code, F.lit("ok")).alias("code"), route.weak_page_backend(plan, ran, usable, what).alias("page_backend"), route.resolution(plan, ran, usable, what, i % 11 < 6).alias("image_way"), route.budget((i % 9 - 3) * 20000, 50_000).cast("long").alias("budget"))
+
+
+@query(rf"""
+    WITH t AS (SELECT doc_id, {SQL_STRIP.format("text")} AS t FROM documents)
+    SELECT doc_id, sha256(CASE WHEN length(t) <= 400 THEN t ELSE regexp_replace(left(t, 400), '[\s\x1c-\x1f\x{{85}}\x{{a0}}]+$', '') || ' ...' END) AS excerpt FROM t
+""")
+def q46_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.excerpt(F.col("text")), 256).alias("excerpt"))
+
+
+AFTER = ["3", "0", " 4", "x", None, "12.5", "٣", "9999999999"]
+
+
+@query(f"""
+    WITH e AS (SELECT event_id, {sql_pick(AFTER, "event_id")} AS a, event_id % 6 AS k, event_id % 4 AS kind FROM events)
+    SELECT event_id, CASE WHEN regexp_full_match(a, '[0-9]{{1,9}}') THEN a::INT END AS retry_after, least(4.0, 0.5 * 2 ** k)::DOUBLE / 2 AS least, least(4.0, 0.5 * 2 ** k)::DOUBLE AS most,
+        CASE kind WHEN 0 THEN 'routed' WHEN 1 THEN 'print' END AS route, CASE WHEN kind < 3 THEN event_id END AS input_tokens, CASE WHEN kind < 2 THEN event_id % 100 END AS output_tokens FROM e
+""")
+def q47_provider_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a provider says of waiting and of tokens, and the bounds of the wait before an attempt."""
+    i, kind = F.col("event_id"), F.col("event_id") % 4
+    usage = F.when(kind < 2, F.struct(i.alias("prompt_tokens"), (i % 100).alias("completion_tokens"))).when(kind == 2, F.struct(i.alias("prompt_tokens"), F.lit(None).cast("long").alias("completion_tokens")))
+    body = F.to_json(F.struct(F.lit("z").alias("model"), F.when(kind == 0, "routed").alias("provider"), F.when(kind <= 1, "print").alias("system_fingerprint"), usage.alias("usage")))
+    wait, report = provider.retry_bounds(i % 6), provider.completion_report(body)
+    return table(spark, sf_dir, "events").select("event_id", provider.retry_after(pick(AFTER, i % len(AFTER))).alias("retry_after"), wait["least"].alias("least"), wait["most"].alias("most"), report["route"].alias("route"), report["input_tokens"].alias("input_tokens"), report["output_tokens"].alias("output_tokens"))

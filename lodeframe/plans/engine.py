@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import provider
+from ..functions.errors import error_markdown, error_struct
 from ..functions.intent import intent, profile
-from ..functions.text import excerpt, first_lines, line_location, needs_fallback, ocr_good_enough, page_selection, printable_ratio, rstrip, strip, text_content, text_summary
-from ..operators import cache, sandbox
+from ..functions.text import excerpt, fenced, first_lines, line_location, needs_fallback, ocr_good_enough, page_selection, printable_ratio, rstrip, strip, text_content, text_summary
+from ..operators import cache, images, sandbox
 from ..operators.detect import detect, refusal, zip_members
 from ..operators.render import EVIDENCE, assemble
 from ..operators.route import argument_error, budget, resolution, route, weak_page_backend
@@ -19,11 +21,14 @@ from ..settings import Settings
 from ..staging import stage
 from ..sources.backends import NoOcr, OcrBackend, PdfBackend, VisionBackend, installed_languages, look, recognise
 from ..sources.convert import append, compose, convert, decode_texts
+from ..sources.imaging import Codec, measured, prepare
+from ..sources.logs import log_lines, write_log
+from ..sources.transport import HttpVision, converse
 
-PROMPT_VERSION = "1"
+PROMPT_VERSION = "2"
 #: Stands for the file's name in what is stored: equal files share a result whatever they are called.
 NAME = "\x1a"
-VERSIONS = {"text": "1", "convert": "1", "pdf": "1", "image": "1"}
+VERSIONS = {"text": "1", "convert": "1", "pdf": "2", "image": "2"}
 #: What every processor returns.
 RESULT = f"summary string, answer string, content_markdown string, evidence {EVIDENCE}, warnings array<string>, fallbacks_used array<string>, model string, error string"
 NAMES = [x.split()[0] for x in RESULT.replace(EVIDENCE, "x").split(", ")]
@@ -61,9 +66,11 @@ class Engine:
     spark: SparkSession
     settings: Settings = field(default_factory=Settings)
     ocr: OcrBackend = field(default_factory=NoOcr)
-    vision: VisionBackend | None = None
+    vision: VisionBackend | HttpVision | None = None
     pdf: PdfBackend | None = None
+    codec: Codec | None = None
     cache_path: str | None = None
+    log_path: str | None = None
 
     @property
     def vision_usable(self) -> bool:
@@ -72,6 +79,7 @@ class Engine:
 
     def analyze(self, requests: DataFrame, files: DataFrame, now: Column | None = None) -> DataFrame:
         """Decisions are made on names, sizes and first bytes, and written; content is joined for the work that is left."""
+        started = time.monotonic()
         now = self.spark.sql("SELECT current_timestamp()").first()[0] if now is None else now
         now = now if isinstance(now, Column) else F.lit(now)
         routed = stage(self.route(requests, files), "routed")
@@ -89,7 +97,16 @@ class Engine:
         hits = looked.where("cache_status = 'hit'").withColumn("__r", F.from_json("payload", RESULT)).withColumns({n: F.col(f"__r.{n}") for n in NAMES}).drop("__r", "payload", "stored_at")
         fresh = misses.drop("payload", "stored_at").join(done, "cache_key")
         bad = routed.where("error IS NOT NULL").withColumns({"cache_status": F.lit("miss"), "summary": F.lit(""), "answer": nothing(), "content_markdown": F.lit(""), "evidence": none_of(EVIDENCE), "warnings": none_of("array<string>"), "fallbacks_used": none_of("array<string>"), "model": nothing()})
-        return self.render(hits.unionByName(fresh).unionByName(bad))
+        answers = self.render(hits.unionByName(fresh).unionByName(bad), int((time.monotonic() - started) * 1000))
+        if self.log_path:
+            self._log(answers, now)
+        return answers
+
+    def _log(self, answers: DataFrame, now: Column) -> None:
+        """One line for each request: what was done with it, how long its batch took, and no text of it."""
+        said = {"processor": F.col("processing.processor"), "cache": F.when(F.col("processing.cached"), "hit").otherwise("miss"), "media_type": F.col("source.category"), "error": F.col("error.code"), "duration_ms": F.col("processing.duration_ms").cast("string")}
+        fields = F.map_filter(F.create_map(*[x for k, v in said.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+        write_log(log_lines(answers, time=now, level=F.when(F.col("success"), "INFO").otherwise("WARNING"), event=F.when(F.col("success"), "request answered").otherwise("request failed"), request_id=F.col("request_id"), fields=fields), self.log_path)
 
     def route(self, requests: DataFrame, files: DataFrame) -> DataFrame:
         """Requests with their file (without its content), its category, the chosen processor, the key and, if anything is wrong, an error."""
@@ -103,7 +120,7 @@ class Engine:
         caps = [F.lit(self.ocr.available()), F.lit(s.vision_configured and self.vision is not None), F.lit(s.allow_cloud_vision), F.lit(s.auto_image_strategy)]
         chosen = seen.withColumns({"intent": what, "__route": route(F.col("mode"), F.col("category"), *caps, what), "profile": profile(F.col("question"), F.col("vision_profile"), F.col("category") == "pdf")})
         error = F.coalesce(
-            argument_error(F.col("mode"), F.col("detail"), F.col("max_chars")),
+            argument_error(F.col("mode"), F.col("detail"), F.col("vision_profile")),
             self._refused(F.col("asked_path")),
             F.when(F.col("path").isNull(), "FILE_NOT_FOUND"),
             F.when(F.col("size_bytes") > s.max_file_bytes, "FILE_TOO_LARGE"),
@@ -242,13 +259,22 @@ class Engine:
         thin = paged.where("weak")
         found = good.unionByName(thin.where("backend = 'neither'").select(*keep, F.concat(head, F.when(whole != "", whole).otherwise("_(blank page)_")).alias("section"), F.array(item("page", where, short)).alias("ev"), F.lit("no fallback").alias("note"), failed))
         if self.ocr.available():
-            seen = recognise(append(thin.where("backend = 'ocr'"), "image binary", picture), self.ocr, installed_languages(settings.languages, self.ocr.languages())[0], "image")
+            seen = recognise(append(thin.where("backend = 'ocr'"), "image binary", picture), self.ocr, self._languages()[0], "image", settings.process_timeout_seconds)
             text = F.coalesce(rstrip(F.col("ocr_text")), F.lit(""))
             found = found.unionByName(seen.select(*keep, F.concat(head, F.when(strip(text) != "", text).otherwise("_(no text recognised)_")).alias("section"), F.array(item("ocr", where, F.when(strip(text) != "", F.substring(text, 1, 1500)).otherwise("(no text recognised)"), F.col("ocr_confidence"))).alias("ev"), F.coalesce("ocr_error", F.lit("ocr")).alias("note"), failed))
         if self.vision_usable:
-            asked = append(thin.where("backend = 'vision'"), "image binary", picture).withColumn("prompt", provider.prompt(F.col("profile"), F.col("question"), F.col("detail"), where))
-            replied = look(asked, self.vision, settings.vision_max_output_tokens, "image").withColumn("__a", provider.parse_reply(F.coalesce("reply", F.lit(""))))
-            found = found.unionByName(replied.select(*keep, F.concat(head, F.coalesce(F.col("reply"), F.lit("_(not analysed)_"))).alias("section"), F.array(item("visual", where, F.substring(F.coalesce(F.array_join("__a.observations", "\n"), F.col("__a.summary")), 1, 1200))).alias("ev"), F.lit("vision").alias("note"), F.col("vision_error").alias("failed")))
+            shown = append(thin.where("backend = 'vision'"), "image binary", picture)
+            label, size, most = where, images.image_size(F.col("image")), settings.vision_max_dimension
+            sized = measured(shown, self.codec, size, "image").withColumns({"shots": images.shots(F.col("size"), label, F.lit("scanned_document"), most), "plan_note": images.plan_note(F.col("size"), F.lit("scanned_document"), most)})
+            if self.ocr.available() and settings.send_ocr_to_cloud:  # a guess for the provider to check; its failure is none of the page's
+                sized = recognise(sized, self.ocr, self._languages()[0], "image", settings.process_timeout_seconds)
+            guess = F.coalesce(F.col("ocr_text"), F.lit("")) if "ocr_text" in sized.columns else None
+            asked = prepare(sized, self.codec, settings.vision_image_format, settings.vision_max_image_bytes, F.lit("image/png"), "image")
+            replied = self._look(asked.withColumn("prompt", provider.prompt(F.col("profile"), F.col("question"), F.col("detail"), label, None, guess)))
+            exact = F.transform("__a.exact_text", lambda x: item("visual", where, F.substring(x, 1, 1200)))
+            seen = F.when(F.size(exact) > 0, exact).otherwise(F.array(item("visual", where, F.coalesce(F.col("__a.summary"), F.substring("reply", 1, 400)))))
+            section = F.concat(F.lit("### Page "), F.col("page").cast("string"), F.lit(" (visual analysis)\n\n"), provider.vision_markdown(F.col("__a"), nothing()))
+            found = found.unionByName(replied.select(*keep, section.alias("section"), seen.alias("ev"), F.lit("vision").alias("note"), F.coalesce("image_error", "vision_error").alias("failed")))
         # A document has max_pages pages at most, so what is gathered for one is bounded.
         gathered = found.groupBy("cache_key", "name", "pages", "total_pages", "selected", "asked").agg(
             F.array_sort(F.collect_list(F.struct("page", "section"))).alias("sections"),
@@ -266,52 +292,92 @@ class Engine:
         lost = F.when(F.array_contains("notes", "no fallback"), "Some pages have little text and no OCR or vision backend is available.")
         return bad.unionByName(self._result(gathered, summary=summary, content_markdown=F.array_join(F.transform("sections", lambda x: x["section"]), "\n\n"), evidence=F.col("evidence"), warnings=F.array_compact(F.array(capped, lost)), fallbacks_used=F.filter("notes", lambda x: x != "no fallback"), error=F.col("failed")))
 
+    def _languages(self) -> tuple[str, list[str]]:
+        return installed_languages(self.settings.languages, self.ocr.languages())
+
+    def _look(self, asked: DataFrame) -> DataFrame:
+        """Adds reply, vision_error, served_by, vision_notes and the parsed reply ``__a``; rows with an image_error are not sent."""
+        s = self.settings
+        if isinstance(self.vision, HttpVision):
+            body = F.when(F.col("image_error").isNull(), provider.payload(F.lit(self.vision.model), F.col("prompt"), F.lit(provider.SYSTEM), F.col("images"), s.vision_max_output_tokens))
+            replied = converse(asked, self.vision, body)
+        else:
+            replied = look(asked, self.vision, s.vision_max_output_tokens, seconds=s.vision_timeout_seconds).withColumns({"served_by": F.lit(self.vision.model), "vision_notes": none_of("array<string>")})
+        return replied.withColumn("__a", provider.parse_reply(F.coalesce("reply", F.lit(""))))
+
     def _image(self, rows: DataFrame) -> DataFrame:
+        """The pixel gate, then OCR where there is an engine, then what the plan and the reading ask for.
+
+        Sizes come from headers (PNG, GIF, BMP; others from a codec). An image whose size nobody knows passes the gate.
+        """
         s, none = self.settings, nothing()
+        sized = measured(rows, self.codec, images.image_size(F.col("content")))
+        gated = sized.withColumn("gate", images.pixel_error(F.col("size"), s.max_image_pixels))
+        languages, missing = self._languages() if self.ocr.available() else (s.languages, [])
         if self.ocr.available():
-            read = stage(recognise(rows, self.ocr, installed_languages(s.languages, self.ocr.languages())[0]), "recognised")  # several branches read it
+            read = recognise(gated, self.ocr, languages, seconds=s.process_timeout_seconds, skip="gate")
         else:
-            read = rows.withColumns({"ocr_text": none, "ocr_confidence": nothing("double"), "ocr_error": none})
+            read = gated.withColumns({"ocr_text": none, "ocr_confidence": nothing("double"), "ocr_error": none})
+        read = stage(read, "recognised")  # several branches read it
         ran = F.col("ocr_text").isNotNull()
         text = F.coalesce(rstrip(F.col("ocr_text")), F.lit(""))
+        blank = strip(text) == ""
         way = resolution(F.col("plan"), ran, F.lit(self.vision_usable), F.col("intent"), F.coalesce(ocr_good_enough(F.length(text), F.col("ocr_confidence")), F.lit(False)))
-        sent = read.withColumn("way", way)
-        evidence = item("ocr", F.col("name"), F.when(strip(text) != "", F.substring(text, 1, 1500)).otherwise("(no text recognised)"), F.col("ocr_confidence"))
-        label = F.concat(F.lit(f"OCR ({self.ocr.name} {self.ocr.version}, languages {s.languages}) recovered "), F.format_number(F.length(text), 0), F.lit(" characters"), F.when(F.col("ocr_confidence").isNotNull(), F.format_string(", mean engine confidence %.0f%%", F.bround(F.col("ocr_confidence") * 100, 0))).otherwise(", confidence not reported by the engine"), F.lit("."))
-        degraded = F.when(F.col("way") == "ocr_degraded", "No vision backend may be used; this is a character transcription only.")
+        sent = read.withColumn("way", F.when(F.col("gate").isNotNull(), "gate").otherwise(way))
+        evidence = item("ocr", F.col("name"), F.when(~blank, F.substring(text, 1, 1500)).otherwise("(no text recognised)"), F.col("ocr_confidence"))
+        label = F.concat(F.lit(f"OCR ({self.ocr.name} {self.ocr.version}, languages {languages}) recovered "), F.format_number(F.length(text), 0), F.lit(" characters"), F.when(F.col("ocr_confidence").isNotNull(), F.format_string(", mean engine confidence %.0f%%", F.bround(F.col("ocr_confidence") * 100, 0))).otherwise(", confidence not reported by the engine"), F.lit("."))
+        asked_in_vain = F.coalesce(F.col("question"), F.lit("")) != ""
+        paged = F.when(F.coalesce("pages", F.lit("")) != "", "The 'pages' parameter does not apply to images and was ignored.")
+        foreign = F.lit(f"The OCR languages {', '.join(missing)} are not installed; {languages} was used instead.") if missing else none
+        scope = [
+            F.lit("This is a transcription by OCR: it holds the characters that were recognised and nothing of what the image shows."),
+            F.when(blank, "OCR found no text. If the image is a screen, a chart or a diagram, ask again in mode 'vision' (a provider and its permission are needed)."),
+            F.when(asked_in_vain, "OCR answers no questions; the transcription is raw evidence for the one that was asked."),
+        ]
+        degraded = F.when(F.col("way") == "ocr_degraded", "The image was not looked at, because no vision backend may be used.")
+        fallbacks = F.when(F.col("way") == "ocr_local", F.array(F.lit("ocr answered locally"))).when(F.col("way") == "ocr_degraded", F.array(F.lit("vision unavailable; degraded to OCR-only output"))).otherwise(none_of("array<string>"))
         local = self._result(
             sent.where("way IN ('ocr', 'ocr_local', 'ocr_degraded')"),
-            summary=label, answer=F.when(F.col("way") == "ocr_local", text), content_markdown=F.concat(F.lit("```text\n"), text, F.lit("\n```")), evidence=F.array(evidence),
-            warnings=F.array_compact(F.array(degraded)), fallbacks_used=F.when(F.col("way") == "ocr_local", F.array(F.lit("ocr answered locally"))).otherwise(none_of("array<string>")),
+            summary=label, answer=F.when(F.col("way") == "ocr_local", text), content_markdown=F.when(blank, "_(no text recognised)_").otherwise(fenced(text)), evidence=F.array(evidence),
+            warnings=F.array_compact(F.array(paged, foreign, *scope, degraded)), fallbacks_used=fallbacks,
         )
-        out = local.unionByName(self._result(sent.where("way = 'error'"), summary=F.lit(""), content_markdown=F.lit(""), evidence=none_of(EVIDENCE), error=F.coalesce("ocr_error", F.lit("VISION_NOT_CONFIGURED"))))
+        out = local.unionByName(self._result(sent.where("way IN ('error', 'gate')"), summary=F.lit(""), content_markdown=F.lit(""), evidence=none_of(EVIDENCE), error=F.coalesce("gate", "ocr_error", F.lit("VISION_NOT_CONFIGURED"))))
         if not self.vision_usable:
             return out
-        candidate = F.when((strip(text) != "") & F.lit(s.send_ocr_to_cloud), text)
-        asked = sent.where("way = 'vision'").withColumn("prompt", provider.prompt(F.col("profile"), F.col("question"), F.col("detail"), None, None, F.coalesce(candidate, F.lit(""))))
-        replied = look(asked, self.vision, s.vision_max_output_tokens).withColumn("__a", provider.parse_reply(F.coalesce("reply", F.lit(""))))
-        visual = item("visual", F.col("name"), F.substring(F.coalesce(F.when(F.size("__a.observations") > 0, F.array_join("__a.observations", "\n")), F.col("__a.raw_text"), F.col("__a.summary")), 1, 1500))
-        guess = F.when(F.size("__a.inferences") > 0, item("inference", F.col("name"), F.substring(F.array_join("__a.inferences", "\n"), 1, 800)))
+        most = s.vision_max_dimension
+        chosen = sent.where("way = 'vision'").withColumns({"shots": images.shots(F.col("size"), F.lit("image"), F.col("profile"), most), "plan_note": images.plan_note(F.col("size"), F.col("profile"), most)})
+        ready = prepare(chosen, self.codec, s.vision_image_format, s.vision_max_image_bytes, F.col("mime_type"))
+        candidate = F.when(~blank & F.lit(s.send_ocr_to_cloud), text)
+        replied = self._look(ready.withColumn("prompt", provider.prompt(F.col("profile"), F.col("question"), F.col("detail"), None, None, F.coalesce(candidate, F.lit("")))))
+        notes = [
+            F.when(F.col("ocr_error").isNotNull(), F.concat(F.lit("OCR failed ("), F.col("ocr_error"), F.lit("); the reading rests on vision alone."))),
+            F.when(~blank & ~F.lit(s.send_ocr_to_cloud), "The OCR text was not sent to the provider (send_ocr_to_cloud is off); it is given below."),
+            F.when(~F.col("__a.structured"), "The reply does not have the sections that were asked for; what is seen and what is concluded may be mixed."),
+        ]
+        visual = F.transform("__a.exact_text", lambda x: item("visual", F.col("name"), F.substring(x, 1, 1500)))
+        guesses = F.transform("__a.inferences", lambda x: item("inference", none, F.substring(x, 1, 800)))
+        unsent = F.when(~F.lit(s.send_ocr_to_cloud), text).otherwise("")
         seen = self._result(
             replied,
-            summary=F.col("__a.summary"), answer=F.col("__a.answer"), content_markdown=F.coalesce("reply", F.lit("")),
-            evidence=F.array_compact(F.array(F.when(strip(text) != "", evidence), visual, guess)), fallbacks_used=F.array(F.lit("vision")), model=F.lit(self.vision.model),
-            error=F.coalesce("vision_error", F.when(strip(F.coalesce("reply", F.lit(""))) == "", "VISION_EMPTY_RESPONSE")),
+            summary=F.col("__a.summary"), answer=F.col("__a.answer"), content_markdown=provider.vision_markdown(F.col("__a"), unsent),
+            evidence=F.concat(F.array_compact(F.array(F.when(~blank, evidence))), visual, guesses), fallbacks_used=F.array(F.lit("vision")), model=F.col("served_by"),
+            warnings=F.concat(F.array_compact(F.array(paged, F.col("plan_note"), *notes, F.when(~blank, foreign))), F.col("vision_notes")),
+            error=F.coalesce("image_error", "vision_error", F.when(strip(F.coalesce("reply", F.lit(""))) == "", "VISION_EMPTY_RESPONSE")),
         )
         return out.unionByName(seen)
 
-    def render(self, answered: DataFrame) -> DataFrame:
+    def render(self, answered: DataFrame, elapsed_ms: int | None = None) -> DataFrame:
+        """Answers as rows; ``elapsed_ms`` is the time of the whole batch, since requests are not processed one by one."""
         own = lambda c: F.replace(c, F.lit(NAME), F.coalesce("name", F.lit("")))
         named = answered.withColumns({"summary": own(F.col("summary")), "evidence": F.transform("evidence", lambda e: e.withField("location", own(e["location"])))})
-        out = assemble(named)
-        error = F.when(F.col("error").isNotNull(), F.struct(F.col("error").alias("code"), F.coalesce(refusal(F.col("category")), F.lit("The request could not be processed.")).alias("message")))
+        out = assemble(named).withColumn("error", error_struct(F.col("error"), refusal(F.col("category")), F.col("category")))
         return out.select(
             "request_id", F.col("error").isNull().alias("success"),
             F.struct("path", "name", "mime_type", "category", "size_bytes", "modified_at", "sha256").alias("source"),
             F.struct("question", "mode", "vision_profile", "pages", "detail", "max_chars").alias("request"),
-            F.struct("processor", "processor_version", "model", (F.col("cache_status") == "hit").alias("cached"), "fallbacks_used").alias("processing"),
-            "summary", F.when(F.col("error").isNull(), F.col("markdown")).otherwise(F.concat(F.lit("**Error "), F.col("error"), F.lit("**"))).alias("markdown"),
-            "evidence", "warnings", "truncation", "cache_key", error.alias("error"),
+            F.struct("processor", "processor_version", "model", (F.col("cache_status") == "hit").alias("cached"), "fallbacks_used", F.lit(elapsed_ms).cast("long").alias("duration_ms")).alias("processing"),
+            "summary", F.when(F.col("error").isNull(), F.col("markdown")).otherwise(error_markdown(F.col("error"))).alias("markdown"),
+            "evidence", "warnings", "truncation", "cache_key", "error",
         )
 
 

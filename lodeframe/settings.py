@@ -98,9 +98,14 @@ class Settings:
         for root in self.allowed_roots:
             if not os.path.isabs(os.path.expanduser(root)):
                 say("allowed_roots", f"{root} is not absolute", True, "give absolute folders")
+            elif not os.path.isdir(os.path.expanduser(root)):
+                there = os.path.exists(os.path.expanduser(root))
+                say("allowed_roots", f"{root} is not a folder" if there else f"{root} does not exist", False, "create the folder or leave it out")
         for name in ("max_file_mb", "max_pages", "max_image_pixels", "max_output_chars", "process_timeout_seconds", "vision_max_output_tokens", "pdf_render_dpi"):
             if getattr(self, name) < 1:
                 say(name, f"{name} is below 1", True, "give a positive number")
+        if 1 <= self.max_output_chars < 500:
+            say("max_output_chars", "below 500 characters nearly every answer is cut", False, "give 2000 or more")
         if self.vision_max_dimension <= 96:
             say("vision_max_dimension", "a tile has to be longer than its overlap of 96", True, "give more than 96")
         if self.vision_image_format not in ("auto", "png", "jpeg"):
@@ -110,7 +115,10 @@ class Settings:
         if self.base_url and urlsplit(self.base_url).scheme not in ("http", "https"):
             say("vision_base_url", "not an http(s) address", True, "give the root of the provider's interface")
         if any((self.vision_base_url, self.vision_api_key, self.vision_model)) and not self.vision_configured:
-            say("vision_model", "vision is configured in part", False, "address, key and model belong together")
+            missing = [n for n, there in (("vision_base_url", self.base_url), ("vision_model", self.vision_model), ("vision_api_key", self.vision_api_key)) if not there]
+            say("vision_model", f"vision is configured in part; missing: {', '.join(missing)}", False, "address, key and model belong together")
+        if self.vision_configured and not self.allow_cloud_vision:
+            say("allow_cloud_vision", "a provider is configured, but nothing may be sent to it", False, "allow it if images may leave this place; they can hold secrets")
         if self.allow_cloud_vision and not self.vision_configured:
             say("allow_cloud_vision", "allowed but not configured", False, "configure a provider")
         return found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -92,7 +94,7 @@ class FakeOcr:
 
 @dataclass
 class FakeVision:
-    reply: str = "## ANSWER\nA settings screen.\n\n## DIRECT OBSERVATIONS\n- a Save button\n- an e-mail field\n"
+    reply: str = "## ANSWER\nA settings screen.\n\n## DIRECT OBSERVATIONS\n- a Save button\n- an e-mail field\n\n## EXACT TEXT\n- Save\n"
     model: str = "fake-vision"
     error: str | None = None
 
@@ -102,6 +104,16 @@ class FakeVision:
         return self.reply
 
 
+@dataclass
+class TellingVision:
+    """Answers with what it was shown, one image after the other."""
+
+    model: str = "telling-vision"
+
+    def analyze(self, images: list[bytes], prompt: str, max_tokens: int) -> str:
+        return "## ANSWER\n" + "; ".join(x.decode() for x in images)
+
+
 @dataclass
 class FakePdf:
     """A file of pages that are kept apart by form feeds, after a %PDF- header line."""
@@ -129,35 +141,73 @@ def installed_languages(wanted: str, installed: list[str]) -> tuple[str, list[st
     return "+".join(there or [x for x in ("eng",) if x in installed] or installed[:1]), [x for x in asked if x not in installed]
 
 
-def recognise(rows: DataFrame, ocr: OcrBackend, languages: str, image: str = "content") -> DataFrame:
-    """Adds ocr_text, ocr_confidence and ocr_error for a column of images."""
+def within(seconds: float | None, work: Callable, *args):
+    """The result of ``work``, or TimeoutError. A call that hangs keeps its thread, but neither its row nor its task."""
+    if seconds is None:
+        return work(*args)
+    box: list = []
+
+    def run() -> None:
+        try:
+            box.append((work(*args), None))
+        except Exception as error:  # raised again where it is waited for
+            box.append((None, error))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not box:
+        raise TimeoutError
+    if box[0][1] is not None:
+        raise box[0][1]
+    return box[0][0]
+
+
+def recognise(rows: DataFrame, ocr: OcrBackend, languages: str, image: str = "content", seconds: float | None = None, skip: str | None = None) -> DataFrame:
+    """Adds ocr_text, ocr_confidence and ocr_error for a column of images.
 
-    def one(data: bytes) -> tuple:
+    Rows whose column ``skip`` is not null are left alone; a call may take ``seconds``.
+    """
+
+    def one(data: bytes, passed: object) -> tuple:
+        if passed is not None:
+            return None, None, None
         try:
-            found = ocr.recognise(data, languages)
+            found = within(seconds, ocr.recognise, data, languages)
             return found.text, found.confidence, None
+        except TimeoutError:
+            return None, None, "PROCESSING_TIMEOUT"
         except Exception:  # an engine's failure is that row's error
             return None, None, "OCR_FAILED"
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
-        found = [one(x) for x in b.column(b.schema.names.index(image)).to_pylist()]
+        at = b.schema.names.index
+        passed = b.column(at(skip)).to_pylist() if skip else [None] * b.num_rows
+        found = [one(x, p) for x, p in zip(b.column(at(image)).to_pylist(), passed, strict=True)]
         return [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.string()))]
 
     return append(rows, "ocr_text string, ocr_confidence double, ocr_error string", make)
 
 
-def look(rows: DataFrame, vision: VisionBackend, max_tokens: int, image: str = "content", prompt: str = "prompt") -> DataFrame:
-    """Adds reply and vision_error. Calls cost money: write the result before it is used twice, and leave speculation off."""
+def look(rows: DataFrame, vision: VisionBackend, max_tokens: int, images: str = "images", prompt: str = "prompt", seconds: float | None = None) -> DataFrame:
+    """Adds reply and vision_error. Calls cost money: write the result before it is used twice, and leave speculation off.
+
+    ``images`` is an array of structs with ``content``; a row without any is not asked about.
+    """
 
-    def one(data: bytes, words: str) -> tuple:
+    def one(shown: list[dict] | None, words: str) -> tuple:
+        if not shown:
+            return None, None
         try:
-            return vision.analyze([data], words, max_tokens), None
+            return within(seconds, vision.analyze, [x["content"] for x in shown], words, max_tokens), None
+        except TimeoutError:
+            return None, "VISION_PROVIDER_TIMEOUT"
         except Exception:
             return None, "VISION_PROVIDER_ERROR"
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         at = b.schema.names.index
-        found = [one(x, p) for x, p in zip(b.column(at(image)).to_pylist(), b.column(at(prompt)).to_pylist(), strict=True)]
+        found = [one(x, p) for x, p in zip(b.column(at(images)).to_pylist(), b.column(at(prompt)).to_pylist(), strict=True)]
         return [pa.array([f[k] for f in found], pa.string()) for k in range(2)]
 
     return append(rows, "reply string, vision_error string", make)
