@@ -13,13 +13,15 @@ from ..functions.intent import PROFILE_WORDS, TEXT_WORDS, VISUAL_WORDS, intent,
 from ..operators import cache, detect, render, route, sandbox, sections
 from ..settings import Settings
 from ..sources.backends import FakeOcr, FakePdf, TellingVision
-from ..sources.convert import convert
+from ..sources.convert import convert, decode_texts
 from ..sources.files import text_files
 from ..sources.imaging import FakeCodec
+from ..sources.logs import log_lines
 from ..sources.transport import FakeTransport, HttpVision, Reply
 from ..staging import shared_folder
-from ..streaming.windows import run_to_table, window_counts
+from ..streaming.windows import first_sightings, run_to_table, window_counts
 from .engine import Engine, requests_for
+from .facts import verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -922,3 +924,142 @@ def q47_provider_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.to_json(F.struct(F.lit("z").alias("model"), F.when(kind == 0, "routed").alias("provider"), F.when(kind <= 1, "print").alias("system_fingerprint"), usage.alias("usage")))
     wait, report = provider.retry_bounds(i % 6), provider.completion_report(body)
     return table(spark, sf_dir, "events").select("event_id", provider.retry_after(pick(AFTER, i % len(AFTER))).alias("retry_after"), wait["least"].alias("least"), wait["most"].alias("most"), report["route"].alias("route"), report["input_tokens"].alias("input_tokens"), report["output_tokens"].alias("output_tokens"))
+
+
+@query(r"""
+    WITH d AS (SELECT doc_id, text, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') AS plain FROM documents)
+    SELECT doc_id, (['utf-8-sig', 'cp1252', 'latin-1'])[doc_id % 3 + 1] AS encoding, doc_id % 3 > 0 AS warned, sha256(CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN 'café “' || plain ELSE chr(129) || ' é' || plain END) AS text FROM d
+""")
+def q48_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as files with a mark of UTF-8, in Windows' Western encoding, and with a byte that this has not."""
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "?").cast("binary")
+    kind = F.col("doc_id") % 3
+    content = F.when(kind == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.col("text").cast("binary"))).when(kind == 1, F.concat(F.unhex(F.lit("636166E92093")), plain)).otherwise(F.concat(F.unhex(F.lit("8120E9")), plain))
+    read = decode_texts(table(spark, sf_dir, "documents").select("doc_id", content.alias("content")))
+    return read.select("doc_id", "encoding", F.col("decode_warning").isNotNull().alias("warned"), F.sha2("text", 256).alias("text"))
+
+
+@query("SELECT count(*) AS requests, 0::BIGINT AS first_hits, count(*) AS second_hits, count(DISTINCT coalesce(text, '')) AS entries FROM documents")
+def q49_shared_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents asked about twice: equal texts are one entry of the cache, and the second time all is there."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    files = text_files(table(spark, sf_dir, "documents"), id_col="doc_id", text_col="text")
+    hits = F.count_if("processing.cached")
+    first = Engine(spark, cache_path=path).analyze(requests_for(files.select("path")), files).agg(F.count(F.lit(1)).alias("requests"), hits.alias("first_hits"))
+    second = Engine(spark, cache_path=path).analyze(requests_for(files.select("path")), files).agg(hits.alias("second_hits"))
+    return first.select("requests", "first_hits", second.scalar().alias("second_hits"), spark.read.parquet(path).agg(F.count(F.lit(1))).scalar().alias("entries"))
+
+
+SLIDE_XML, RELATION = '<s xmlns:a="a">{}</s>', '<x Id="r{0}" Target="{1}{0}.xml"/>'
+
+
+def _packed(members: dict[str, str]) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as archive:
+        for name, data in members.items():
+            archive.writestr(name, data)
+    return out.getvalue()
+
+
+def _deck(doc: int) -> bytes:
+    n = range(1, doc % 5 + 2)
+    members = {"ppt/presentation.xml": '<p xmlns:r="r">' + "".join(f'<sldId r:id="r{k}"/>' for k in n) + "</p>", "ppt/_rels/presentation.xml.rels": "<R>" + "".join(RELATION.format(k, "slides/s") for k in n) + "</R>"}
+    members |= {f"ppt/slides/s{k}.xml": SLIDE_XML.format(f"<a:p><a:t>Topic {k}</a:t></a:p><a:p><a:t>of {doc}</a:t></a:p>") for k in n}
+    return _packed(members)
+
+
+def _workbook(doc: int) -> bytes:
+    n = range(1, doc % 3 + 2)
+    members = {"xl/workbook.xml": '<w xmlns:r="r">' + "".join(f'<sheet name="S{k}" r:id="r{k}"/>' for k in n) + "</w>", "xl/_rels/workbook.xml.rels": "<R>" + "".join(RELATION.format(k, "s") for k in n) + "</R>"}
+    cell = '<c r="{}1" t="inlineStr"><is><t>{}</t></is></c>'
+    members |= {f"xl/s{k}.xml": f'<s><row>{cell.format("A", "key")}{cell.format("B", "no")}</row><row><c r="A2"><v>{doc}</v></c><c r="B2"><v>{k}</v></c></row></s>' for k in n}
+    return _packed(members)
+
+
+@query(r"""
+    WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS deck, CASE WHEN doc_id % 2 = 0 THEN doc_id % 5 + 1 ELSE doc_id % 3 + 1 END AS n, doc_id % 4 < 2 AS paged FROM documents),
+    m AS (SELECT *, CASE WHEN deck THEN list_transform(range(1, n + 1), lambda k: '<!-- Slide number: ' || k || ' -->' || chr(10) || 'Topic ' || k || chr(10) || 'of ' || doc_id)
+        ELSE list_transform(range(1, n + 1), lambda k: '## S' || k || chr(10) || chr(10) || '| key | no |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | ' || k || ' |') END AS parts, CASE WHEN deck AND paged THEN 1 ELSE n END AS shown FROM d),
+    s AS (SELECT *, array_to_string(parts, chr(10) || chr(10)) AS md, CASE WHEN deck THEN 'PPTX document `' || doc_id || '.pptx`' ELSE 'XLSX document `' || doc_id || '.xlsx`' END || ' converted to Markdown. '
+        || CASE WHEN deck THEN n || ' slide(s)' ELSE 'sheets: ' || array_to_string(list_transform(range(1, n + 1), lambda k: 'S' || k), ', ') END AS head FROM m)
+    SELECT doc_id, head || '. ' || length(md) || ' characters of Markdown.' AS summary, shown::BIGINT AS n_evidence, (NOT deck AND paged)::BIGINT AS n_warnings,
+        sha256('## Summary' || chr(10) || chr(10) || head || '. ' || length(md) || ' characters of Markdown.' || chr(10) || chr(10) || '## Extracted content' || chr(10) || chr(10)
+            || CASE WHEN deck THEN array_to_string(list_transform(range(1, shown + 1), lambda k: '### Slide ' || k || chr(10) || chr(10) || 'Topic ' || k || chr(10) || 'of ' || doc_id), chr(10) || chr(10)) ELSE md END
+            || chr(10) || chr(10) || '## Evidence' || chr(10) || chr(10) || array_to_string(list_transform(range(1, shown + 1), lambda k: CASE WHEN deck THEN '- **slide** (slide ' || k || '):' || chr(10) || chr(10) || '  Topic ' || k || chr(10) || 'of ' || doc_id
+                ELSE '- **sheet** (S' || k || '):' || chr(10) || chr(10) || '  | key | no |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | ' || k || ' |' END), chr(10))
+            || CASE WHEN NOT deck AND paged THEN chr(10) || chr(10) || '## Warnings' || chr(10) || chr(10) || '- The ''pages'' parameter does not apply to spreadsheets; all sheets were converted.' ELSE '' END) AS markdown FROM s
+""")
+def q50_decks_and_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deck or a workbook for each document, through the whole engine; half of them with a page list."""
+    from collections.abc import Iterator
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc_id").to_pylist()
+            yield pa.record_batch([pa.array([f"{i}.{'xlsx' if i % 2 else 'pptx'}" for i in ids]), pa.array([(_workbook if i % 2 else _deck)(i) for i in ids], pa.binary())], ["path", "content"])
+
+    made = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(build, "path string, content binary")
+    # Archives carry the time at which they are made, so the digest is of the name: equal names are equal files here.
+    files = made.withColumns({"name": F.col("path"), "extension": F.regexp_extract("path", r"(\.[a-z]+)$", 1), "size_bytes": F.octet_length("content").cast("long"), "sha256": F.sha2("path", 256), "modified_at": F.lit(None).cast("timestamp")})
+    number = F.regexp_extract("path", "([0-9]+)", 1).cast("long")
+    out = Engine(spark).analyze(requests_for(files.select("path"), pages=F.when(number % 4 < 2, "1")), files)
+    return out.select(F.regexp_extract("request_id", "([0-9]+)", 1).cast("long").alias("doc_id"), "summary", F.size("evidence").cast("long").alias("n_evidence"), F.size("warnings").cast("long").alias("n_warnings"), F.sha2("markdown", 256).alias("markdown"))
+
+
+SQL_LOUD = "translate(left(text, 10), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
+
+@query(f"""
+    WITH c AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 11 > 0 AS success, doc_id % 7 = 0 AS eyes, CASE doc_id % 3 WHEN 0 THEN [{SQL_LOUD}] WHEN 1 THEN [{SQL_LOUD}, 'not in a text: ' || doc_id] ELSE [] END AS facts FROM documents),
+    m AS (SELECT *, list_filter(facts, lambda f: NOT contains(lower(text), lower(f))) AS missed FROM c)
+    SELECT doc_id::VARCHAR AS request_id, CASE WHEN eyes THEN 'SKIP' WHEN success AND len(missed) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, len(missed)::BIGINT AS n_missed FROM m
+""")
+def q51_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases about every document, with facts that it holds in capitals or does not hold, and needs that are met or not."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("request_id"), "doc_id", F.coalesce("text", F.lit("")).alias("markdown"))
+    loud = F.translate(F.substring("markdown", 1, 10), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    absent = F.concat(F.lit("not in a text: "), "request_id")
+    facts = F.when(F.col("doc_id") % 3 == 0, F.array(loud)).when(F.col("doc_id") % 3 == 1, F.array(loud, absent)).otherwise(F.array().cast("array<string>"))
+    cases = docs.select("request_id", facts.alias("must_contain"), (F.col("doc_id") % 5 == 0).alias("needs_ocr"), (F.col("doc_id") % 7 == 0).alias("needs_vision"))
+    found = verdicts(cases, docs.withColumn("success", F.col("doc_id") % 11 > 0), ocr=True, vision=False)
+    return found.select("request_id", "verdict", F.size("missed").cast("long").alias("n_missed"))
+
+
+@query("""
+    WITH e AS (SELECT sha256(user_id::VARCHAR) AS cache_key, sum(round(value * 100)::BIGINT)::BIGINT AS size_bytes, min(ts) AS stored, max(ts) AS last_access FROM events GROUP BY user_id),
+    n AS (SELECT max(ts) AS now FROM events), a AS (SELECT *, epoch(now)::BIGINT - epoch(stored)::BIGINT > 29 * 86400 AS old FROM e, n),
+    w AS (SELECT *, NOT old AND sum(size_bytes) FILTER (NOT old) OVER () - coalesce(sum(size_bytes) FILTER (NOT old) OVER (ORDER BY last_access, size_bytes, cache_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 1000000 AS gone FROM a)
+    SELECT count(*) FILTER (old) AS expired, count(*) FILTER (gone) AS evicted, count(*) FILTER (NOT old AND NOT gone) AS kept, coalesce(sum(size_bytes) FILTER (NOT old AND NOT gone), 0)::BIGINT AS kept_bytes FROM w
+""")
+def q52_cleanup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an upkeep of a cache of users would remove and leave."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    now = events.agg(F.date_trunc("second", F.max("ts"))).first()[0]
+    stored = events.groupBy(F.sha2(F.col("user_id").cast("string"), 256).alias("cache_key")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("size_bytes"), F.min("ts").alias("stored_at"), F.max("ts").alias("last_access"))
+    return cache.cleanup(stored, F.lit(now), 29, 1_000_000)
+
+
+@query("""
+    SELECT event_id, sha256('{"ts":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","level":"INFO","event":"' || event_type || '","request_id":"' || event_id || '","fields":{"api_key":"***redacted***","user":"' || user_id || '"}}') AS line FROM events
+""")
+def q53_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    fields = F.create_map(F.lit("api_key"), F.lit("hush"), F.lit("user"), F.col("user_id").cast("string"))
+    lines = log_lines(events, time=F.col("ts"), level=F.lit("INFO"), event=F.col("event_type"), request_id=F.col("event_id").cast("string"), fields=fields)
+    return lines.select(F.get_json_object("value", "$.request_id").cast("long").alias("event_id"), F.sha2("value", 256).alias("line"))
+
+
+@query("SELECT DISTINCT sha256(user_id || '/' || event_type) AS sha256 FROM events")
+def q54_first_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' kinds of events as a stream of contents, each of which passes once."""
+    import uuid
+
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*").parquet(*_stream_source(sf_dir))
+    files = stream.select(F.col("ts").cast("timestamp").alias("modificationTime"), F.sha2(F.concat_ws("/", F.col("user_id").cast("string"), "event_type"), 256).alias("sha256"))
+    name = f"sightings_{uuid.uuid4().hex}"
+    return run_to_table(first_sightings(files, "400 days").select("sha256"), name, f"{shared_folder(spark)}/{name}", "append")
