@@ -31,12 +31,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import input_bytes, narrow, shared_dir, text_of
-from .spans import slices
+from .spans import slices, xxh64
 from .token_count import load
 
 SCHEMA = "shard int, doc_id long, n_tokens int, local_start long, tokens array<int>"
-#: Words that a worker remembers, and how long they may be; words that are encoded in one call; bytes of text that are cut at once.
-REMEMBERED, LONGEST, CALL, SLICE_BYTES = 250_000, 48, 1024, 8 << 20
+#: Pre-tokens that a worker remembers (words: eight times as many), and how long they or a word's ids may be; words that are encoded in one call; bytes of text that are cut at once.
+REMEMBERED, LONGEST, CALL, SLICE_BYTES = 100_000, 48, 1024, 8 << 20
 
 
 def cuts_at_space(parsed: dict) -> bool:
@@ -63,9 +63,15 @@ class Remembered(dict):
         super().__init__()
         self.old: dict[str, bytes] = {}
 
-    def __missing__(self, key: str) -> bytes | None:
-        ids = self.old.get(key)
-        return None if ids is None else self.add(key, ids)
+    def find(self, keys: list[str]) -> list[bytes | None]:
+        """What is known of many strings."""
+        out = list(map(self.get, keys))
+        if self.old:
+            missed = [k for k, x in enumerate(out) if x is None]
+            for k, ids in zip(missed, map(self.old.get, [keys[k] for k in missed]), strict=True):
+                if ids is not None:
+                    out[k] = self.add(keys[k], ids)
+        return out
 
     def add(self, key: str, ids: bytes) -> bytes:
         if len(key) <= LONGEST:
@@ -76,6 +82,56 @@ class Remembered(dict):
         return ids
 
 
+class Memory:
+    """Ids of up to ``most`` words as arrays, without the words: 128 bits of hash stand for one, some 40 bytes in all.
+
+    When it is full, the half that was asked for last stays.
+    """
+
+    def __init__(self, most: int):
+        self.most, self.clock = most, 0
+        self.key, self.check, self.start = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.size, self.used, self.values = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, "<i4")
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The place of each word, -1 for those that are not known."""
+        self.clock += 1
+        if not len(self.key):
+            return np.full(len(key), -1)
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        hit = (self.key[at] == key) & (self.check[at] == check)
+        self.used[at[hit]] = self.clock
+        return np.where(hit, at, -1)
+
+    def add(self, key: np.ndarray, check: np.ndarray, size: np.ndarray, values: np.ndarray) -> None:
+        """Words that are not known, with the ids of all of them one after the other."""
+        start = np.cumsum(size, dtype=np.int64) - size + len(self.values)
+        short = size <= LONGEST
+        key, check, start, size = (np.concatenate([a, b[short]]) for a, b in ((self.key, key), (self.check, check), (self.start, start), (self.size, size.astype(np.int32))))
+        used, values = np.concatenate([self.used, np.full(int(short.sum()), self.clock, np.int32)]), np.concatenate([self.values, values])
+        if len(key) > self.most:
+            late = np.argsort(-used, kind="stable")[: self.most // 2]
+            key, check, start, size, used = key[late], check[late], start[late], size[late], used[late]
+        if len(key) < len(self.key) + len(short):  # ids of words that were not kept go too
+            upto = np.cumsum(size, dtype=np.int64)
+            values = values[np.repeat(start - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)]
+            start = upto - size
+        order = np.argsort(key, kind="stable")
+        self.key, self.check, self.start, self.size, self.used, self.values = key[order], check[order], start[order], size[order], used[order], values
+
+
+def hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of hash of each word."""
+    words = words.cast(pa.large_string())
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = words.buffers()[2]
+    buffer = np.concatenate([np.frombuffer(data, np.uint8)[: offsets[-1]] if data else np.zeros(0, np.uint8), np.zeros(8, np.uint8)])
+    return tuple(xxh64(buffer, offsets[:-1], np.diff(offsets), seed) for seed in (42, 1042))
+
+
 class Encoder:
     """Ids of texts, all of them by the tokenizers library.
 
@@ -92,39 +148,54 @@ class Encoder:
         self.words = cuts_at_space(parsed)
         self.special = [t["content"] for t in parsed["added_tokens"]]
         self.normal, self.cut, self.model = (getattr(self.tokenizer, x) for x in ("normalizer", "pre_tokenizer", "model"))
-        self.known, self.pieces = Remembered(), Remembered()
+        self.known, self.pieces = Memory(8 * REMEMBERED), Remembered()
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<i4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merged(self, piece: str) -> bytes:
-        found = [t.id for t in self.model.tokenize(piece)]
-        return self.pieces.add(piece, struct.pack(f"<{len(found)}i", *found))
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pre-tokens; each distinct one that is not known is merged once."""
+        out = self.pieces.find(pieces)
+        fresh: dict[str, bytes] = {}
+        for k in [k for k, x in enumerate(out) if x is None]:
+            piece = pieces[k]
+            ids = fresh.get(piece)
+            if ids is None:
+                found = [t.id for t in self.model.tokenize(piece)]
+                ids = fresh[piece] = self.pieces.add(piece, struct.pack(f"<{len(found)}i", *found))
+            out[k] = ids
+        return out
 
-    def _call(self, words: list[str]) -> list[bytes]:
-        """The ids of words, in the library's steps: all words as one text, its pre-tokens, and each one's merges."""
+    def _call(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        """The ids of words and how many each has, in the library's steps: all words as one text, its pre-tokens, and each one's merges."""
         text = " ".join(words)
         clean = self.normal.normalize_str(text) if self.normal else text
         size = [len(w) + 1 for w in clean.split(" ")]
         if len(size) != len(words) or any(x in text for x in self.special):
-            return self._library(words)
+            ids = self._library(words)
+            return b"".join(ids), np.array([len(x) // 4 for x in ids], np.int32)
         cut = self.cut.pre_tokenize_str(clean)
-        owner = np.searchsorted(np.cumsum(size), [at for _, (at, _) in cut], "right").tolist()
-        out, known = [b""] * len(words), self.pieces
-        for k, (piece, _) in zip(owner, cut, strict=True):
-            ids = known[piece] or self._merged(piece)
-            out[k] = out[k] + ids if out[k] else ids
-        return out
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words."""
-        known = self.known
-        out = [known[w] for w in words]
-        asked = [k for k, x in enumerate(out) if x is None]
-        for part in (asked[k : k + CALL] for k in range(0, len(asked), CALL)):
-            for k, ids in zip(part, self._call([words[k] for k in part]), strict=True):
-                out[k] = known.add(words[k], ids)
-        return out
+        ids = self._merged([piece for piece, _ in cut])
+        # A word's pre-tokens stand together, so its ids are a range of all.
+        first = np.searchsorted(np.array([at for _, (at, _) in cut], np.int64), np.cumsum([0, *size]))
+        upto = np.cumsum([0, *map(len, ids)])
+        return b"".join(ids), (np.diff(upto[first]) // 4).astype(np.int32)
+
+    def _ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where each of some distinct words has its own among them and how many."""
+        key, check = hashes(words)
+        at = self.known.find(key, check)
+        asked = np.flatnonzero(at < 0)
+        new = [self._call(words.take(pa.array(asked[k : k + CALL])).to_pylist()) for k in range(0, len(asked), CALL)]
+        fresh, count = np.frombuffer(b"".join(x for x, _ in new), "<i4"), np.concatenate([np.zeros(0, np.int32), *(n for _, n in new)])
+        values = np.concatenate([self.known.values, fresh])
+        start, size = np.empty(len(words), np.int64), np.empty(len(words), np.int32)
+        held = np.flatnonzero(at >= 0)
+        start[held], size[held] = self.known.start[at[held]], self.known.size[at[held]]
+        start[asked], size[asked] = np.cumsum(count, dtype=np.int64) - count + len(self.known.values), count
+        if len(asked):
+            self.known.add(key[asked], check[asked], count, fresh)
+        return values, start, size
 
     def encode(self, texts: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, ``end`` after each, and how many each has."""
@@ -139,13 +210,12 @@ class Encoder:
             return np.frombuffer(b"".join(ids), "<i4"), np.array([len(x) // 4 for x in ids], np.int64)
         lists = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        known = [*self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), end]
-        values = np.frombuffer(b"".join(known), "<i4")
-        size = np.fromiter(map(len, known), np.int32, len(known)) // 4
-        start = np.cumsum(size, dtype=np.int32) - size  # a slice has few enough ids for 32 bits
+        values, start, size = self._ids(coded.dictionary)
+        last_id = np.frombuffer(end, "<i4")
+        values, start, size = np.concatenate([values, last_id]), np.append(start, len(values)).astype(np.int32), np.append(size, len(last_id)).astype(np.int32)  # few enough ids for 32 bits
         # The end is the last word of every text.
         first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        word = np.insert(coded.indices.to_numpy(), first[1:], len(known) - 1)
+        word = np.insert(coded.indices.to_numpy(), first[1:], len(size) - 1)
         count = size[word]
         upto = np.cumsum(count, dtype=np.int64)
         total = int(upto[-1]) if len(upto) else 0

@@ -59,7 +59,7 @@ def test_memory_of_words_is_bounded(monkeypatch):
     texts = [" ".join(f"w{k}" for k in range(j, j + 50)) for j in range(0, 500, 25)]
     for t in texts:
         assert ids_of(encoder, [t]) == [tokenizer.encode(t, add_special_tokens=False).ids]
-        assert max(map(len, (encoder.known, encoder.known.old, encoder.pieces, encoder.pieces.old))) <= 10
+        assert len(encoder.known) <= 80 and max(len(encoder.pieces), len(encoder.pieces.old)) <= 10 and len(encoder.known.values) == encoder.known.size.sum()
 
 
 def test_counts_of_the_whole_table(spark, sf_dir):
