@@ -25,6 +25,12 @@ def cache_key(settings: Settings, *, sha256: Column, mode: Column, profile: Colu
     return F.sha2(F.concat_ws("\x1f", *[F.concat(F.lit(k + "="), F.coalesce(fields[k], F.lit(""))) for k in sorted(fields)]), 256)
 
 
+def _age(now: Column) -> Column:
+    """Seconds from ``stored_at`` to ``now``, each rounded to a whole second first (halves to even), as ``epoch(...)::BIGINT`` does in SQL."""
+    whole = lambda at: F.rint(F.unix_micros(at.cast("timestamp")) / 1e6).cast("long")
+    return whole(now) - whole(F.col("stored_at"))
+
+
 def lookup(requests: DataFrame, entries: DataFrame, now: Column, ttl_days: int) -> DataFrame:
     """Adds ``payload``, ``stored_at`` and ``cache_status`` (hit, expired or miss). The latest writer of a key counts.
 
@@ -33,8 +39,7 @@ def lookup(requests: DataFrame, entries: DataFrame, now: Column, ttl_days: int)
     ``requests`` are split by adaptive execution.
     """
     latest = entries.where(F.col("schema_version") == SCHEMA_VERSION).groupBy("cache_key").agg(F.max("stored_at").alias("stored_at"), F.max_by("payload", "stored_at").alias("payload"))
-    age = F.unix_timestamp(now) - F.unix_timestamp("stored_at")
-    fresh = F.lit(True) if ttl_days <= 0 else age <= ttl_days * 86400
+    fresh = F.lit(True) if ttl_days <= 0 else _age(now) <= ttl_days * 86400
     joined = requests.join(latest, "cache_key", "left")
     status = F.when(F.col("stored_at").isNull(), "miss").when(fresh, "hit").otherwise("expired")
     return joined.withColumn("cache_status", status).withColumn("payload", F.when(F.col("cache_status") == "hit", F.col("payload")))
@@ -69,7 +74,7 @@ def evict(entries: DataFrame, budget: int, *, size: str = "size_bytes", order: t
 
 def cleanup(entries: DataFrame, now: Column, ttl_days: int, budget: int, **options) -> DataFrame:
     """One row: expired, evicted, kept and kept_bytes."""
-    old = (F.unix_timestamp(now) - F.unix_timestamp("stored_at") > ttl_days * 86400) if ttl_days > 0 else F.lit(False)
+    old = (_age(now) > ttl_days * 86400) if ttl_days > 0 else F.lit(False)
     marked = evict(entries.where(~old), budget, **options).withColumn("expired", F.lit(False))
     gone = entries.where(old).withColumns({"evicted": F.lit(False), "expired": F.lit(True)})
     stays = ~F.col("evicted") & ~F.col("expired")
@@ -95,7 +100,7 @@ def entries(spark: SparkSession, path: str) -> DataFrame:
 def upkeep(spark: SparkSession, path: str, now: Column, ttl_days: int, budget: int) -> DataFrame:
     """Rewrite the table without what has expired or must go, and say how much that was (as ``cleanup`` does)."""
     held = stage(entries(spark, path), "entries")
-    fresh = held.where(F.unix_timestamp(now) - F.unix_timestamp("stored_at") <= ttl_days * 86400) if ttl_days > 0 else held
+    fresh = held.where(_age(now) <= ttl_days * 86400) if ttl_days > 0 else held
     marked = stage(evict(fresh, budget), "marked")
     kept = marked.where(~F.col("evicted"))
     kept.drop("evicted").write.mode("overwrite").parquet(path + ".next")

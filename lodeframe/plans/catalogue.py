@@ -287,7 +287,7 @@ def entries_of(events: DataFrame) -> DataFrame:
 """)
 def q14_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    now = events.agg(F.date_trunc("second", F.max("ts").cast("timestamp"))).first()[0]
+    now = events.agg(F.max("ts").cast("timestamp")).first()[0]
     asked_for = events.select("event_type", F.sha2(F.col("user_id").cast("string"), 256).alias("cache_key"))
     found = cache.lookup(asked_for, entries_of(events), F.lit(now), 3)
     return found.groupBy("event_type", F.col("cache_status").alias("status")).agg(F.count(F.lit(1)).alias("n"))
@@ -785,7 +785,7 @@ def q42_cache_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    now = events.agg(F.date_trunc("second", F.max("ts"))).first()[0]
+    now = events.agg(F.max("ts")).first()[0]
     path = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
     key = F.sha2(F.col("user_id").cast("string"), 256)
     stored = events.groupBy(key.alias("cache_key")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("size_bytes"), F.min("ts").alias("stored_at"))
@@ -1039,7 +1039,7 @@ def q51_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q52_cleanup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an upkeep of a cache of users would remove and leave."""
     events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    now = events.agg(F.date_trunc("second", F.max("ts"))).first()[0]
+    now = events.agg(F.max("ts")).first()[0]
     stored = events.groupBy(F.sha2(F.col("user_id").cast("string"), 256).alias("cache_key")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("size_bytes"), F.min("ts").alias("stored_at"), F.max("ts").alias("last_access"))
     return cache.cleanup(stored, F.lit(now), 29, 1_000_000)
 
